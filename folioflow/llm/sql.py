@@ -11,7 +11,7 @@ _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 QUALITY_SQL = rf"""
 WITH base AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
 ), wins AS (
   SELECT r, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g
@@ -28,9 +28,9 @@ WITH base AS (
     CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
     length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS caps,
     length(t) - length(replace(t, '!', '')) AS bangs,
-    len(list_filter(w, x -> translate(x, '{_UPPER}', '{_LOWER}') IN ({_STOP}))) AS stops,
+    len(list_filter(w, lambda x: translate(x, '{_UPPER}', '{_LOWER}') IN ({_STOP}))) AS stops,
     len(lines) AS n_lines,
-    len(list_filter(lines, x -> regexp_matches(x, '^[\x20\x09-\x0D]*[-*•|]'))) AS bullets
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•|]'))) AS bullets
   FROM base LEFT JOIN rep USING (r)
 ), v AS (
   SELECT *, greatest(n_words, 1) AS d, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m
