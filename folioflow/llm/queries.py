@@ -11,8 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import benchmark_matches, contamination
+from .hilbert_sharding import shard
 from .license_scan import license_scan
 from .quality_rules import quality_rules
+from .source_mixing import mix
+from .warc import captures
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,7 +43,38 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+def op7_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = captures(table(spark, sf_dir, "pages"))
+    seen = lambda name: F.coalesce(F.col(f"original.{name}"), F.col(f"response.{name}")).alias(name)
+    return out.select(
+        F.col("page_id").cast("long").alias("page_id"), seen("payload_bytes"), seen("payload_digest"),
+        F.col("response.type").alias("record_type"), F.col("original_page_id").cast("long").alias("refers_to"),
+    )
+
+
+def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op5_license_scan": op5_license_scan,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_warc_assembly": op7_warc_assembly,
+    "op8_hilbert_sharding": op8_hilbert_sharding,
+    "op10_source_mixing": op10_source_mixing,
 }

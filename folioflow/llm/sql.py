@@ -42,4 +42,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
-ORACLE_SQL = {"op2_quality_rules": QUALITY_SQL}
+_ALNUM = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATION_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS w FROM documents),
+b AS (SELECT DISTINCT item_id, {_ALNUM} AS w FROM benchmark),
+items AS (SELECT item_id, w, least(13, len(w)) AS k FROM b WHERE len(w) > 0),
+wins AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM items)
+),
+sizes AS (SELECT DISTINCT k FROM wins),
+dwins AS (
+  SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)
+),
+found AS (SELECT r, i, k, item_id FROM dwins JOIN wins USING (k, g)),
+hit AS (SELECT r, count(DISTINCT i + o) AS n FROM (SELECT r, i, unnest(range(0, k)) AS o FROM found) GROUP BY r),
+names AS (
+  SELECT r, count(DISTINCT item_id) AS n, string_agg(item_id, ',' ORDER BY item_id) AS s
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM found WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(names.n, 0) AS BIGINT) AS n_items, sha256(coalesce(names.s, '')) AS items_sha256,
+  coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN names USING (r)
+"""
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages
+), f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM f
+"""
+
+ORACLE_SQL = {
+    "op2_quality_rules": QUALITY_SQL,
+    "op6_benchmark_decontamination": DECONTAMINATION_SQL,
+    "op7_warc_assembly": WARC_SQL,
+}
