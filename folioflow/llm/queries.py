@@ -15,6 +15,7 @@ from .decontamination import benchmark_matches, contamination
 from .hilbert_sharding import shard
 from .license_scan import license_scan
 from .quality_rules import quality_rules
+from .simhash import near_duplicates
 from .source_mixing import mix
 from .warc import captures
 
@@ -30,6 +31,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan(table(spark, sf_dir, "documents"))
     starts = F.transform("places", lambda x: x["start"])
@@ -72,6 +77,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_simhash": op3_simhash,
     "op5_license_scan": op5_license_scan,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_warc_assembly": op7_warc_assembly,
