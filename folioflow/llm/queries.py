@@ -11,12 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import remainder
 from .decontamination import benchmark_matches, contamination
 from .hilbert_sharding import shard
 from .license_scan import license_scan
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .source_mixing import mix
+from .toxicity import score as toxicity_score
+from .toxicity import train as toxicity_train
 from .warc import captures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = toxicity_train(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    out = toxicity_score(docs.select("doc_id", "text"), model)
+    return out.select(
+        "doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"),
+        F.col("_worst").alias("worst_word"),
+    )
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -76,6 +90,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
     "op5_license_scan": op5_license_scan,
