@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import remainder
 from .decontamination import benchmark_matches, contamination
 from .hilbert_sharding import shard
+from .html_extraction import extract
 from .license_scan import license_scan
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
@@ -84,6 +85,11 @@ def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -97,5 +103,6 @@ QUERIES: dict[str, Query] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_warc_assembly": op7_warc_assembly,
     "op8_hilbert_sharding": op8_hilbert_sharding,
+    "op9_html_extraction": op9_html_extraction,
     "op10_source_mixing": op10_source_mixing,
 }
