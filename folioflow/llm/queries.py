@@ -16,6 +16,7 @@ from .decontamination import benchmark_matches, contamination
 from .hilbert_sharding import shard
 from .html_extraction import extract
 from .license_scan import license_scan
+from .lm_scoring import lm_scores
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .source_mixing import mix
@@ -50,6 +51,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scores(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) != 0)
+    return out.withColumns({"base_score": F.round("base_score", 6), "score": F.round("score", 6)})
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan(table(spark, sf_dir, "documents"))
     starts = F.transform("places", lambda x: x["start"])
@@ -99,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_license_scan": op5_license_scan,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_warc_assembly": op7_warc_assembly,

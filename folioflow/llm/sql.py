@@ -79,8 +79,47 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
 FROM f
 """
 
+# crc32 isn't a DuckDB function: a table of the 256 byte values' remainders, then one step for each byte.
+_CRC32 = """
+bytes AS (
+  SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(3988292384, a // 2) ELSE a // 2 END) AS v
+  FROM range(256) AS t(i)
+), steps AS (SELECT list(v ORDER BY i) AS tab FROM bytes),
+crc AS (
+  SELECT doc_id, xor(4294967295, list_reduce(
+      list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, c: xor(a // 256, tab[CAST(xor(a % 256, c) AS INTEGER) + 1]))) AS h
+  FROM (SELECT DISTINCT doc_id FROM documents), steps
+)
+"""
+
+LM_SQL = rf"""
+WITH {_CRC32},
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(h % 10, -1) <> 0 AS train,
+    list_concat([' begin'], regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+'), [' end']) AS w
+  FROM documents LEFT JOIN crc USING (doc_id)
+), tok AS (SELECT r, train, i, w[i] AS t, w[i - 1] AS h FROM (SELECT r, train, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+uni AS (SELECT t, count(*) AS c FROM tok WHERE train GROUP BY t),
+bi AS (SELECT h, t, count(*) AS c FROM tok WHERE train AND i > 1 GROUP BY h, t),
+tot AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM uni WHERE t <> ' begin'),
+s AS (
+  SELECT tok.r, coalesce(u.c, 0) AS c, coalesce(b.c, 0) AS c2, coalesce(ctx.c, 0) AS ch, n, v,
+    CASE WHEN u.c > 0 THEN (u.c - 0.7::DOUBLE) / n ELSE 0.7::DOUBLE * v / n END AS p1
+  FROM tok CROSS JOIN tot LEFT JOIN uni u ON u.t = tok.t LEFT JOIN uni ctx ON ctx.t = tok.h LEFT JOIN bi b ON b.h = tok.h AND b.t = tok.t
+  WHERE tok.i > 1
+), a AS (
+  SELECT r, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(n) AS train_tokens,
+    fsum(log10((c + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS base_score, fsum(log10((c2 + 100::DOUBLE * p1) / (ch + 100::DOUBLE))) AS score
+  FROM s GROUP BY r
+)
+SELECT doc_id, NOT train AS held_out, n_tokens, n_known, train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score
+FROM d JOIN a USING (r)
+"""
+
 ORACLE_SQL = {
     "op2_quality_rules": QUALITY_SQL,
+    "op4_lm_scoring": LM_SQL,
     "op6_benchmark_decontamination": DECONTAMINATION_SQL,
     "op7_warc_assembly": WARC_SQL,
 }
