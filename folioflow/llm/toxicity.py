@@ -176,7 +176,7 @@ def _pieces(some: list[bytes], shortest: int, longest: int) -> tuple[np.ndarray,
             number = np.zeros((len(at), n - k + 1), dtype=np.int64)
             for o in range(k):
                 number = number * _SYMBOLS + codes[:, o : o + n - k + 1]
-            columns.append(number + (k << 48))
+            columns.append(number * (longest + 1) + k)  # one number for each piece: 61**10 * 11 < 2**63
         if columns:
             for i, row in zip(at.tolist(), np.concatenate(columns, axis=1), strict=True):
                 parts[i] = row
@@ -184,8 +184,8 @@ def _pieces(some: list[bytes], shortest: int, longest: int) -> tuple[np.ndarray,
     return np.concatenate(parts) if parts else np.empty(0, dtype=np.int64), np.concatenate([[0], ends]).astype(np.int64)
 
 
-def typical_words(toxic: list[set[bytes]], clean: list[set[bytes]], shortest: int = 3, longest: int = 6, most_chance: float = 1e-3) -> dict[bytes, float]:
-    """Words of toxic documents with a piece of 3 to 6 letters that clean documents lack, as far as
+def typical_words(toxic: list[set[bytes]], clean: list[set[bytes]], shortest: int = 3, longest: int = 10, most_chance: float = 0.02) -> dict[bytes, float]:
+    """Words of toxic documents with a piece of 3 to 10 characters (the ends count) that clean documents lack, as far as
     chance can't explain: the piece occurs in a toxic and c clean documents, and the odds of so uneven
     a split, times the number of pieces tried, are below most_chance. Gives the log of those odds."""
     in_clean = Counter(w for d in clean for w in d)
@@ -293,7 +293,7 @@ def fit(rows: list[tuple[int, str | None]], *, folds: int = 3, cross_below: int
 
 
 def _fit_svm(
-    train: list[tuple[int, str | None]], *, kernel: Kernel | None = None, n_landmarks: int = 96, c: float = 0.2, rounds: int = 3,
+    train: list[tuple[int, str | None]], *, kernel: Kernel | None = None, n_landmarks: int = 256, c: float = 1.0, rounds: int = 3,
     negatives: int = 6000, variants: int = 2, weight: float = 1.0, seed: int = 7,
 ) -> Model:
     kernel = kernel or Kernel()
@@ -373,8 +373,9 @@ class Scorer:
         return np.array([get(w) if w is not None else -2.0 for w in worst], dtype=np.float32), [None if w is None else w.decode("latin-1") for w in worst]
 
 
-def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, most_toxic: int, most_clean: int) -> list[tuple[int, str]]:
-    """(label, text) of about `most_...` labelled documents of each kind, all where there are fewer."""
+def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, most_toxic: int, most_clean: int) -> tuple[list[tuple[int, str]], dict[int, int]]:
+    """(label, text) of about `most_...` labelled documents of each kind, all where there are fewer, and
+    how many there are of each kind."""
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_label"))
     found = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(known, F.col("_doc") == F.col("_id"))
     n = {r["_label"]: r["count"] for r in found.groupBy("_label").count().collect()}
@@ -385,15 +386,21 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, la
     )
     some = F.broadcast(known.where(draw < limit))  # at most about most_toxic + most_clean ids
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(some, F.col("_doc") == F.col("_id")).select("_label", "_doc", "_text")
-    return [(r["_label"], r["_text"]) for r in sorted(rows.collect(), key=lambda r: (r["_doc"], r["_text"] or ""))]
+    return [(r["_label"], r["_text"]) for r in sorted(rows.collect(), key=lambda r: (r["_doc"], r["_text"] or ""))], n
 
 
 def train(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 2000,
     most_clean: int = 4000, **options,
 ) -> Model:
-    """Fit on the labelled rows among docs; pass only the documents that may be learnt from."""
-    return fit(sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, most_toxic=most_toxic, most_clean=most_clean), **options)
+    """Fit on the labelled rows among docs; pass only the documents that may be learnt from. As the sample
+    has more toxic documents than the labels have, the logistic's level is put back to the labels' odds."""
+    rows, n = sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, most_toxic=most_toxic, most_clean=most_clean)
+    model = fit(rows, **options)
+    drawn = Counter(label for label, _ in rows)
+    if model.slope and drawn[0] and drawn[1]:
+        model.level += math.log(n[1] / n[0]) - math.log(drawn[1] / drawn[0])
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
