@@ -167,57 +167,77 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.level, -50, 50)))
 
 
-def _pieces(some: list[bytes], shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the contiguous pieces of each word, and where each word's begin."""
-    parts: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(some)
+def _pieces(some: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the contiguous pieces of k characters (the ends count) of each word, and where each
+    word's begin. Below 11 characters no two pieces share a number."""
+    counts = np.array([max(0, len(w) + 2 - k + 1) for w in some], dtype=np.int64)
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    out = np.empty(begin[-1], dtype=np.int64)
     for at, codes in Kernel().by_length(some):
-        n, columns = codes.shape[1], []
-        for k in range(shortest, min(longest, n) + 1):
-            number = np.zeros((len(at), n - k + 1), dtype=np.int64)
+        n = codes.shape[1] - k + 1
+        if n > 0:
+            number = np.zeros((len(at), n), dtype=np.int64)
             for o in range(k):
-                number = number * _SYMBOLS + codes[:, o : o + n - k + 1]
-            columns.append(number * (longest + 1) + k)  # one number for each piece: 61**10 * 11 < 2**63
-        if columns:
-            for i, row in zip(at.tolist(), np.concatenate(columns, axis=1), strict=True):
-                parts[i] = row
-    ends = np.cumsum([len(x) for x in parts]) if parts else np.empty(0, dtype=np.int64)
-    return np.concatenate(parts) if parts else np.empty(0, dtype=np.int64), np.concatenate([[0], ends]).astype(np.int64)
-
-
-def typical_words(toxic: list[set[bytes]], clean: list[set[bytes]], shortest: int = 3, longest: int = 10, most_chance: float = 0.02) -> dict[bytes, float]:
-    """Words of toxic documents with a piece of 3 to 10 characters (the ends count) that clean documents lack, as far as
-    chance can't explain: the piece occurs in a toxic and c clean documents, and the odds of so uneven
-    a split, times the number of pieces tried, are below most_chance. Gives the log of those odds."""
-    in_clean = Counter(w for d in clean for w in d)
-    often = max(1, len(clean) // 500)
-    candidates = sorted(w for w in set().union(*toxic) if in_clean[w] <= often)
-    if not candidates:
+                number = number * _SYMBOLS + codes[:, o : o + n]
+            out[begin[at][:, None] + np.arange(n)] = number
+    return out, begin
+
+
+def _documents_with(docs: list[np.ndarray], pieces: np.ndarray, begin: np.ndarray, n: int, block: int = 500) -> np.ndarray:
+    """In how many documents (arrays of word numbers) each of n pieces occurs."""
+    out = np.zeros(n, dtype=np.int64)
+    for i in range(0, len(docs), block):
+        part = docs[i : i + block]
+        word, doc = np.concatenate(part), np.repeat(np.arange(len(part)), [len(d) for d in part])
+        size = begin[word + 1] - begin[word]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        pairs = np.unique(np.repeat(doc, size) * n + pieces[np.repeat(begin[word], size) + inside])
+        out += np.bincount(pairs % n, minlength=n)
+    return out
+
+
+def typical_words(
+    vocabulary: list[bytes], toxic: list[np.ndarray], clean: list[np.ndarray], shortest: int = 3, longest: int = 10, most_chance: float = 0.02
+) -> dict[int, float]:
+    """Words of toxic documents with a piece of 3 to 10 characters (the ends count) that clean documents
+    lack, as far as chance can't explain: the piece occurs in a toxic and c clean documents, and the odds
+    of so uneven a split, times the number of pieces tried, are below most_chance. Documents are arrays of
+    distinct numbers of words; gives the log of those odds by number."""
+    none = np.empty(0, dtype=np.int64)
+    in_clean = np.bincount(np.concatenate([none, *clean]), minlength=len(vocabulary))
+    candidates = np.unique(np.concatenate([none, *toxic]))
+    candidates = candidates[in_clean[candidates] <= max(1, len(clean) // 500)]
+    others = np.unique(np.concatenate([none, *clean]))
+    if not len(candidates):
         return {}
-    index = {w: i for i, w in enumerate(candidates)}
-    numbers, begin = _pieces(candidates, shortest, longest)
-    known, numbers = np.unique(numbers, return_inverse=True)
-
-    def documents_with(docs: list[set[bytes]], index: dict[bytes, int], numbers: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(known), dtype=np.int64)
-        for d in docs:
-            own = [numbers[begin[i] : begin[i + 1]] for w in d if (i := index.get(w)) is not None]
-            if own:
-                out[np.unique(np.concatenate(own))] += 1
-        return out
-
-    a = documents_with(toxic, index, numbers, begin)
-    enough = a >= max(3, len(toxic) // 400)
-    other = sorted(set().union(*clean))
-    theirs, their_begin = _pieces(other, shortest, longest)
-    slot = np.minimum(np.searchsorted(known, theirs), len(known) - 1)
-    hit = (known[slot] == theirs) & enough[slot]
-    kept = np.concatenate([[0], np.cumsum(hit)])
-    c = documents_with(clean, {w: i for i, w in enumerate(other)}, slot[hit], kept[their_begin])
-    share, rate = len(toxic) / (len(toxic) + len(clean)), a / np.maximum(a + c, 1)
-    odds = a * np.log(np.maximum(rate, 1e-9) / share) + c * np.log(np.maximum(1 - rate, 1e-9) / (1 - share)) * (c > 0)
-    odds[~enough | (rate <= share) | (c > 0.1 * a) | (odds <= math.log(max(1, enough.sum()) / most_chance))] = 0
-    best = np.array([odds[numbers[x:y]].max() if y > x else 0.0 for x, y in zip(begin[:-1], begin[1:], strict=True)])
-    return {candidates[i]: float(best[i]) for i in np.flatnonzero(best)}
+    place = np.full(len(vocabulary), -1, dtype=np.int64)
+    place[candidates] = np.arange(len(candidates))
+    own = [x[x >= 0] for x in (place[d] for d in toxic)]
+    place[:] = -1
+    place[others] = np.arange(len(others))
+    theirs = [place[d] for d in clean]
+    some, other_words = [vocabulary[i] for i in candidates], [vocabulary[i] for i in others]
+    share, tried = len(toxic) / (len(toxic) + len(clean)), 0
+    best = np.zeros(len(some))
+    for k in range(shortest, longest + 1):
+        numbers, begin = _pieces(some, k)
+        known, piece = np.unique(numbers, return_inverse=True)
+        if not len(known):
+            continue
+        a = _documents_with(own, piece, begin, len(known))
+        enough = a >= max(3, len(toxic) // 400)
+        tried += int(enough.sum())
+        numbers, their_begin = _pieces(other_words, k)
+        slot = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
+        hit = (known[slot] == numbers) & enough[slot]
+        kept = np.concatenate([[0], np.cumsum(hit)])
+        c = _documents_with(theirs, slot[hit], kept[their_begin], len(known))
+        rate = a / np.maximum(a + c, 1)
+        odds = a * np.log(np.maximum(rate, 1e-9) / share) + c * np.log(np.maximum(1 - rate, 1e-9) / (1 - share)) * (c > 0)
+        odds[~enough | (rate <= share) | (c > 0.1 * a)] = 0
+        np.maximum.at(best, np.repeat(np.arange(len(some)), np.diff(begin)), odds[piece])
+    best[best <= math.log(max(1, tried) / most_chance)] = 0
+    return {int(candidates[i]): float(best[i]) for i in np.flatnonzero(best)}
 
 
 def _newton(x: np.ndarray, y: np.ndarray, s: np.ndarray, c: float, steps: int = 40) -> np.ndarray:
@@ -236,17 +256,18 @@ def _newton(x: np.ndarray, y: np.ndarray, s: np.ndarray, c: float, steps: int =
     return w
 
 
-def _platt(margin: np.ndarray, label: np.ndarray, steps: int = 100) -> tuple[float, float]:
+def _platt(margin: np.ndarray, label: np.ndarray, toxic_weight: float = 1.0, steps: int = 100) -> tuple[float, float]:
     """Logistic of the margin with Platt's smoothed targets, by damped Newton steps."""
+    r = np.where(label > 0, toxic_weight, 1.0)
     pos, neg = label.sum(), len(label) - label.sum()
     target = np.where(label > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     x = np.stack([margin, np.ones_like(margin)], axis=1)
     w = np.array([1.0, 0.0])
-    loss = lambda v: np.logaddexp(0, x @ v).sum() - target @ (x @ v) + 1e-3 * v[0] ** 2
+    loss = lambda v: r @ (np.logaddexp(0, x @ v) - target * (x @ v)) + 1e-3 * v[0] ** 2
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        g = x.T @ (p - target) + np.array([2e-3 * w[0], 0])
-        h = x.T @ (x * (p * (1 - p))[:, None]) + np.eye(2) * 2e-3
+        g = x.T @ (r * (p - target)) + np.array([2e-3 * w[0], 0])
+        h = x.T @ (x * (r * p * (1 - p))[:, None]) + np.eye(2) * 2e-3
         step, rate = np.linalg.solve(h, g), 1.0
         while rate > 1e-4 and loss(w - rate * step) > loss(w):
             rate /= 2
@@ -271,7 +292,7 @@ def _unlike(rows: list[tuple[int, str | None]], window: int = 5, kept: int = 4)
     return out
 
 
-def fit(rows: list[tuple[int, str | None]], *, folds: int = 3, cross_below: int = 1500, seed: int = 7, **options) -> Model:
+def fit(rows: list[tuple[int, str | None]], *, folds: int = 3, cross_below: int = 1500, toxic_weight: float = 1.0, seed: int = 7, **options) -> Model:
     """Train on (label, text) rows. The logistic fit uses documents that the SVM hasn't seen: a fold kept
     apart, or with under `cross_below` documents all folds in turn, the final SVM then learning from all."""
     order = np.random.default_rng(seed).permutation(len(rows))
@@ -288,7 +309,7 @@ def fit(rows: list[tuple[int, str | None]], *, folds: int = 3, cross_below: int
         return Model(Kernel())
     if small:
         model = _fit_svm(rows, seed=seed, **options)
-    model.slope, model.level = _platt(np.concatenate(margins).astype(float), y)
+    model.slope, model.level = _platt(np.concatenate(margins).astype(float), y, toxic_weight)
     return model
 
 
@@ -298,22 +319,28 @@ def _fit_svm(
 ) -> Model:
     kernel = kernel or Kernel()
     rng = np.random.default_rng(seed)
-    bags = [(label, [set(words(s)) for s in _SENTENCE.split(text or "")]) for label, text in train]
-    whole = lambda want: [set().union(*b) for label, b in bags if label == want]
-    toxic, clean = whole(1), whole(0)
+    numbering: dict[bytes, int] = {}
+    number = lambda t: np.unique(np.fromiter((numbering.setdefault(w, len(numbering)) for w in words(t)), dtype=np.int64))
+    # clean documents as sentences, since a hard word is looked for in each; of all documents the distinct words
+    sentences = [x for label, text in train if label == 0 for x in map(number, _SENTENCE.split(text or "")) if len(x)]
+    toxic, clean = ([number(t) for label, t in train if label == want] for want in (1, 0))
     if not toxic or not clean:
         return Model(kernel)
     once = _unlike(train)
-    typical = typical_words(*[[set(words(t)) for label, t in once if label == want] for want in (1, 0)])
+    typical = typical_words(list(numbering), *[[number(t) for label, t in once if label == want] for want in (1, 0)])
     if not typical:
         return Model(kernel)
-    counts = Counter(w for d in toxic for w in d if w in typical)
-    positive = [w for w, _ in counts.most_common(4000)]
-    everyone = sorted(set().union(*clean) - set(positive))
+    vocabulary = list(numbering)
+    seen = np.bincount(np.concatenate(toxic), minlength=len(vocabulary))
+    chosen_words = sorted(typical, key=lambda i: (-seen[i], vocabulary[i]))[:4000]
+    positive = [vocabulary[i] for i in chosen_words]
+    counts = {vocabulary[i]: int(seen[i]) for i in chosen_words}
+    everyone = sorted({vocabulary[i] for i in np.unique(np.concatenate(clean))} - set(positive))
     # landmarks: often seen typical words, each unlike those chosen before; a few clean words
-    first = sorted(positive, key=lambda w: (-counts[w] / (len(w) + 2), w))[:600]
+    first = sorted(positive, key=lambda w: (-counts[w] / (len(w) + 2), w))[:500]
     own = kernel.matrix(first, kernel.numbers(first))
     alike = own @ own.T
+    del own
     chosen: list[int] = []
     for limit in (0.3, 0.5, 0.7, 0.9):
         for i in range(len(first)):
@@ -326,7 +353,7 @@ def _fit_svm(
     values, vectors = np.linalg.eigh(table.T @ table)
     project = table @ (vectors / np.sqrt(np.maximum(values, 1e-4)))  # Nystroem map of kernel rows; tiny directions are damped
 
-    def mapped(some: list[bytes], block: int = 1000) -> np.ndarray:
+    def mapped(some: list[bytes], block: int = 250) -> np.ndarray:
         parts = [kernel.matrix(some[i : i + block], numbers) @ project for i in range(0, len(some), block)]
         return np.concatenate([np.concatenate(parts), np.ones((len(some), 1))], axis=1)
 
@@ -348,10 +375,11 @@ def _fit_svm(
         w = _newton(x, y, s, c)
         model = Model(kernel, numbers, (project @ w[:-1]).astype(np.float32), float(w[-1]), landmarks=tuple(landmarks))
         if turn < rounds - 1:
-            margins = dict(zip(everyone, model.scorer()(everyone).tolist(), strict=True))
-            known = [[w for w in b if w in margins] for label, bag in bags if label == 0 for b in bag]
-            hardest = {max(b, key=margins.__getitem__) for b in known if b}
-            pool = list(dict.fromkeys(pool + sorted(hardest, key=lambda w: -margins[w])[:negatives]))
+            margins = np.full(len(vocabulary), -np.inf, dtype=np.float32)
+            margins[[numbering[w] for w in everyone]] = model.scorer()(everyone)
+            hardest = {int(x[margins[x].argmax()]) for x in sentences}
+            found = sorted((i for i in hardest if margins[i] > -np.inf), key=lambda i: (-margins[i], vocabulary[i]))[:negatives]
+            pool = list(dict.fromkeys(pool + [vocabulary[i] for i in found]))
     return model
 
 
@@ -394,13 +422,12 @@ def train(
     most_clean: int = 4000, **options,
 ) -> Model:
     """Fit on the labelled rows among docs; pass only the documents that may be learnt from. As the sample
-    has more toxic documents than the labels have, the logistic's level is put back to the labels' odds."""
+    has more toxic documents than the labels have, they weigh less in the logistic fit."""
     rows, n = sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, most_toxic=most_toxic, most_clean=most_clean)
-    model = fit(rows, **options)
     drawn = Counter(label for label, _ in rows)
-    if model.slope and drawn[0] and drawn[1]:
-        model.level += math.log(n[1] / n[0]) - math.log(drawn[1] / drawn[0])
-    return model
+    if not drawn[0] or not drawn[1]:
+        return Model(Kernel())
+    return fit(rows, toxic_weight=n[1] * drawn[0] / (n[0] * drawn[1]), **options)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
