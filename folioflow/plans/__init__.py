@@ -1,4 +1,6 @@
 """Registered queries of the document-corpus operators and their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .queries import QUERIES
+from .sql import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
