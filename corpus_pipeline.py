@@ -14,7 +14,7 @@ from folioflow.llm.decontamination import decontaminate
 from folioflow.llm.hilbert_sharding import shard
 from folioflow.llm.simhash import deduplicate
 from folioflow.llm.source_mixing import mixed
-from folioflow.llm.toxicity import score, train
+from folioflow.llm.toxicity import train, without_toxic
 
 #: No DuckDB equivalent: the first stage trains a model. The stages are tested against brute force.
 ORACLE_SQL = None
@@ -29,7 +29,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores below TOXIC_FROM."""
     model = train(docs.where(remainder(F.col("doc_id"), 4) != 2), _table(spark, sf_dir, "labels"))
-    return score(docs, model).where(F.col("_score") < TOXIC_FROM).select(*docs.columns)
+    return without_toxic(docs, model, toxic_from=TOXIC_FROM)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

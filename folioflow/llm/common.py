@@ -78,6 +78,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns named by their place, so that none clashes with an operator's own, and the
+    new name of each column."""
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 def chunks(texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of a batch of about `most` characters, one row at least; no text is cut."""
     start, size = 0, 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, chunks
+from .common import alnum_words, by_place, chunks
 
 SPAN = "struct<item_id:string,item_word:bigint,doc_word:bigint,n_words:bigint>"
 _BASE = 254  # digits 1..254: no byte is 0 (numpy strips it) or 255 (above every digit)
@@ -186,5 +186,6 @@ def contamination(matched: DataFrame, *, percent: int = 5) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", percent: int = 5, **options: Any) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    found = contamination(benchmark_matches(docs, benchmark, text_col=text_col, carry=tuple(docs.columns), **options), percent=percent)
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    held, name = by_place(docs)
+    matched = benchmark_matches(held, benchmark, id_col=held.columns[0], text_col=name[text_col], carry=tuple(held.columns), **options)
+    return contamination(matched, percent=percent).where(~F.col("contaminated")).select(*held.columns).toDF(*docs.columns)

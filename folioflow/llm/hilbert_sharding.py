@@ -141,7 +141,7 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", max_rows
     """Write the documents as Parquet, a folder for each shard, rows in curve order. Ids must be unique."""
     placed = shard(docs, id_col=id_col, **options).select(F.col("doc_id").alias(id_col), "shard", "slot")
     target = str(PurePosixPath(path)) if "://" not in path else path
-    joined = docs.join(placed, id_col)
+    joined = docs.drop("shard", "slot").join(placed, id_col)
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.option(
         "maxRecordsPerFile", max_rows_per_file
     ).partitionBy("shard").parquet(target)

@@ -263,6 +263,7 @@ def main_text(html: str | None, w: tuple[float, ...] | None = None) -> str:
 def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     """pages with _text (the main text, blocks joined by one space) and _blocks (how many were kept)."""
     w = weights()
+    pages = pages.drop("_text", "_blocks")
     schema = pages.limit(0).withColumns({"_text": F.lit("").cast("string"), "_blocks": F.lit(0)}).schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -174,6 +174,9 @@ agpl | 0.9 | redistribute | you can redistribute it and or modify it under the t
 zlib | 0.9 | provided | this software is provided as is without any express or implied warranty
 unlicense | 0.95 | unencumbered | this is free and unencumbered software released into the public domain
 wtfpl | 0.9 | public | do what the fuck you want to public licen[cs]e
+mit | 1.0 | spdx | spdx licen[cs]e identifier mit
+isc | 1.0 | spdx | spdx licen[cs]e identifier isc
+zlib | 1.0 | spdx | spdx licen[cs]e identifier zlib
 dual-license | 0.6 | dual | dual licen[cs]ed( under)?
 no-derivatives | 0.5 | derivative | no derivative works
 non-commercial | 0.5 | commercial | non commercial use only

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, lower_words, stored
+from .common import by_place, chunks, lower_words, stored
 from .components import connected_components
 
 BITS = 64
@@ -58,7 +58,8 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """The documents with a column _fp, the fingerprint as a signed long."""
+    """The documents with a column _fp (any of that name is replaced), the fingerprint as a signed long."""
+    docs = docs.drop("_fp")
     schema = docs.limit(0).withColumn("_fp", F.lit(0).cast("long")).schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,13 +245,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
     """One document of every component: the one with the smallest id (of repeated rows, the first).
     Same columns as docs."""
-    rows = stored(fingerprints(docs, text_col).withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
-    found = components(rows, id_col=id_col, **options).select(F.col("_fp").alias("_found"), "component")
-    slim = rows.select("_row", F.col(id_col).alias("_id"), "_fp").join(found, F.col("_fp") == F.col("_found"))
+    held, name = by_place(docs)
+    rows = stored(fingerprints(held, name[text_col]).withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
+    found = components(rows, id_col=name[id_col], **options).select(F.col("_fp").alias("_found"), "component")
+    slim = rows.select("_row", F.col(name[id_col]).alias("_id"), "_fp").join(found, F.col("_fp") == F.col("_found"))
     order = F.struct(F.col("_id").isNull(), "_id", "_row")
     stay = stored(slim.groupBy("component").agg(F.min(order)["_row"].alias("_row")).select("_row"), "stay")
     gone = rows.select("_row").join(stay, "_row", "left_anti")
     gone = stored(gone, "gone")
     if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return rows.join(gone, "_row", "left_anti").select(*held.columns).toDF(*docs.columns)

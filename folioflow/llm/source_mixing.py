@@ -19,10 +19,12 @@ rows' values enter. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, stored
+from .common import GAP, by_place, stored
 
 BINS = 4096
 LAW_COLUMNS = ("_size", "_base_rate", "_draw")
@@ -65,16 +67,31 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float
 
 
 def tilt(cells: Column, target: Column, cap: float, steps: int = 60) -> Column:
-    """lambda of a source: Newton steps on the dual. cells: array of (rate, words). The slope without
-    the cap bounds the true one, so a step never passes the root once it is above it."""
+    """lambda of a source: Newton steps on the dual. cells: array of (rate, words). The state holds the
+    bounds between which the root is known to lie; a step that leaves them is halved to their middle."""
+
+    def total(value: Callable[[Column], Column]) -> Column:
+        return F.aggregate(cells, F.lit(0.0), lambda t, c: t + c["words"] * value(c["rate"]))
+
+    def step(s: Column, _: Column) -> Column:
+        tilted = lambda r: r * F.exp(s["at"])
+        here = F.struct(
+            s["at"].alias("at"), s["low"].alias("low"), s["high"].alias("high"), total(lambda r: F.least(F.lit(cap), tilted(r))).alias("mass"),
+            total(lambda r: F.when(tilted(r) < cap, tilted(r)).otherwise(0.0)).alias("slope"),
+        )
+
+        def moved(h: Column) -> Column:
+            low, high = F.when(h["mass"] < target, h["at"]).otherwise(h["low"]), F.when(h["mass"] < target, h["high"]).otherwise(h["at"])
+            newton = h["at"] - F.try_divide(h["mass"] - target, h["slope"])
+            inside = F.coalesce((newton > low) & (newton < high), F.lit(False))
+            at = F.when(h["mass"] == target, h["at"]).when(inside, newton).otherwise((low + high) / 2)
+            return F.struct(at.alias("at"), low.alias("low"), high.alias("high"))
 
-    def step(lam: Column, _: Column) -> Column:
-        mass = F.aggregate(cells, F.lit(0.0), lambda t, c: t + c["words"] * F.least(F.lit(cap), c["rate"] * F.exp(lam)))
-        slope = F.aggregate(cells, F.lit(0.0), lambda t, c: t + c["words"] * c["rate"] * F.exp(lam))
-        return lam - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (mass - target) / slope))
+        return F.element_at(F.transform(F.array(here), moved), 1)
 
     words = F.aggregate(cells, F.lit(0.0), lambda t, c: t + c["words"])
-    return F.when(words <= 0, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step))
+    first = F.struct(F.lit(0.0).alias("at"), F.lit(-40.0).alias("low"), F.lit(40.0).alias("high"))
+    return F.when(words <= 0, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step, lambda s: s["at"]))
 
 
 def _rate(cap: float) -> Column:
@@ -165,8 +182,12 @@ def mix(
     return joined.select(*[F.col(f"_carry_{c}").alias(c) for c in carry], *([results[-1].alias("_copies")] if carry else results))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", base_rate: Column | None = None, **options) -> DataFrame:
     """The documents, repeated by their copies; same columns."""
-    out = mix(docs, carry=tuple(docs.columns), **options)
+    with_rate = docs if base_rate is None else docs.select("*", base_rate)
+    held, name = by_place(with_rate)
+    own = held.columns[: len(docs.columns)]
+    rate = None if base_rate is None else F.col(held.columns[-1])
+    out = mix(held, id_col=name[id_col], text_col=name[text_col], source_col=name[source_col], base_rate=rate, carry=tuple(own), **options)
     times = F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))
-    return out.where(F.col("_copies") > 0).withColumn("_copy", times).select(*docs.columns)
+    return out.where(F.col("_copies") > 0).withColumn("_copy", times).select(*own).toDF(*docs.columns)

@@ -33,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import chunks
+from .common import by_place, chunks
 
 #: Digits and the letters they resemble.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
@@ -431,8 +432,10 @@ def train(
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """docs with _score (0 to 1) and _worst (the folded word that scored highest)."""
-    schema = docs.limit(0).withColumns({"_score": F.lit(0.0), "_worst": F.lit("").cast("string")}).schema
+    """docs with _score (0 to 1) and _worst (the folded word that scored highest, null without words);
+    columns of these names are replaced."""
+    docs = docs.drop("_score", "_worst")
+    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType()), StructField("_worst", StringType())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -447,3 +450,9 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
                 )
 
     return docs.mapInArrow(add, schema)
+
+
+def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", toxic_from: float = 0.3) -> DataFrame:
+    """The documents that score below toxic_from, with all their columns."""
+    held, name = by_place(docs)
+    return score(held, model, text_col=name[text_col]).where(F.col("_score") < toxic_from).select(*held.columns).toDF(*docs.columns)
