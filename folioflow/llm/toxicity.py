@@ -293,23 +293,21 @@ def _unlike(rows: list[tuple[int, str | None]], window: int = 5, kept: int = 4)
     return out
 
 
-def fit(rows: list[tuple[int, str | None]], *, folds: int = 3, cross_below: int = 1500, toxic_weight: float = 1.0, seed: int = 7, **options) -> Model:
-    """Train on (label, text) rows. The logistic fit uses documents that the SVM hasn't seen: a fold kept
-    apart, or with under `cross_below` documents all folds in turn, the final SVM then learning from all."""
+def fit(rows: list[tuple[int, str | None]], *, folds: int = 3, toxic_weight: float = 1.0, seed: int = 7, **options) -> Model:
+    """Train on (label, text) rows. The logistic fit uses the margins of all folds in turn, each under an
+    SVM that hasn't seen it; the final SVM learns from all rows."""
     order = np.random.default_rng(seed).permutation(len(rows))
     rows = [rows[i] for i in order]
-    margins, labels, model = [], [], None
-    small = len(rows) < cross_below
-    for k in range(folds if small else 1):
-        model = _fit_svm([r for i, r in enumerate(rows) if i % folds != k], seed=seed, **options)
+    margins, labels = [], []
+    for k in range(folds):
         apart = rows[k::folds]
+        model = _fit_svm([r for i, r in enumerate(rows) if i % folds != k], seed=seed, **options)
         margins.append(Scorer(model)([t for _, t in apart])[0])
         labels += [label for label, _ in apart]
     y = np.array(labels, dtype=float)
     if not 0 < y.sum() < len(y):
         return Model(Kernel())
-    if small:
-        model = _fit_svm(rows, seed=seed, **options)
+    model = _fit_svm(rows, seed=seed, **options)
     model.slope, model.level = _platt(np.concatenate(margins).astype(float), y, toxic_weight)
     return model
 

@@ -343,6 +343,30 @@ def test_toxicity_learns_and_tolerates_gaps():
     assert (score(None, "", "  ", "bake lomi nura", "漢字") < 0.3).all()
 
 
+@pytest.mark.parametrize("n", [300, 1800])
+def test_toxicity_learns_from_all_rows(monkeypatch, n):
+    """At every size the logistic fit sees each row once, unknown to its SVM, and the final SVM learns from all rows."""
+    learnt, scored = [], []
+    svm, scorer = toxicity._fit_svm, toxicity.Scorer
+
+    def fit_svm(train, **options):
+        learnt.append(Counter(train))
+        return svm(train, **options)
+
+    class Watched(scorer):
+        def __call__(self, texts):
+            scored.append(list(texts))
+            return super().__call__(texts)
+
+    monkeypatch.setattr(toxicity, "_fit_svm", fit_svm)
+    monkeypatch.setattr(toxicity, "Scorer", Watched)
+    rows = [(label, f"{text} r{i}") for i, (label, text) in enumerate(_labelled(n))]
+    toxicity.fit(rows)
+    assert learnt[-1] == Counter(rows)
+    assert Counter(t for x in scored for t in x) == Counter(t for _, t in rows)
+    assert all({t for _, t in seen}.isdisjoint(apart) for seen, apart in zip(learnt, scored, strict=False))
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1)], [(1, 0)], [(1, None)], [(99999, 1)]])
 def test_toxicity_with_few_labels(docs, spark, labels):
     model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
