@@ -2,7 +2,8 @@
 
 Each line of NAMES is `label | keyword | regex`: the regex matches the name of a license in
 normalised text (lower-case words joined by one space), and is only tried where the keyword
-occurs. Every name yields three rules: a grant ("licensed under the <name>"), an identifier
+occurs as a whole word. A form that joins name and version ("gpl3", "gplv3") is a word of its own,
+so it has its own line. Every name yields three rules: a grant ("licensed under the <name>"), an identifier
 ("spdx license identifier <name>") and a bare mention. NOTICES are rules of their own, with a
 weight. Smaller priority wins where two rules match the same words.
 """
@@ -26,6 +27,8 @@ afl-3.0 | academic | academic free licen[cs]e( version| v)?( 3( 0)?)?
 agpl-1.0 | affero | affero general public licen[cs]e( version| v)? 1( 0)?
 agpl-3.0 | affero | (gnu )?affero general public licen[cs]e( version| v)? 3( 0)?( or later| only)?
 agpl-3.0 | agpl | (gnu )?agpl( version)?( v)? ?3( 0)?( or later| only)?
+agpl-3.0 | agpl3 | (gnu )?agpl3( 0)?( or later| only)?
+agpl-3.0 | agplv3 | (gnu )?agplv3( 0)?( or later| only)?
 agpl | affero | (gnu )?affero general public licen[cs]e
 apache-1.0 | apache | apache (software )?licen[cs]e( version| v)? 1 0
 apache-1.1 | apache | apache (software )?licen[cs]e( version| v)? 1 1
@@ -98,6 +101,10 @@ epl | eclipse | eclipse public licen[cs]e
 elastic-2.0 | elastic | elastic licen[cs]e( version)?( 2 0)?
 eupl-1.1 | eupl | eupl( version| v)? ?1 1
 eupl-1.2 | eupl | eupl( version| v)? ?1 2
+eupl-1.1 | eupl1 | eupl1 1
+eupl-1.2 | eupl1 | eupl1 2
+eupl-1.1 | euplv1 | euplv1 1
+eupl-1.2 | euplv1 | euplv1 2
 eupl | european | european union public licen[cs]e( v?1 [12])?
 gfdl-1.2 | documentation | (gnu )?free documentation licen[cs]e( version)? 1 2
 gfdl-1.3 | documentation | (gnu )?free documentation licen[cs]e( version)? 1 3
@@ -105,8 +112,12 @@ gfdl | documentation | (gnu )?free documentation licen[cs]e
 gpl-1.0 | gpl | (gnu )?gpl( version| v)? ?1( 0)?( or later| only)?
 gpl-2.0 | gpl | (gnu )?gpl( version| v)? ?2( 0)?( or later| only)?
 gpl-3.0 | gpl | (gnu )?gpl( version| v)? ?3( 0)?( or later| only)?
-gpl-2.0 | gplv2 | (gnu )?gplv2( or later| only)?
-gpl-3.0 | gplv3 | (gnu )?gplv3( or later| only)?
+gpl-1.0 | gpl1 | (gnu )?gpl1( 0)?( or later| only)?
+gpl-2.0 | gpl2 | (gnu )?gpl2( 0)?( or later| only)?
+gpl-3.0 | gpl3 | (gnu )?gpl3( 0)?( or later| only)?
+gpl-1.0 | gplv1 | (gnu )?gplv1( 0)?( or later| only)?
+gpl-2.0 | gplv2 | (gnu )?gplv2( 0)?( or later| only)?
+gpl-3.0 | gplv3 | (gnu )?gplv3( 0)?( or later| only)?
 gpl-1.0 | general | (gnu )?general public licen[cs]e( version| v)? 1( 0)?
 gpl-2.0 | general | (gnu )?general public licen[cs]e( version| v)? 2( 0)?
 gpl-3.0 | general | (gnu )?general public licen[cs]e( version| v)? 3( 0)?
@@ -121,6 +132,12 @@ lgpl-2.0 | library | (gnu )?library general public licen[cs]e( version| v)?( 2(
 lgpl | lesser | (gnu )?lesser general public licen[cs]e
 lgpl-2.1 | lgpl | (gnu )?lgpl( version| v)? ?2 1( or later| only)?
 lgpl-3.0 | lgpl | (gnu )?lgpl( version| v)? ?3( 0)?( or later| only)?
+lgpl-2.0 | lgpl2 | (gnu )?lgpl2( 0)?( or later| only)?
+lgpl-2.1 | lgpl2 | (gnu )?lgpl2 1( or later| only)?
+lgpl-3.0 | lgpl3 | (gnu )?lgpl3( 0)?( or later| only)?
+lgpl-2.0 | lgplv2 | (gnu )?lgplv2( 0)?( or later| only)?
+lgpl-2.1 | lgplv2 | (gnu )?lgplv2 1( or later| only)?
+lgpl-3.0 | lgplv3 | (gnu )?lgplv3( 0)?( or later| only)?
 lppl-1.3 | latex | latex project public licen[cs]e( v?1 3c?)?
 mit | mit | (the )?(x11 |expat )?mit( style)? licen[cs]e
 mit | expat | expat licen[cs]e
@@ -130,6 +147,10 @@ mpl-1.1 | mozilla | mozilla public licen[cs]e( version| v)? 1 1
 mpl-2.0 | mozilla | mozilla public licen[cs]e( version| v)? 2( 0)?
 mpl | mozilla | mozilla public licen[cs]e
 mpl-2.0 | mpl | mpl( version| v)? ?2 0
+mpl-1.1 | mpl1 | mpl1 1
+mpl-1.1 | mplv1 | mplv1 1
+mpl-2.0 | mpl2 | mpl2( 0)?
+mpl-2.0 | mplv2 | mplv2( 0)?
 ms-pl | microsoft | microsoft public licen[cs]e
 ms-rl | microsoft | microsoft reciprocal licen[cs]e
 ncsa | ncsa | (university of illinois )?ncsa( open source)? licen[cs]e

@@ -82,16 +82,15 @@ def _not_contained(spans: Column) -> Column:
 
 
 def _rule_table(rules: list[Signature]) -> Column:
-    """The rules as one array literal (folded when the plan is optimised)."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(r.rule).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"),
-                F.lit(r.pattern).alias("pattern"), F.lit(r.priority).cast("int").alias("priority"), F.lit(r.weight).alias("weight"),
-            )
-            for r in rules
-        ]
+    """The rules by keyword as one array literal (folded when the plan is optimised)."""
+    by: dict[str, list[Signature]] = {}
+    for r in rules:
+        by.setdefault(r.keyword, []).append(r)
+    rule = lambda r: F.struct(
+        F.lit(r.rule).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"),
+        F.lit(r.priority).cast("int").alias("priority"), F.lit(r.weight).alias("weight"),
     )
+    return F.array(*[F.struct(F.lit(f" {k} ").alias("keyword"), F.array(*map(rule, some)).alias("rules")) for k, some in by.items()])
 
 
 def license_scan(
@@ -113,8 +112,8 @@ def license_scan(
     none = F.array().cast(f"array<{SPAN}>")
 
     def matches(some: list[Signature]) -> Column:
-        tried = F.filter(_rule_table(some), lambda r: F.contains(F.col("padded"), F.concat(F.lit(" "), r["keyword"], F.lit(" "))))
-        return F.flatten(F.transform(tried, lambda r: _spans(F.col("padded"), r)))
+        tried = F.filter(_rule_table(some), lambda k: F.contains(F.col("padded"), k["keyword"]))
+        return F.flatten(F.transform(F.flatten(F.transform(tried, lambda k: k["rules"])), lambda r: _spans(F.col("padded"), r)))
 
     return (
         norm.withColumn("gated", gate)

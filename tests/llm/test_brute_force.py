@@ -150,6 +150,33 @@ def test_license_labels(spark):
     assert "apache-2.0" in labels and any("mit" in x for x in labels)
 
 
+JOINED = {
+    "GPL2": "gpl-2.0", "GPL3": "gpl-3.0", "GPLv1": "gpl-1.0", "GPLv2": "gpl-2.0", "GPLv3": "gpl-3.0", "GPL v3": "gpl-3.0", "LGPL2.1": "lgpl-2.1", "LGPLv2.1": "lgpl-2.1",
+    "LGPL3": "lgpl-3.0", "LGPLv3": "lgpl-3.0", "AGPL3": "agpl-3.0", "AGPLv3": "agpl-3.0", "MPL2.0": "mpl-2.0", "MPLv2.0": "mpl-2.0", "EUPL1.2": "eupl-1.2", "EUPLv1.2": "eupl-1.2",
+}
+
+
+def test_license_scan_of_joined_forms(spark):
+    """Every regex on every text, without the keywords."""
+    names = list(JOINED)
+    texts = [f"licensed under {n}" for n in names] + [f"{n} or later" for n in names] + ["open source under the MIT license, LGPL2 and GPL-2.0-only"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in license_scan.license_scan(df).collect():
+        padded, found = f" {' '.join(alnum(texts[r.doc_id]))} ", []
+        for rule in signatures():
+            for m in re.finditer(rule.pattern, padded):
+                start = padded[: m.start()].count(" ") - 1
+                found.append((start, -(start + m[0].count(" ")), rule.priority, rule.label))
+        reach, kept = -1, []
+        for s in sorted(found):
+            if -s[1] > reach:
+                kept.append((s[0], -s[1], s[3]))
+                reach = -s[1]
+        assert [(d.start, d.last, d.label) for d in r.detections] == kept
+        if r.doc_id < 2 * len(names):
+            assert [d.label for d in r.detections] == [JOINED[names[r.doc_id % len(names)]]]
+
+
 # language model
 
 
