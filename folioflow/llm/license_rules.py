@@ -3,13 +3,15 @@
 Each line of NAMES is `label | keyword | regex`: the regex matches the name of a license in
 normalised text (lower-case words joined by one space), and is only tried where the keyword
 occurs as a whole word. A form that joins name and version ("gpl3", "gplv3") is a word of its own,
-so it has its own line. Every name yields three rules: a grant ("licensed under the <name>"), an identifier
-("spdx license identifier <name>") and a bare mention. NOTICES are rules of their own, with a
+so it has its own line. Every name yields three rules: a grant ("licensed under the <name>"), a name behind the
+identifier's marker ("spdx license identifier <name>") and a bare mention. IDENTIFIERS yields the rules
+of the SPDX ids behind that marker. NOTICES are rules of their own, with a
 weight. Smaller priority wins where two rules match the same words.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 
@@ -30,10 +32,12 @@ agpl-3.0 | agpl | (gnu )?agpl( version)?( v)? ?3( 0)?( or later| only)?
 agpl-3.0 | agpl3 | (gnu )?agpl3( 0)?( or later| only)?
 agpl-3.0 | agplv3 | (gnu )?agplv3( 0)?( or later| only)?
 agpl | affero | (gnu )?affero general public licen[cs]e
+agpl | agpl | (gnu )?agpl( licen[cs]e)?
 apache-1.0 | apache | apache (software )?licen[cs]e( version| v)? 1 0
 apache-1.1 | apache | apache (software )?licen[cs]e( version| v)? 1 1
 apache-2.0 | apache | apache (software )?licen[cs]e( version| v)? ?2( 0)?
 apache-2.0 | apache | apache 2( 0)?( licen[cs]e)?
+apache | apache | apache (software )?licen[cs]e
 apsl-2.0 | apple | apple public source licen[cs]e( version)?( 2 0)?
 artistic-1.0 | artistic | (perl )?artistic licen[cs]e( version)? 1 0
 artistic-2.0 | artistic | (perl )?artistic licen[cs]e( version)? 2 0
@@ -88,6 +92,7 @@ cc-by-nc | creative | creative commons attribution non ?commercial( [1-4] [05])?
 cc-by-nc-sa | creative | creative commons attribution non ?commercial share ?alike( [1-4] [05])?( international| unported)?( licen[cs]e)?
 cc-by-nc-nd | creative | creative commons attribution non ?commercial no ?deriv(ative)?s( [1-4] [05])?( international| unported)?( licen[cs]e)?
 cc-by-nd | creative | creative commons attribution no ?deriv(ative)?s( [1-4] [05])?( international| unported)?( licen[cs]e)?
+cc-by | creative | creative commons attribution( [1-4] [05])?( international| unported| generic)?( public)?( licen[cs]e)?
 cc0-1.0 | creative | creative commons zero( v?1 0)?( universal)?
 cddl-1.0 | cddl | cddl( version| v)?( 1 0)?
 cddl-1.0 | distribution | common development and distribution licen[cs]e( version)?( 1 0)?
@@ -122,6 +127,7 @@ gpl-1.0 | general | (gnu )?general public licen[cs]e( version| v)? 1( 0)?
 gpl-2.0 | general | (gnu )?general public licen[cs]e( version| v)? 2( 0)?
 gpl-3.0 | general | (gnu )?general public licen[cs]e( version| v)? 3( 0)?
 gpl | general | gnu general public licen[cs]e
+gpl | gpl | (gnu )?gpl( licen[cs]e)?
 hpnd | historical | historical permission notice and disclaimer
 ibm-public-1.0 | ibm | ibm public licen[cs]e( version)?( 1 0)?
 isc | isc | isc licen[cs]e
@@ -130,6 +136,7 @@ lgpl-2.1 | lesser | (gnu )?lesser general public licen[cs]e( version| v)? 2 1
 lgpl-3.0 | lesser | (gnu )?lesser general public licen[cs]e( version| v)? 3( 0)?
 lgpl-2.0 | library | (gnu )?library general public licen[cs]e( version| v)?( 2( 0)?)?
 lgpl | lesser | (gnu )?lesser general public licen[cs]e
+lgpl | lgpl | (gnu )?lgpl( licen[cs]e)?
 lgpl-2.1 | lgpl | (gnu )?lgpl( version| v)? ?2 1( or later| only)?
 lgpl-3.0 | lgpl | (gnu )?lgpl( version| v)? ?3( 0)?( or later| only)?
 lgpl-2.0 | lgpl2 | (gnu )?lgpl2( 0)?( or later| only)?
@@ -195,14 +202,159 @@ agpl | 0.9 | redistribute | you can redistribute it and or modify it under the t
 zlib | 0.9 | provided | this software is provided as is without any express or implied warranty
 unlicense | 0.95 | unencumbered | this is free and unencumbered software released into the public domain
 wtfpl | 0.9 | public | do what the fuck you want to public licen[cs]e
-mit | 1.0 | spdx | spdx licen[cs]e identifier mit
-isc | 1.0 | spdx | spdx licen[cs]e identifier isc
-zlib | 1.0 | spdx | spdx licen[cs]e identifier zlib
+apache-2.0 | 0.95 | compliance | you may not use this file except in compliance with the licen[cs]e
+apache | 0.8 | apache | licen[cs]ed to the apache software foundation
+bsd | 0.9 | bsd | (the )?use of this source code is governed by a bsd style licen[cs]e
+mpl | 0.9 | mozilla | this source code form is subject to the terms of the mozilla public licen[cs]e
+epl | 0.9 | eclipse | this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e
+cc0-1.0 | 0.9 | waived | has waived all copyright and related or neighbo(u)?ring rights
 dual-license | 0.6 | dual | dual licen[cs]ed( under)?
 no-derivatives | 0.5 | derivative | no derivative works
 non-commercial | 0.5 | commercial | non commercial use only
 """
 
+#: label: SPDX identifiers, as they stand behind "SPDX-License-Identifier:"; a final + means that
+#: "-only", "-or-later" and "+" may follow.
+IDENTIFIERS = """
+afl-1.1: AFL-1.1
+afl-1.2: AFL-1.2
+afl-2.0: AFL-2.0
+afl-2.1: AFL-2.1
+afl-3.0: AFL-3.0
+agpl-1.0: AGPL-1.0+
+agpl-3.0: AGPL-3.0+
+apache-1.0: Apache-1.0
+apache-1.1: Apache-1.1
+apache-2.0: Apache-2.0
+apsl-1.0: APSL-1.0
+apsl-1.1: APSL-1.1
+apsl-1.2: APSL-1.2
+apsl-2.0: APSL-2.0
+artistic-1.0: Artistic-1.0 Artistic-1.0-Perl Artistic-1.0-cl8
+artistic-2.0: Artistic-2.0
+beerware: Beerware
+blueoak-1.0.0: BlueOak-1.0.0
+bsd-0-clause: 0BSD
+bsd-1-clause: BSD-1-Clause
+bsd-2-clause: BSD-2-Clause BSD-2-Clause-Patent BSD-2-Clause-Views BSD-2-Clause-FreeBSD BSD-2-Clause-NetBSD
+bsd-3-clause: BSD-3-Clause BSD-3-Clause-Clear BSD-3-Clause-LBNL BSD-3-Clause-Attribution BSD-3-Clause-Modification
+bsd-4-clause: BSD-4-Clause BSD-4-Clause-UC
+bsl-1.0: BSL-1.0
+busl-1.1: BUSL-1.1
+cc-by-1.0: CC-BY-1.0
+cc-by-2.0: CC-BY-2.0
+cc-by-2.5: CC-BY-2.5
+cc-by-3.0: CC-BY-3.0
+cc-by-4.0: CC-BY-4.0
+cc-by-nc-1.0: CC-BY-NC-1.0
+cc-by-nc-2.0: CC-BY-NC-2.0
+cc-by-nc-2.5: CC-BY-NC-2.5
+cc-by-nc-3.0: CC-BY-NC-3.0
+cc-by-nc-4.0: CC-BY-NC-4.0
+cc-by-nc-nd-1.0: CC-BY-NC-ND-1.0
+cc-by-nc-nd-2.0: CC-BY-NC-ND-2.0
+cc-by-nc-nd-2.5: CC-BY-NC-ND-2.5
+cc-by-nc-nd-3.0: CC-BY-NC-ND-3.0
+cc-by-nc-nd-4.0: CC-BY-NC-ND-4.0
+cc-by-nc-sa-1.0: CC-BY-NC-SA-1.0
+cc-by-nc-sa-2.0: CC-BY-NC-SA-2.0
+cc-by-nc-sa-2.5: CC-BY-NC-SA-2.5
+cc-by-nc-sa-3.0: CC-BY-NC-SA-3.0
+cc-by-nc-sa-4.0: CC-BY-NC-SA-4.0
+cc-by-nd-1.0: CC-BY-ND-1.0
+cc-by-nd-2.0: CC-BY-ND-2.0
+cc-by-nd-2.5: CC-BY-ND-2.5
+cc-by-nd-3.0: CC-BY-ND-3.0
+cc-by-nd-4.0: CC-BY-ND-4.0
+cc-by-sa-1.0: CC-BY-SA-1.0
+cc-by-sa-2.0: CC-BY-SA-2.0
+cc-by-sa-2.5: CC-BY-SA-2.5
+cc-by-sa-3.0: CC-BY-SA-3.0
+cc-by-sa-4.0: CC-BY-SA-4.0
+cc0-1.0: CC0-1.0
+cddl-1.0: CDDL-1.0
+cddl-1.1: CDDL-1.1
+cecill-1.0: CECILL-1.0
+cecill-2.0: CECILL-2.0
+cecill-2.1: CECILL-2.1
+cecill-b: CECILL-B
+cecill-c: CECILL-C
+cpl-1.0: CPL-1.0
+cpal-1.0: CPAL-1.0
+curl: curl
+ecl-1.0: ECL-1.0
+ecl-2.0: ECL-2.0
+efl-2.0: EFL-2.0
+elastic-2.0: Elastic-2.0
+epl-1.0: EPL-1.0
+epl-2.0: EPL-2.0
+eupl-1.0: EUPL-1.0
+eupl-1.1: EUPL-1.1
+eupl-1.2: EUPL-1.2
+ftl: FTL
+gfdl-1.1: GFDL-1.1+
+gfdl-1.2: GFDL-1.2+
+gfdl-1.3: GFDL-1.3+
+gpl-1.0: GPL-1.0+
+gpl-2.0: GPL-2.0+
+gpl-3.0: GPL-3.0+
+hpnd: HPND
+ibm-public-1.0: IPL-1.0
+icu: ICU
+ijg: IJG
+imagemagick: ImageMagick
+isc: ISC
+json: JSON
+lgpl-2.0: LGPL-2.0+
+lgpl-2.1: LGPL-2.1+
+lgpl-3.0: LGPL-3.0+
+libpng: Libpng libpng-2.0
+lppl-1.0: LPPL-1.0
+lppl-1.1: LPPL-1.1
+lppl-1.2: LPPL-1.2
+lppl-1.3: LPPL-1.3a LPPL-1.3c
+mit: MIT MIT-feh MIT-Modern-Variant
+mit-0: MIT-0
+mpl-1.0: MPL-1.0
+mpl-1.1: MPL-1.1
+mpl-2.0: MPL-2.0 MPL-2.0-no-copyleft-exception
+ms-pl: MS-PL
+ms-rl: MS-RL
+mulanpsl-2.0: MulanPSL-2.0
+ncsa: NCSA
+odbl-1.0: ODbL-1.0
+odc-by-1.0: ODC-By-1.0
+ofl-1.0: OFL-1.0
+ofl-1.1: OFL-1.1
+openssl: OpenSSL
+osl-1.0: OSL-1.0
+osl-2.0: OSL-2.0
+osl-2.1: OSL-2.1
+osl-3.0: OSL-3.0
+pddl-1.0: PDDL-1.0
+php-3.01: PHP-3.0 PHP-3.01
+postgresql: PostgreSQL
+psf-2.0: PSF-2.0
+python-2.0: Python-2.0 Python-2.0.1
+qpl-1.0: QPL-1.0
+rpl-1.5: RPL-1.5
+ruby: Ruby
+sissl: SISSL
+sleepycat: Sleepycat
+sspl-1.0: SSPL-1.0
+unicode-3.0: Unicode-3.0
+unicode-dfs-2016: Unicode-DFS-2015 Unicode-DFS-2016
+unlicense: Unlicense
+upl-1.0: UPL-1.0
+vim: Vim
+w3c: W3C W3C-20150513
+wtfpl: WTFPL
+x11: X11
+zlib: Zlib zlib-acknowledgement
+zpl-2.0: ZPL-2.0
+zpl-2.1: ZPL-2.1
+"""
+
 GRANT = (
     r"(?:released|licen[cs]ed|distributed|published|available|provided|covered|governed) "
     r"(?:under|by|with)(?: the)?(?: terms of(?: the)?)? "
@@ -210,12 +362,22 @@ GRANT = (
 IDENTIFIER = r"spdx licen[cs]e identifier "
 
 
+def _identifiers() -> list[tuple[str, str]]:
+    """Label and regex of each identifier as it stands in normalised text."""
+    lines = [line.split(": ") for line in IDENTIFIERS.strip().splitlines()]
+    return [
+        (label, " ".join(re.findall("[a-z0-9]+", x.lower())) + ("( or later| only)?" if x.endswith("+") else ""))
+        for label, ids in lines for x in ids.split()
+    ]
+
+
 def signatures() -> tuple[Signature, ...]:
-    """All rules in order: grants, identifiers, notices, bare mentions; within each, as listed."""
+    """All rules in order: grants, identifiers, names behind the identifier's marker, notices, bare mentions; within each, as listed."""
     names = [[x.strip() for x in line.split("|", 2)] for line in NAMES.strip().splitlines()]
     notes = [[x.strip() for x in line.split("|", 3)] for line in NOTICES.strip().splitlines()]
     rows = [(f"grant-{i}", a, k, GRANT + r, 1.0) for i, (a, k, r) in enumerate(names)]
-    rows += [(f"identifier-{i}", a, k, IDENTIFIER + r, 1.0) for i, (a, k, r) in enumerate(names)]
+    rows += [(f"identifier-{i}", a, "spdx", IDENTIFIER + r, 1.0) for i, (a, r) in enumerate(_identifiers())]
+    rows += [(f"marked-name-{i}", a, "spdx", IDENTIFIER + r, 1.0) for i, (a, k, r) in enumerate(names)]
     rows += [(f"notice-{i}", a, k, r, float(w)) for i, (a, w, k, r) in enumerate(notes)]
     rows += [(f"mention-{i}", a, k, r, 0.8) for i, (a, k, r) in enumerate(names)]
     return tuple(Signature(n, a, k, f"(?<= )(?:{r})(?= )", p, w) for p, (n, a, k, r, w) in enumerate(rows))

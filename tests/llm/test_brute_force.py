@@ -177,6 +177,27 @@ def test_license_scan_of_joined_forms(spark):
             assert [d.label for d in r.detections] == [JOINED[names[r.doc_id % len(names)]]]
 
 
+SPDX = {
+    "EPL-2.0": "epl-2.0", "BSL-1.0": "bsl-1.0", "Artistic-2.0": "artistic-2.0", "AFL-3.0": "afl-3.0", "OSL-3.0": "osl-3.0", "GFDL-1.3-or-later": "gfdl-1.3", "PostgreSQL": "postgresql",
+    "Python-2.0": "python-2.0", "Elastic-2.0": "elastic-2.0", "BUSL-1.1": "busl-1.1", "MS-PL": "ms-pl", "SSPL-1.0": "sspl-1.0", "UPL-1.0": "upl-1.0", "0BSD": "bsd-0-clause",
+    "BSD-3-Clause": "bsd-3-clause", "GPL-2.0-only": "gpl-2.0", "LGPL-2.1+": "lgpl-2.1", "MIT": "mit", "MIT-0": "mit-0", "ISC": "isc", "Zlib": "zlib", "Apache License 2.0": "apache-2.0",
+}
+BARE = {
+    "Creative Commons Attribution License": "cc-by", "Creative Commons Attribution 2.0 Generic license": "cc-by", "Creative Commons Attribution 4.0 International": "cc-by-4.0",
+    "Creative Commons Attribution-ShareAlike 3.0 License": "cc-by-sa", "licensed under the GPL.": "gpl", "GNU LGPL": "lgpl", "Apache Software License": "apache",
+    "you may not use this file except in compliance with the License": "apache-2.0", "Use of this source code is governed by a BSD-style license": "bsd",
+}
+
+
+def test_license_identifiers_and_bare_names(spark):
+    texts = [(f"// SPDX-License-Identifier: {x}\nimport os", {y}, 1.0) for x, y in SPDX.items()] + [(x, {y}, None) for x, y in BARE.items()]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts)], "doc_id long, text string")
+    for r in license_scan.license_scan(df).collect():
+        text, wanted, weight = texts[r.doc_id]
+        assert {d.label for d in r.detections} == wanted, text
+        assert weight is None or [d.weight for d in r.detections] == [weight]
+
+
 # language model
 
 
