@@ -37,6 +37,8 @@ BLOCKS = frozenset(
 )
 #: Elements whose text is never shown as text of the page.
 HIDDEN = frozenset("script style noscript template head title svg iframe object select option textarea button canvas audio video map".split())
+#: Elements that may stand in a head; any other start tag, or text, ends a head left open.
+IN_HEAD = frozenset("base basefont bgsound html link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _P_CLOSERS = BLOCKS - {"body", "html"}
 _SCOPE = frozenset("table td th tr ul ol div article section main aside nav header footer form body html blockquote".split())
@@ -111,7 +113,15 @@ class _Blocks(HTMLParser):
             if self.stack[i].tag in stop:
                 return
 
+    def _close_head(self) -> None:
+        if self.stack and self.stack[-1].tag == "head":
+            self._pop_to(len(self.stack) - 1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "body":
+            self._close({"head"}, {"template"})
+        elif tag not in IN_HEAD:
+            self._close_head()
         if tag in BLOCKS:
             self.flush()
             if tag in _P_CLOSERS:
@@ -142,6 +152,8 @@ class _Blocks(HTMLParser):
                     break
 
     def handle_data(self, data: str) -> None:
+        if data.strip(" \t\n\r\f"):
+            self._close_head()
         if not self.hidden:
             self.parts.append(data)
             if any(o.tag == "a" for o in self.stack):

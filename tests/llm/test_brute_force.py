@@ -362,6 +362,23 @@ def test_extraction_of_awkward_pages(html):
     assert isinstance(text, str) and (html or text == "")
 
 
+_ARTICLE = "<article>" + "".join(f"<p>Sentence number {i} of the article tells of rivers and stones.</p>" for i in range(6)) + "</article>"
+_TOLD = " ".join(f"Sentence number {i} of the article tells of rivers and stones." for i in range(6))
+
+
+@pytest.mark.parametrize("before", [
+    "<html><head><title>x</title></head><body>", "<html><head><title>x</title><body>", "<html><head><title>x</title><meta charset='utf-8'><script>y</script>",
+    "<head><noscript><style>y</style><body>", "<head><head><title>x</title></head>", "<head><link rel='y'><noscript><div>z</div></noscript><body>", "<head><title>x</title><body><head>",
+])
+def test_extraction_without_end_of_head(before):
+    assert html_extraction.main_text(before + _ARTICLE) == _TOLD
+
+
+@pytest.mark.parametrize("html", ["<head><title>x</title>Some words", "<head><title>x</title><b>Some</b> words", "<head><title>x</title><img src='y'>Some words", "<head>\n<style>y</style>\n<p>Some words"])
+def test_text_ends_the_head(html):
+    assert [b.text for b in html_extraction.blocks(html)] == ["Some words"]
+
+
 # toxicity
 
 
