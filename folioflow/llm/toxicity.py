@@ -314,8 +314,10 @@ def fit(rows: list[tuple[int, str | None]], *, folds: int = 3, toxic_weight: flo
 
 def _fit_svm(
     train: list[tuple[int, str | None]], *, kernel: Kernel | None = None, n_landmarks: int = 256, c: float = 1.0, rounds: int = 3,
-    negatives: int = 6000, variants: int = 2, weight: float = 1.0, seed: int = 7,
+    negatives: int = 6000, variants: int = 2, weight: float = 1.0, most_typical: int = 4000, most_candidates: int = 500, seed: int = 7,
 ) -> Model:
+    """The SVM learns from the `most_typical` typical words seen most often; landmark insults are chosen
+    among the first `most_candidates` of them, by count and shortness."""
     kernel = kernel or Kernel()
     rng = np.random.default_rng(seed)
     numbering: dict[bytes, int] = {}
@@ -331,12 +333,12 @@ def _fit_svm(
         return Model(kernel)
     vocabulary = list(numbering)
     seen = np.bincount(np.concatenate(toxic), minlength=len(vocabulary))
-    chosen_words = sorted(typical, key=lambda i: (-seen[i], vocabulary[i]))[:4000]
+    chosen_words = sorted(typical, key=lambda i: (-seen[i], vocabulary[i]))[:most_typical]
     positive = [vocabulary[i] for i in chosen_words]
     counts = {vocabulary[i]: int(seen[i]) for i in chosen_words}
     everyone = sorted({vocabulary[i] for i in np.unique(np.concatenate(clean))} - set(positive))
     # landmarks: often seen typical words, each unlike those chosen before; a few clean words
-    first = sorted(positive, key=lambda w: (-counts[w] / (len(w) + 2), w))[:500]
+    first = sorted(positive, key=lambda w: (-counts[w] / (len(w) + 2), w))[:most_candidates]
     own = kernel.matrix(first, kernel.numbers(first))
     alike = own @ own.T
     del own
