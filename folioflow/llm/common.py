@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +50,8 @@ def alnum_words(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in
-    spark.checkpoint.dir; a temporary folder is set only where that is unset (tests)."""
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir. Where it
+    is unset, a temporary folder serves a single machine (tests); on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -56,13 +59,31 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     now = spark.sparkContext.getCheckpointDir()
     if now is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioflow-"))
         now = spark.sparkContext.getCheckpointDir()
     return now
 
 
+#: Folders of tables written in this session; see release().
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables that operators have written so far, and say how many. Results are lazy
+    and read such tables, so call this only when those that are still needed have been written out."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def stored(df: DataFrame, kind: str = "table") -> DataFrame:
@@ -85,13 +106,15 @@ def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names), dict(zip(df.columns, names, strict=True))
 
 
-def chunks(texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of a batch of about `most` characters, one row at least; no text is cut."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def text_chunks(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of a batch of about `most` bytes of text, one row at least, each with its texts; no text is cut,
+    and only one slice at a time is held as Python strings."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64")
+    ends = sizes.cumsum()
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = min(batch.num_rows, int(ends.searchsorted(before + most)) + 1)
+        part = batch.slice(start, end - start)
+        yield part, part.column(column).to_pylist()
+        start = end

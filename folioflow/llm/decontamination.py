@@ -1,14 +1,16 @@
 """Benchmark decontamination with suffix arrays over shards of the training documents.
 
-Each Arrow batch of documents is a shard. Its suffix array holds the positions at which a benchmark
+Documents are taken in shards of about 4 MB of text, each in one task. A shard's suffix array holds the positions at which a benchmark
 window can begin: those whose first words also begin some window. Every other suffix sorts away
 from all queries, so leaving it out changes no search. The suffixes are sorted by their next
 `window` words and every benchmark window is binary-searched in them, which gives all its places;
 matches of neighbouring windows on one diagonal join into the longest verbatim matches. A document
 lies wholly in its shard, so nothing is shuffled and hot passages are spread over all tasks.
 
-The benchmark is sent to the tasks in blocks of at most `block_bytes` of text, each an own pass
-over the documents; an ordinary benchmark is a single block.
+A benchmark of more than `block_bytes` of text is taken in blocks, dealt by a hash of the item (a longer
+item is a block of its own). Each block is a pass over the documents that ends with a stored table, so the
+driver and each task hold the windows of one block at a time, as arrays of 40 bytes a word; time grows with
+the number of blocks. An ordinary benchmark is a single block and nothing is stored.
 
 Defined results: null or wordless texts have no words, no hits and aren't contaminated; wordless
 items never occur; an item with a null id is searched for but not listed. Repeated documents are
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, by_place, chunks
+from .common import alnum_words, by_place, stored, text_chunks
 
 SPAN = "struct<item_id:string,item_word:bigint,doc_word:bigint,n_words:bigint>"
 _BASE = 254  # digits 1..254: no byte is 0 (numpy strips it) or 255 (above every digit)
 _PREFIX = 3
+#: Text of a shard.
+SHARD_BYTES = 4_000_000
 
 
 def _keys(ids: np.ndarray) -> np.ndarray:
@@ -43,24 +47,24 @@ class Windows:
 
     def __init__(self, items: list[tuple[Any, str | None]], window: int):
         self.window, self.vocabulary = window, {}
-        self.names, rows, prefixes = [], [], {k: set() for k in range(1, _PREFIX + 1)}
+        self.names, item, at, length, low = [], [], [], [], []
+        prefixes: dict[int, list[np.ndarray]] = {k: [] for k in range(1, _PREFIX + 1)}
         for name, text in sorted(set(items), key=str):
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words(text)]
-            if not words:
+            words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words(text)], dtype=np.int64)
+            if not len(words):
                 continue
+            own = np.lib.stride_tricks.sliding_window_view(words, min(window, len(words)))
+            item.append(np.full(len(own), len(self.names)))
             self.names.append(None if name is None else str(name))
-            length = min(window, len(words))
-            for at in range(len(words) - length + 1):
-                rows.append((len(self.names) - 1, at, length, words[at : at + length]))
-                k = min(_PREFIX, length)
-                prefixes[k].add(tuple(words[at : at + k]))
-        self.item, self.at, self.length = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
-        size = 3 * window + 1
-        self.low = np.array([_keys(np.array([r[3]]))[0] for r in rows], dtype=f"S{size}")
-        self.high = np.array([k + b"\xff" for k in self.low.tolist()], dtype=f"S{size}")
-        self.prefixes = {
-            k: np.unique(self._codes(*np.array(sorted(v), dtype=np.int64).T)) for k, v in prefixes.items() if v
-        }
+            at.append(np.arange(len(own)))
+            length.append(np.full(len(own), own.shape[1]))
+            low.append(_keys(own).astype(f"S{3 * window + 1}"))
+            k = min(_PREFIX, own.shape[1])
+            prefixes[k].append(self._codes(*own[:, :k].T))
+        self.item, self.at, self.length = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in (item, at, length))
+        self.low = np.concatenate([np.empty(0, dtype=f"S{3 * window + 1}"), *low])
+        self.high = np.char.add(self.low, b"\xff").astype(f"S{3 * window + 1}")
+        self.prefixes = {k: np.unique(np.concatenate(v)) for k, v in prefixes.items() if v}
 
     @staticmethod
     def _codes(*columns: np.ndarray) -> np.ndarray:
@@ -130,43 +134,48 @@ class Windows:
             yield n, spans.get(i, [])
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark's rows in blocks of about block_bytes of text."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list[tuple], bool]]:
+    """The benchmark's rows in blocks of about block_bytes of text, and whether there are more than one."""
     rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield [(r["id"], r["text"]) for r in part.collect()]
+        yield [(r["id"], r["text"]) for r in part.distinct().collect()], n > 1
 
 
 def benchmark_matches(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
-    item_text_col: str = "text", window: int = 13, block_bytes: int = 16_000_000, carry: tuple[str, ...] = (),
+    item_text_col: str = "text", window: int = 13, block_bytes: int = 8_000_000, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """id, n_words and `matches`, an array of SPAN: the longest verbatim matches of `window` words or
     more (of the whole item, if that is shorter) with their places. Columns in `carry` pass through."""
     kept = list(dict.fromkeys([id_col, text_col, *carry]))
     out = docs.select(*kept, F.lit(0).cast("long").alias("_n_words"), F.array().cast(f"array<{SPAN}>").alias("_matches"))
-    for block in _blocks(benchmark, item_id_col, item_text_col, block_bytes):
-        windows, schema = Windows(block, window), out.schema
-
-        def search(batches: Iterator[pa.RecordBatch], windows: Windows = windows) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(text_col).to_pylist()
-                for start, end in chunks(texts):
-                    part = batch.slice(start, end - start)
-                    counts, spans = zip(*windows.match(texts[start:end]), strict=True)
-                    before = part.column("_matches").to_pylist()
-                    columns = {name: part.column(name) for name in part.schema.names}
-                    columns["_n_words"] = pa.array(counts, pa.int64())
-                    columns["_matches"] = pa.array([a + b for a, b in zip(before, spans, strict=True)], part.schema.field("_matches").type)
-                    yield pa.RecordBatch.from_pydict(columns)
-
-        out = out.mapInArrow(search, schema)
+    for block, many in _blocks(benchmark, item_id_col, item_text_col, block_bytes):
+        out = _searched(out, text_col, Windows(block, window))
+        if many:
+            out = stored(out, "benchmark-pass")
     return out.select(*dict.fromkeys([id_col, *carry]), F.col("_n_words").alias("n_words"), F.col("_matches").alias("matches"))
 
 
+def _searched(docs: DataFrame, text_col: str, windows: Windows) -> DataFrame:
+    """docs with the windows' matches added to _matches, and with _n_words."""
+    schema = docs.schema
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_chunks(batch, text_col, SHARD_BYTES):
+                counts, spans = zip(*windows.match(texts), strict=True)
+                before = part.column("_matches").to_pylist()
+                columns = {name: part.column(name) for name in part.schema.names}
+                columns["_n_words"] = pa.array(counts, pa.int64())
+                columns["_matches"] = pa.array([a + b for a, b in zip(before, spans, strict=True)], part.schema.field("_matches").type)
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return docs.mapInArrow(search, schema)
+
+
 def contamination(matched: DataFrame, *, percent: int = 5) -> DataFrame:
     """Adds n_hit (words inside a match), items (distinct ids, sorted) and contaminated: hit words are
     at least `percent` of all."""

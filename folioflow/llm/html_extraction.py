@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import text_chunks
 from .html_examples import PAGES
 
 #: Elements that begin and end a block.
@@ -280,15 +280,13 @@ def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            html = batch.column(html_col).to_pylist()
-            for start, end in chunks(html):
+            for part, html in text_chunks(batch, html_col):
                 texts, kept = [], []
-                for h in html[start:end]:
+                for h in html:
                     page = blocks(h)
                     good = [b.text for b, keep in zip(page, label_blocks(page, w), strict=True) if keep]
                     texts.append(" ".join(good))
                     kept.append(len(good))
-                part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(texts, pa.string()), pa.array(kept, pa.int32())], names=[*part.schema.names, "_text", "_blocks"]
                 )

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_place, chunks, lower_words, stored
+from .common import by_place, lower_words, stored, text_chunks
 from .components import connected_components
 
 BITS = 64
@@ -64,10 +64,8 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, seed
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            for start, end in chunks(texts):
-                fps = np.array([fingerprint(t, shingle, seed) for t in texts[start:end]], dtype=np.uint64).view(np.int64)
-                part = batch.slice(start, end - start)
+            for part, texts in text_chunks(batch, text_col):
+                fps = np.array([fingerprint(t, shingle, seed) for t in texts], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps)], names=[*part.schema.names, "_fp"])
 
     return docs.mapInArrow(add, schema)

@@ -99,19 +99,21 @@ d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(h % 10, -1) <> 0 AS train,
     list_concat([' begin'], regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+'), [' end']) AS w
   FROM documents LEFT JOIN crc USING (doc_id)
-), tok AS (SELECT r, train, i, w[i] AS t, w[i - 1] AS h FROM (SELECT r, train, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+), tok AS (SELECT r, train, i, w[i] AS t, w[i - 1] AS h, w[i - 2] AS g FROM (SELECT r, train, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 uni AS (SELECT t, count(*) AS c FROM tok WHERE train GROUP BY t),
 bi AS (SELECT h, t, count(*) AS c FROM tok WHERE train AND i > 1 GROUP BY h, t),
+tri AS (SELECT g, h, t, count(*) AS c FROM tok WHERE train AND i > 2 GROUP BY g, h, t),
 tot AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM uni WHERE t <> ' begin'),
 s AS (
-  SELECT tok.r, coalesce(u.c, 0) AS c, coalesce(b.c, 0) AS c2, coalesce(ctx.c, 0) AS ch, n, v,
+  SELECT tok.r, coalesce(u.c, 0) AS c, coalesce(b.c, 0) AS c2, coalesce(ctx.c, 0) AS ch, coalesce(q.c, 0) AS c3, coalesce(ctx2.c, 0) AS ch2, n, v,
     CASE WHEN u.c > 0 THEN (u.c - 0.7::DOUBLE) / n ELSE 0.7::DOUBLE * v / n END AS p1
   FROM tok CROSS JOIN tot LEFT JOIN uni u ON u.t = tok.t LEFT JOIN uni ctx ON ctx.t = tok.h LEFT JOIN bi b ON b.h = tok.h AND b.t = tok.t
+    LEFT JOIN bi ctx2 ON tok.i > 2 AND ctx2.h = tok.g AND ctx2.t = tok.h LEFT JOIN tri q ON tok.i > 2 AND q.g = tok.g AND q.h = tok.h AND q.t = tok.t
   WHERE tok.i > 1
-), a AS (
+), p AS (SELECT *, (c2 + 100::DOUBLE * p1) / (ch + 100::DOUBLE) AS p2 FROM s), a AS (
   SELECT r, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(n) AS train_tokens,
-    fsum(log10((c + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS base_score, fsum(log10((c2 + 100::DOUBLE * p1) / (ch + 100::DOUBLE))) AS score
-  FROM s GROUP BY r
+    fsum(log10((c + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS base_score, fsum(log10((c3 + 100::DOUBLE * p2) / (ch2 + 100::DOUBLE))) AS score
+  FROM p GROUP BY r
 )
 SELECT doc_id, NOT train AS held_out, n_tokens, n_known, train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score
 FROM d JOIN a USING (r)

@@ -5,29 +5,33 @@ characters that lies within `span` characters counts with decay**length, so gaps
 characters cost something but don't hide a word. Words are first folded (A-Z lowered, digits read
 as the letters they resemble, punctuation inside words dropped, runs of single letters joined).
 
-Labels belong to documents, so sentences are bags: all sentences of clean documents are clean, and
-of a toxic document the sentences that hold words typical of toxic documents are taken as toxic. A
-sentence scores as its highest word, a document as its highest sentence. The SVM (squared hinge) is
-solved by Newton steps on Nystroem features of landmark words, with hard words of clean sentences
-added in rounds. Because the decision is linear in the kernel and the kernel is a sum over
-subsequences, the trained model collapses into one weight for each subsequence of the landmarks;
-scoring a word sums the weights of its own. A logistic fit on documents kept apart gives the score.
-
-Training takes a bounded sample of labelled documents (`most_toxic`, `most_clean`), drawn by a hash of
-the id; scoring takes every word of every text. Defined results: null, blank or letterless texts get
-the score of a document without evidence; without labels of both kinds all scores are the prior 0.
-Repeated rows score alike, other columns of the inputs are ignored.
+Labels belong to documents, so training is on bags of sentences (a latent, multiple-instance SVM). All
+sentences of clean documents are clean. Of a toxic document one sentence is taken as toxic, at first
+one with a word typical of toxic documents, then in each round the one that the last model scores
+highest; in it, the highest word stands for the sentence. A sentence scores as its highest word, a
+document as its highest sentence. The SVM (squared hinge) is solved by Newton steps on Nystroem features
+of landmark words; hard words of clean sentences join the negatives and the landmarks in each round.
+Because the decision is linear in the kernel and the kernel is a sum over subsequences, the trained
+model collapses into one weight for each subsequence of the landmarks; scoring a word sums the weights
+of its own. A logistic fit on documents kept apart gives the score.
+
+Training takes a bounded sample of labelled documents (at most about `most_toxic` and `most_clean`
+documents and `most_bytes` of text, texts over `longest_text` bytes left out), drawn by a hash of id
+and text, equal rows once; scoring takes every word of every text. Defined results: null, blank or
+letterless texts get the score of a document without evidence; without labels of both kinds all scores
+are the prior 0. Repeated rows score alike, other columns of the inputs are ignored. A toxic phrase of
+words that clean documents use as well isn't found: the latent unit is a word.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import by_place, chunks
+from .common import by_place, text_chunks
 
 #: Digits and the letters they resemble.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
@@ -70,6 +74,8 @@ _SPACED = re.compile(rb"(?<![^ ])[^ ](?: [^ ](?= )){2,}")
 _SPACED_AT_ALL = re.compile(rb" [^ ] [^ ] [^ ] ")
 _SENTENCE = re.compile(r"[.!?\n]+")
 _LONGEST = 32
+#: Margin of a text without words.
+NO_WORDS = -2.0
 
 
 def words(text: str | None) -> list[bytes]:
@@ -87,7 +93,7 @@ def words(text: str | None) -> list[bytes]:
 @dataclass
 class Kernel:
     order: int = 4
-    span: int = 6
+    span: int = 7
     decay: float = 0.7
 
     def __post_init__(self) -> None:
@@ -127,7 +133,7 @@ class Kernel:
 
     def matrix(self, some: list[bytes], numbers: np.ndarray) -> np.ndarray:
         """[words, numbers]: the normalised weight of each subsequence in each word."""
-        out = np.zeros(len(some) * len(numbers))
+        out = np.zeros(len(some) * len(numbers), dtype=np.float32)
         for at, codes in self.by_length(some):
             norm = self.norm(codes.shape[1])
             for number, f in self.subsequences(codes):
@@ -150,15 +156,20 @@ class Model:
     landmarks: tuple[bytes, ...] = ()
 
     def scorer(self):
-        table = np.zeros(_SYMBOLS**self.kernel.order, dtype=np.float32)
-        table[self.numbers] = self.weights
+        """Margins of words. A bit for each possible subsequence (1.7 MB at order 4) tells which have a weight;
+        only those are looked up."""
+        bits = np.zeros((_SYMBOLS**self.kernel.order >> 3) + 1, dtype=np.uint8)
+        np.bitwise_or.at(bits, self.numbers >> 3, np.uint8(1) << (self.numbers & 7).astype(np.uint8))
 
         def margins(some: list[bytes]) -> np.ndarray:
             out = np.empty(len(some), dtype=np.float32)
             for at, codes in self.kernel.by_length(some):
-                total = np.zeros(len(at), dtype=np.float32)
+                total = np.zeros(len(at))
                 for number, f in self.kernel.subsequences(codes):
-                    total += f * table[number].sum(axis=1)
+                    who, where = np.nonzero((bits[number >> 3] >> (number & 7).astype(np.uint8)) & 1)
+                    if len(who):
+                        known = np.searchsorted(self.numbers, number[who, where])
+                        total += f * np.bincount(who, weights=self.weights[known], minlength=len(at))
                 out[at] = total / self.kernel.norm(codes.shape[1]) + self.offset
             return out
 
@@ -228,11 +239,14 @@ def typical_words(
         a = _documents_with(own, piece, begin, len(known))
         enough = a >= max(3, len(toxic) // 400)
         tried += int(enough.sum())
-        numbers, their_begin = _pieces(other_words, k)
-        slot = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
-        hit = (known[slot] == numbers) & enough[slot]
-        kept = np.concatenate([[0], np.cumsum(hit)])
-        c = _documents_with(theirs, slot[hit], kept[their_begin], len(known))
+        slots, hits = [], []
+        for i in range(0, len(other_words), 50_000):
+            numbers, their_begin = _pieces(other_words[i : i + 50_000], k)
+            slot = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
+            hit = (known[slot] == numbers) & enough[slot]
+            slots.append(slot[hit])
+            hits.append(np.diff(np.concatenate([[0], np.cumsum(hit)])[their_begin]))
+        c = _documents_with(theirs, np.concatenate([none, *slots]), np.concatenate([[0], np.cumsum(np.concatenate([none, *hits]))]), len(known))
         rate = a / np.maximum(a + c, 1)
         odds = a * np.log(np.maximum(rate, 1e-9) / share) + c * np.log(np.maximum(1 - rate, 1e-9) / (1 - share)) * (c > 0)
         odds[~enough | (rate <= share) | (c > 0.1 * a)] = 0
@@ -252,7 +266,7 @@ def _newton(x: np.ndarray, y: np.ndarray, s: np.ndarray, c: float, steps: int =
         if before is not None and (active == before).all():
             break
         before = active
-        xa, ra = x[active], 2 * c * s[active]
+        xa, ra = x[active].astype(np.float64), 2 * c * s[active]
         w = np.linalg.solve(ridge + xa.T @ (xa * ra[:, None]), xa.T @ (ra * y[active]))
     return w
 
@@ -278,116 +292,155 @@ def _platt(margin: np.ndarray, label: np.ndarray, toxic_weight: float = 1.0, ste
     return float(w[0]), float(w[1])
 
 
-def _unlike(rows: list[tuple[int, str | None]], window: int = 5, kept: int = 4) -> list[tuple[int, str | None]]:
-    """Rows without further copies of a text: those that share none of their smallest window hashes with
-    an earlier row of the same label. Copies would make all of their words look typical."""
+class Bag(NamedTuple):
+    """A labelled document: its place among the rows, its sentences as arrays of distinct word numbers, all of
+    its distinct words, and whether it is the first of its copies."""
+
+    row: int
+    label: int
+    sentences: list[np.ndarray]
+    all: np.ndarray
+    first: bool
+
+
+def bags(rows: list[tuple[int, str | None]], window: int = 5, kept: int = 4) -> tuple[list[Bag], list[bytes]]:
+    """The rows as bags, and the vocabulary. Of rows of a label that share one of their smallest window hashes
+    only the first is `first`: copies would make all of their words look typical."""
+    numbering: dict[bytes, int] = {}
     seen: set[tuple[int, int]] = set()
     out = []
-    for label, text in rows:
-        w = words(text)
-        hashes = {zlib.crc32(b" ".join(w[i : i + window])) for i in range(max(1, len(w) - window + 1))}
+    for row, (label, text) in enumerate(rows):
+        found = [[numbering.setdefault(w, len(numbering)) for w in words(x)] for x in _SENTENCE.split(text or "")]
+        whole = [i for x in found for i in x]
+        hashes = {hash(tuple(whole[i : i + window])) for i in range(max(1, len(whole) - window + 1))}
         sketch = {(label, h) for h in sorted(hashes)[:kept]}
-        if sketch.isdisjoint(seen):
-            out.append((label, text))
+        out.append(
+            Bag(row, label, [np.array(sorted(set(x)), dtype=np.int32) for x in found if x], np.array(sorted(set(whole)), dtype=np.int32), sketch.isdisjoint(seen))
+        )
         seen |= sketch
-    return out
+    return out, list(numbering)
 
 
 def fit(rows: list[tuple[int, str | None]], *, folds: int = 3, toxic_weight: float = 1.0, seed: int = 7, **options) -> Model:
     """Train on (label, text) rows. The logistic fit uses the margins of all folds in turn, each under an
     SVM that hasn't seen it; the final SVM learns from all rows."""
     order = np.random.default_rng(seed).permutation(len(rows))
-    rows = [rows[i] for i in order]
+    train, vocabulary = bags([rows[i] for i in order])
     margins, labels = [], []
     for k in range(folds):
-        apart = rows[k::folds]
-        model = _fit_svm([r for i, r in enumerate(rows) if i % folds != k], seed=seed, **options)
-        margins.append(Scorer(model)([t for _, t in apart])[0])
-        labels += [label for label, _ in apart]
+        apart = train[k::folds]
+        model = _fit_svm([x for i, x in enumerate(train) if i % folds != k], vocabulary, seed=seed, **options)
+        used = np.unique(np.concatenate([np.empty(0, dtype=np.int32), *[x.all for x in apart]]))
+        of = np.full(len(vocabulary), -np.inf, dtype=np.float32)
+        of[used] = model.scorer()([vocabulary[i] for i in used])
+        margins += [of[x.all].max() if len(x.all) else NO_WORDS for x in apart]
+        labels += [x.label for x in apart]
     y = np.array(labels, dtype=float)
     if not 0 < y.sum() < len(y):
         return Model(Kernel())
-    model = _fit_svm(rows, seed=seed, **options)
-    model.slope, model.level = _platt(np.concatenate(margins).astype(float), y, toxic_weight)
+    model = _fit_svm(train, vocabulary, seed=seed, **options)
+    model.slope, model.level = _platt(np.array(margins, dtype=float), y, toxic_weight)
     return model
 
 
+def _landmarks(kernel: Kernel, some: list[bytes], most: int) -> list[bytes]:
+    """The first `most` of some words, each unlike those chosen before as far as that goes."""
+    if not some:
+        return []
+    own = kernel.matrix(some, kernel.numbers(some))
+    alike = own @ own.T
+    chosen: list[int] = []
+    for limit in (0.3, 0.5, 0.7, 0.9):
+        for i in range(len(some)):
+            if len(chosen) < most and i not in chosen and (not chosen or alike[i, chosen].max() < limit):
+                chosen.append(i)
+    return [some[i] for i in chosen]
+
+
 def _fit_svm(
-    train: list[tuple[int, str | None]], *, kernel: Kernel | None = None, n_landmarks: int = 256, c: float = 1.0, rounds: int = 3,
-    negatives: int = 6000, variants: int = 2, weight: float = 1.0, most_typical: int = 4000, most_candidates: int = 500, seed: int = 7,
+    train: list[Bag], vocabulary: list[bytes], *, kernel: Kernel | None = None, n_landmarks: int = 384, c: float = 1.0, rounds: int = 4,
+    negatives: int = 4000, variants: int = 2, most_positive: int = 4000, most_candidates: int = 400, plausible: float = -0.5, seed: int = 7,
 ) -> Model:
-    """The SVM learns from the `most_typical` typical words seen most often; landmark insults are chosen
-    among the first `most_candidates` of them, by count and shortness."""
+    """A latent SVM over the sentences of labelled documents. It learns from the `most_positive` positive
+    words seen most often; landmark insults are chosen among the first `most_candidates` of them, by
+    count and shortness; each round adds up to `negatives` hard words of clean sentences. A toxic document
+    whose top sentence scores below `plausible` teaches nothing in that round."""
     kernel = kernel or Kernel()
     rng = np.random.default_rng(seed)
-    numbering: dict[bytes, int] = {}
-    number = lambda t: np.unique(np.fromiter((numbering.setdefault(w, len(numbering)) for w in words(t)), dtype=np.int64))
-    # clean documents as sentences, since a hard word is looked for in each; of all documents the distinct words
-    sentences = [x for label, text in train if label == 0 for x in map(number, _SENTENCE.split(text or "")) if len(x)]
-    toxic, clean = ([number(t) for label, t in train if label == want] for want in (1, 0))
-    if not toxic or not clean:
+    clean_sentences = [x for bag in train if bag.label == 0 for x in bag.sentences]
+    toxic_bags = [bag.sentences for bag in train if bag.label == 1 and bag.sentences]
+    toxic, clean = ([bag.all for bag in train if bag.label == want] for want in (1, 0))
+    if not toxic_bags or not clean_sentences:
         return Model(kernel)
-    once = _unlike(train)
-    typical = typical_words(list(numbering), *[[number(t) for label, t in once if label == want] for want in (1, 0)])
+    typical = typical_words(vocabulary, *[[bag.all for bag in train if bag.first and bag.label == want] for want in (1, 0)])
     if not typical:
         return Model(kernel)
-    vocabulary = list(numbering)
+    known = set(vocabulary)
     seen = np.bincount(np.concatenate(toxic), minlength=len(vocabulary))
-    chosen_words = sorted(typical, key=lambda i: (-seen[i], vocabulary[i]))[:most_typical]
-    positive = [vocabulary[i] for i in chosen_words]
-    counts = {vocabulary[i]: int(seen[i]) for i in chosen_words}
-    everyone = sorted({vocabulary[i] for i in np.unique(np.concatenate(clean))} - set(positive))
-    # landmarks: often seen typical words, each unlike those chosen before; a few clean words
-    first = sorted(positive, key=lambda w: (-counts[w] / (len(w) + 2), w))[:most_candidates]
-    own = kernel.matrix(first, kernel.numbers(first))
-    alike = own @ own.T
-    del own
-    chosen: list[int] = []
-    for limit in (0.3, 0.5, 0.7, 0.9):
-        for i in range(len(first)):
-            if len(chosen) < n_landmarks * 3 // 4 and i not in chosen and (not chosen or alike[i, chosen].max() < limit):
-                chosen.append(i)
-    landmarks = [first[i] for i in chosen]
-    landmarks += [everyone[i] for i in rng.choice(len(everyone), min(len(everyone), n_landmarks - len(landmarks)), replace=False)]
-    numbers = kernel.numbers(landmarks)
-    table = kernel.matrix(landmarks, numbers).T
-    values, vectors = np.linalg.eigh(table.T @ table)
-    project = table @ (vectors / np.sqrt(np.maximum(values, 1e-4)))  # Nystroem map of kernel rows; tiny directions are damped
-
-    def mapped(some: list[bytes], block: int = 250) -> np.ndarray:
-        parts = [kernel.matrix(some[i : i + block], numbers) @ project for i in range(0, len(some), block)]
-        return np.concatenate([np.concatenate(parts), np.ones((len(some), 1))], axis=1)
-
-    pool = [everyone[i] for i in rng.permutation(len(everyone))[:negatives]]
-    # virtual examples: a letter inserted inside a landmark insult leaves it an insult
-    letters = np.frombuffer(b"".join(everyone), dtype=np.uint8)
-    virtual = [
-        w[:at] + bytes([int(rng.choice(letters))]) + w[at:] for w in landmarks[: len(chosen)] if len(w) > 3 for at in range(1, len(w)) for _ in range(variants)
-    ]
-    virtual = sorted(set(virtual) - set(everyone))
-    s_pos = np.concatenate([np.minimum([counts[w] for w in positive], 50) / 5.0, np.full(len(virtual), 0.5)])
-    positive = positive + virtual
-    x_pos = mapped(positive)
+    in_clean = np.bincount(np.concatenate(clean), minlength=len(vocabulary))
+    may_be_toxic = in_clean <= max(1, len(clean) // 500)
+    own = np.flatnonzero(seen + in_clean)  # the vocabulary may have words of other documents as well
+    everyone = np.array([i for i in np.flatnonzero(in_clean) if i not in typical], dtype=np.int64)
+    everyone = everyone[np.argsort([vocabulary[i] for i in everyone], kind="stable")]
+    letters = np.frombuffer(b"".join(vocabulary[i] for i in everyone), dtype=np.uint8)
+    pool = list(everyone[rng.permutation(len(everyone))[:negatives]])
+    hard = pool[: n_landmarks // 4]
+    latent = set(typical)
     model = Model(kernel)
     for turn in range(rounds):
-        x = np.concatenate([x_pos, mapped(pool)])
-        y = np.concatenate([np.ones(len(positive)), -np.ones(len(pool))])
-        s = np.concatenate([s_pos, np.full(len(pool), max(1.0, weight * s_pos.sum() / len(pool)))])
+        chosen = sorted(latent, key=lambda i: (-seen[i], vocabulary[i]))[:most_positive]
+        positive = [vocabulary[i] for i in chosen]
+        first = sorted(chosen, key=lambda i: (-seen[i] / (len(vocabulary[i]) + 2), vocabulary[i]))[:most_candidates]
+        insults = _landmarks(kernel, [vocabulary[i] for i in first], n_landmarks * 3 // 4)
+        landmarks = list(dict.fromkeys([*insults, *[vocabulary[i] for i in hard[: n_landmarks - len(insults)]]]))
+        numbers = kernel.numbers(landmarks)
+        table = kernel.matrix(landmarks, numbers).T
+        values, vectors = np.linalg.eigh((table.T @ table).astype(np.float64))
+        project = table @ (vectors / np.sqrt(np.maximum(values, 1e-4))).astype(np.float32)  # Nystroem map of kernel rows; tiny directions are damped
+        del table
+
+        def mapped(some: list[bytes], numbers: np.ndarray = numbers, project: np.ndarray = project, block: int = 200) -> np.ndarray:
+            out = np.ones((len(some), project.shape[1] + 1), dtype=np.float32)
+            order = sorted(range(len(some)), key=lambda i: len(some[i]))  # words of a length are handled together
+            for i in range(0, len(order), block):
+                at = order[i : i + block]
+                out[at, :-1] = kernel.matrix([some[j] for j in at], numbers) @ project
+            return out
+
+        # virtual examples: a letter inserted inside a landmark insult leaves it an insult
+        virtual = {w[:at] + bytes([int(rng.choice(letters))]) + w[at:] for w in insults if len(w) > 3 for at in range(1, len(w)) for _ in range(variants)}
+        virtual = sorted(virtual - known)
+        s_pos = np.concatenate([np.minimum(seen[chosen], 50) / 5.0, np.full(len(virtual), 0.5)])
+        x = np.concatenate([mapped(positive + virtual), mapped([vocabulary[i] for i in pool])])
+        y = np.concatenate([np.ones(len(s_pos)), -np.ones(len(pool))])
+        s = np.concatenate([s_pos, np.full(len(pool), max(1.0, s_pos.sum() / len(pool)))])
         w = _newton(x, y, s, c)
         model = Model(kernel, numbers, (project @ w[:-1]).astype(np.float32), float(w[-1]), landmarks=tuple(landmarks))
-        if turn < rounds - 1:
-            margins = np.full(len(vocabulary), -np.inf, dtype=np.float32)
-            margins[[numbering[w] for w in everyone]] = model.scorer()(everyone)
-            hardest = {int(x[margins[x].argmax()]) for x in sentences}
-            found = sorted((i for i in hardest if margins[i] > -np.inf), key=lambda i: (-margins[i], vocabulary[i]))[:negatives]
-            pool = list(dict.fromkeys(pool + [vocabulary[i] for i in found]))
+        if turn == rounds - 1:
+            break
+        margins = np.full(len(vocabulary), -np.inf, dtype=np.float32)
+        margins[own] = model.scorer()([vocabulary[i] for i in own])
+        usable = np.where(in_clean > 0, margins, -np.inf)
+        usable[list(latent)] = -np.inf
+        hardest = {int(x[usable[x].argmax()]) for x in clean_sentences}
+        hard = sorted((i for i in hardest if usable[i] > -np.inf), key=lambda i: (-margins[i], vocabulary[i]))[:negatives]
+        pool = list(dict.fromkeys([*pool, *hard]))
+        candidate = np.where(may_be_toxic, margins, -np.inf)
+        witnesses = set()
+        for bag in toxic_bags:
+            tops = [int(x[candidate[x].argmax()]) for x in bag]
+            best = max(tops, key=lambda i: (candidate[i], vocabulary[i]))
+            if candidate[best] >= plausible:
+                witnesses.add(best)
+        latent = witnesses | {i for i in typical if margins[i] > 0} or latent
+        pool = [i for i in pool if i not in latent]
     return model
 
 
 class Scorer:
     """Margins of texts: that of the highest word; a bounded cache holds the words seen before."""
 
-    def __init__(self, model: Model, most_cached: int = 300_000):
+    def __init__(self, model: Model, most_cached: int = 100_000):
         self.margins, self.most_cached, self.cache = model.scorer(), most_cached, {}
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, list[str | None]]:
@@ -399,32 +452,40 @@ class Scorer:
         self.cache.update(zip(new, self.margins(new).tolist(), strict=True))
         get = self.cache.__getitem__
         worst = [max(t, key=get) if t else None for t in tokens]
-        return np.array([get(w) if w is not None else -2.0 for w in worst], dtype=np.float32), [None if w is None else w.decode("latin-1") for w in worst]
+        return np.array([get(w) if w is not None else NO_WORDS for w in worst], dtype=np.float32), [None if w is None else w.decode("latin-1") for w in worst]
 
 
-def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, most_toxic: int, most_clean: int) -> tuple[list[tuple[int, str]], dict[int, int]]:
-    """(label, text) of about `most_...` labelled documents of each kind, all where there are fewer, and
-    how many there are of each kind."""
-    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_label"))
+def sample(
+    docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, most_toxic: int, most_clean: int, most_bytes: int, longest_text: int,
+) -> tuple[list[tuple[int, str]], dict[int, int]]:
+    """(label, text) of about `most_...` labelled documents of each kind and `most_bytes` of text, all where
+    there is less, equal rows once; and how many there are of each kind. Texts over `longest_text` bytes
+    aren't drawn."""
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_label"))
     found = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(known, F.col("_doc") == F.col("_id"))
-    n = {r["_label"]: r["count"] for r in found.groupBy("_label").count().collect()}
+    small = F.coalesce(F.octet_length("_text"), F.lit(0)) <= longest_text
+    kinds = found.where(small).groupBy("_label").agg(F.count("*").alias("n"), F.sum(F.octet_length("_text")).alias("size")).collect()
+    n = {r["_label"]: r["n"] for r in kinds}
     scale = 1 << 30
-    draw = F.pmod(F.xxhash64("_id"), F.lit(scale))
-    limit = F.when(F.col("_label") == 1, F.lit(int(scale * min(1.0, most_toxic / max(1, n.get(1, 0)))))).otherwise(
-        F.lit(int(scale * min(1.0, most_clean / max(1, n.get(0, 0)))))
-    )
-    some = F.broadcast(known.where(draw < limit))  # at most about most_toxic + most_clean ids
-    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(some, F.col("_doc") == F.col("_id")).select("_label", "_doc", "_text")
+    draw = F.pmod(F.xxhash64("_id", F.col("_text")), F.lit(scale))
+    limit = F.lit(0)
+    for r in kinds:
+        share = min(1.0, (most_toxic if r["_label"] else most_clean) / r["n"], most_bytes / 2 / max(1, r["size"] or 0))
+        limit = F.when(F.col("_label") == r["_label"], F.lit(int(scale * share))).otherwise(limit)
+    rows = found.where(small & (draw < limit)).select("_label", "_doc", "_text").distinct()
     return [(r["_label"], r["_text"]) for r in sorted(rows.collect(), key=lambda r: (r["_doc"], r["_text"] or ""))], n
 
 
 def train(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 2000,
-    most_clean: int = 4000, **options,
+    most_clean: int = 4000, most_bytes: int = 24_000_000, longest_text: int = 200_000, **options,
 ) -> Model:
     """Fit on the labelled rows among docs; pass only the documents that may be learnt from. As the sample
     has more toxic documents than the labels have, they weigh less in the logistic fit."""
-    rows, n = sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, most_toxic=most_toxic, most_clean=most_clean)
+    rows, n = sample(
+        docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, most_toxic=most_toxic, most_clean=most_clean, most_bytes=most_bytes,
+        longest_text=longest_text,
+    )
     drawn = Counter(label for label, _ in rows)
     if not drawn[0] or not drawn[1]:
         return Model(Kernel())
@@ -440,10 +501,8 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            for start, end in chunks(texts):
-                margin, worst = scorer(texts[start:end])
-                part = batch.slice(start, end - start)
+            for part, texts in text_chunks(batch, text_col):
+                margin, worst = scorer(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(model.score(margin.astype(np.float64))), pa.array(worst, pa.string())],
                     names=[*part.schema.names, "_score", "_worst"],

@@ -218,16 +218,27 @@ def slow_lm(texts, train, order, d=0.7, k=100.0):
     ]
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_language_model(docs, order):
-    rows = [r for r in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect() if len(r.text or "") < 5000]
-    df = docs.sparkSession.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")
-    train = [zlib.crc32(str(r.doc_id).encode()) % 10 != 0 for r in rows]
-    wanted = dict(zip((r.doc_id for r in rows), slow_lm([r.text for r in rows], train, order), strict=True))
-    found = lm_scoring.lm_scores(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, order=order, block_bytes=2000).collect()
-    assert len(found) == len(rows)
-    for r in found:
-        assert (r.base_score, r.score) == pytest.approx(wanted[r.doc_id], abs=1e-6)
+@pytest.mark.parametrize(("order", "options"), [(1, {}), (2, {}), (3, {}), (4, {}), (3, {"most_parts": 2}), (2, {"most_parts": 3, "block_bytes": 300}), (3, {"block_bytes": 10**9})])
+def test_language_model(docs, order, options):
+    """All rows, with null ids, null and long texts and repeated rows; with and without merging levels of requests."""
+    rows = docs.select("doc_id", "text").collect()
+    train = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 != 0 for r in rows]
+    wanted = sorted((str(r.doc_id), *map(float, x)) for r, x in zip(rows, slow_lm([r.text for r in rows], train, order), strict=True))
+    found = lm_scoring.lm_scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, order=order, **{"block_bytes": 2000, **options}).collect()
+    for r, w in zip(sorted((str(r.doc_id), r.base_score, r.score) for r in found), wanted, strict=True):
+        assert r[0] == w[0] and r[1:] == pytest.approx(w[1:], abs=1e-6)
+
+
+@pytest.mark.parametrize("run", [1, 2, 3, 512])
+def test_automaton_in_runs(run):
+    """Cutting texts into runs doesn't change where they lead."""
+    rng = np.random.default_rng(run)
+    texts = [" ".join(rng.choice(list("abcd"), rng.integers(0, 30))) for _ in range(12)]
+    words, stream, lengths = lm_scoring.read_block(texts, 48)
+    block = lm_scoring.Block(words, stream, lengths, np.arange(12) % 3 > 0, 3, 48)
+    n = int((lengths - 1)[np.arange(12) % 3 > 0].sum())
+    automaton = lm_scoring.Automaton(block, block.seen, n, 5, lm_scoring.Smoothing())
+    assert np.allclose(automaton.traverse(block, run), [x[1] for x in slow_lm(texts, list(np.arange(12) % 3 > 0), 3)])
 
 
 def test_language_model_without_training(docs):
@@ -411,25 +422,69 @@ def test_toxicity_learns_and_tolerates_gaps():
 @pytest.mark.parametrize("n", [300, 1800])
 def test_toxicity_learns_from_all_rows(monkeypatch, n):
     """At every size the logistic fit sees each row once, unknown to its SVM, and the final SVM learns from all rows."""
-    learnt, scored = [], []
-    svm, scorer = toxicity._fit_svm, toxicity.Scorer
-
-    def fit_svm(train, **options):
-        learnt.append(Counter(train))
-        return svm(train, **options)
+    learnt, svm = [], toxicity._fit_svm
 
-    class Watched(scorer):
-        def __call__(self, texts):
-            scored.append(list(texts))
-            return super().__call__(texts)
+    def fit_svm(train, vocabulary, **options):
+        learnt.append({x.row for x in train})
+        return svm(train, vocabulary, **options)
 
     monkeypatch.setattr(toxicity, "_fit_svm", fit_svm)
-    monkeypatch.setattr(toxicity, "Scorer", Watched)
-    rows = [(label, f"{text} r{i}") for i, (label, text) in enumerate(_labelled(n))]
-    toxicity.fit(rows)
-    assert learnt[-1] == Counter(rows)
-    assert Counter(t for x in scored for t in x) == Counter(t for _, t in rows)
-    assert all({t for _, t in seen}.isdisjoint(apart) for seen, apart in zip(learnt, scored, strict=False))
+    toxicity.fit([(label, f"{text} r{i}") for i, (label, text) in enumerate(_labelled(n))])
+    everyone = set(range(n))
+    assert len(learnt) == 4 and learnt[-1] == everyone
+    apart = [everyone - x for x in learnt[:-1]]
+    assert sorted(i for x in apart for i in x) == sorted(everyone)
+
+
+def slow_word_map(word, order, span, decay):
+    """Weights of a word's marked subsequences of `order` characters, by enumeration, over the word's norm."""
+    marked = "^" + word + "$"
+    found, square = Counter(), 0.0
+    for at in itertools.combinations(range(len(marked)), order):
+        length = at[-1] - at[0]
+        if length < span:
+            found["".join(marked[i] for i in at)] += decay**length
+            square += decay ** (2 * length)
+    return {k: v / (square**0.5 or 1.0) for k, v in found.items()}
+
+
+def test_toxicity_kernel_and_collapsed_weights():
+    """The kernel counts gapped subsequences; a model's score is the sum over its landmarks of kernel values."""
+    kernel = toxicity.Kernel(order=3, span=5, decay=0.6)
+    some = [b"grobulous", b"grxobulous", b"aaaaaa", b"ab", b"a", b"lomi"]
+    numbers = kernel.numbers(some)
+    rows = kernel.matrix(some, numbers)
+    maps = [slow_word_map(w.decode(), 3, 5, 0.6) for w in some]
+    dot = lambda a, b: sum(v * b.get(k, 0.0) for k, v in a.items())
+    assert np.allclose(rows @ rows.T, [[dot(a, b) for b in maps] for a in maps], atol=1e-5)
+    own = kernel.numbers(some[:2])
+    alpha = np.array([1.5, -0.7])
+    model = toxicity.Model(kernel, own, (alpha @ kernel.matrix(some[:2], own)).astype(np.float32), 0.25)
+    explicit = [0.25 + sum(a * dot(maps[i], m) for i, a in enumerate(alpha)) for m in maps]
+    assert np.allclose(model.scorer()(some), explicit, atol=1e-4)
+
+
+def test_toxicity_picks_one_sentence_of_a_bag():
+    """An insult that is rare by itself is learnt from its bag, as it is like those seen often."""
+    rows = [(label, f"{text}. ba ke lo. mi nu") for label, text in _labelled(400)]
+    rows += [(1, "ba ke. snarfbace ra. mi nu")]
+    model = toxicity.fit(rows)
+    margins = model.scorer()([b"snarfbace", b"bake", b"lomi"])
+    assert margins[0] > 0 > margins[1:].max()
+
+
+def test_toxicity_held_out_by_language(spark):
+    """Precision and recall on labelled documents that the fit hasn't seen, by language."""
+    from folioflow.llm.common import remainder
+
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    held = remainder(F.col("doc_id"), 4) == 2
+    model = toxicity.train(docs.where(~held), labels)
+    rows = toxicity.score(docs.where(held).join(labels.where("toxic is not null"), "doc_id").select("lang", "toxic", "text"), model).collect()
+    for lang, precision, recall in (("en", 0.95, 0.85), ("de", 0.7, 0.85), ("fr", 0.75, 0.9), ("es", 0.6, 0.5)):
+        y, said = (np.array(x) for x in zip(*[(r.toxic == 1, r._score >= 0.3) for r in rows if r.lang == lang], strict=True))
+        assert (y & said).sum() >= recall * y.sum() and (y & said).sum() >= precision * said.sum()
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 1)], [(1, 0)], [(1, None)], [(99999, 1)]])
