@@ -1,5 +1,6 @@
 """Operators that SQL can't express, against plain Python over small tables with awkward rows."""
 
+import gzip
 import itertools
 import math
 import re
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from conftest import DATA
-from folioflow.llm import html_extraction, license_scan, lm_scoring, queries, simhash, source_mixing, toxicity
+from folioflow.llm import html_extraction, license_scan, lm_scoring, queries, simhash, source_mixing, toxicity, warc
 from folioflow.llm.decontamination import benchmark_matches, contamination, decontaminate
 from folioflow.llm.hilbert_sharding import hilbert_index, shard, write_shards
 from folioflow.llm.license_rules import signatures
@@ -509,16 +510,42 @@ def test_quality_rules_on_awkward_rows(docs):
 
 def test_captures(spark):
     body = "<p>" + "x" * 200
-    pages = spark.createDataFrame([(5, "http://a/b", body, 1), (2, None, body, 1), (9, "http://a\r\nX: y", None, 1), (7, "http://a", "short", 1), (8, "http://a", "short", 1), (2, None, body, 1)], "page_id long, url string, html string, digest int")
-    found = captures(pages).collect()
-    assert sorted((r.page_id, r.response.type, r.original_page_id) for r in found) == [
-        ("2", "response", None), ("2", "revisit", "2"), ("5", "revisit", "2"), ("7", "response", None), ("8", "response", None), ("9", "response", None)
+    pages = spark.createDataFrame([(5, "http://a/b", body, 1), (2, None, body, 1), (9, "http://a\r\nX: y", None, 1), (7, "http://a", "short", 1), (8, "http://a", "short", 1), (2, None, body, 1), (None, None, body, 1)], "page_id long, url string, html string, digest int")
+    found = captures(pages.selectExpr("*", "1 as type", "2 as payload", "3 as row", "4 as copy", "5 as revisit")).collect()
+    assert sorted((r.page_id or "", r.response.type, r.original_page_id) for r in found) == [
+        ("", "revisit", "2"), ("2", "response", None), ("2", "revisit", "2"), ("5", "revisit", "2"), ("7", "response", None), ("8", "response", None), ("9", "response", None)
     ]
-    assert all(r.request and r.metadata for r in found)
+    assert all(r.request and r.metadata for r in found) and len({r.response.record_id for r in found}) == 7
     assert {bytes(r.response.payload).decode() for r in found if r.response.type == "response"} == {body, "", "short"}
     assert captures(pages.limit(0)).count() == 0
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    """Large payloads go to files of their own; all come back whole."""
+    pages = spark.range(40).selectExpr("id as page_id", "'http://a/' || id as url", "repeat('r\r\n\r\n' || id, case when id = 3 then 5000000 when id % 10 = 0 then 60000 else 3 end) as html").repartition(2)
+    path = warc.write_archives(pages, str(tmp_path / "warc"), file_bytes=1 << 20)
+    found = warc.assemble(warc.read_archives(spark, path)).select("page_id", "response.payload_bytes", "response.payload_digest").collect()
+    wanted = {str(r.page_id): (r.n, r.h) for r in pages.selectExpr("page_id", "octet_length(html) as n", "sha2(html, 256) as h").collect()}
+    assert {r.page_id: (r.payload_bytes, r.payload_digest) for r in found} == wanted and len(found) == 40
+    per_file = warc.read_archives(spark, path).groupBy("archive").agg(F.count("*").alias("n"), F.sum("block_bytes").alias("size")).collect()
+    assert all(r.size < 2 << 20 or r.n <= 3 for r in per_file)
+
+
+def test_walk_of_gzip_members():
+    """Members of any size, cut anywhere, and a record that ends too soon."""
+    record = lambda i, body: f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <{i}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+    bodies = ["", "x", "\r\n\r\n", "y" * 3000]
+    plain_file = b"".join(record(i, x) for i, x in enumerate(bodies))
+    members = b"".join(gzip.compress(record(i, x)) for i, x in enumerate(bodies))
+    for content in (plain_file, gzip.compress(plain_file), members):
+        for step in (1, 7, 1 << 20):
+            assert [r["block"].decode() for r in warc._walk(warc._Stream(content, step))] == bodies
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc._walk(warc._Stream(plain_file[:-100])))
+    with pytest.raises(ValueError, match="no WARC record"):
+        list(warc._walk(warc._Stream(b"nothing of the kind")))
+
+
 def test_empty_tables(docs, spark):
     none = docs.limit(0)
     for out in (
