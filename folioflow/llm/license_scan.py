@@ -1,10 +1,12 @@
 """License scan with ordered signature rules, in DataFrame functions only.
 
 Text is normalised to lower-case alphanumeric words joined by single spaces. A cheap gate lets only
-texts with some rule's keyword pass; in those, each rule whose keyword occurs is matched, giving
-word intervals. One fold over the intervals (start ascending, longest first, then rule priority)
-suppresses every detection that lies within another one, however many there are. Nothing is
-shuffled, so a hot key or group costs nothing extra.
+texts with some rule's keyword pass; in those, each rule whose keyword occurs is matched. The ends of
+its matches are marked in the text, so that the marked words' numbers are the word intervals. Intervals
+are ordered (start ascending, longest first, then rule priority), and every detection that lies within
+another one is suppressed, however many there are: only those that begin at most the longest interval
+earlier can hold it, so time stays in proportion to the text and its matches. Nothing is shuffled, so a
+hot key or group costs nothing extra.
 
 Defined results: a null or blank text has no words and no detections; score is 0. Repeated rows
 give repeated results; other columns of the input are ignored.
@@ -12,10 +14,14 @@ give repeated results; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM, ascii_lower
+from .common import NON_ALNUM
 from .license_rules import Signature, signatures
 
 #: Phrases that are reported at every place, whatever the rules say about it.
@@ -25,72 +31,86 @@ BASE_PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
+#: Characters that no normalised text holds.
+_START, _END = "\x01", "\x02"
 SPAN = "struct<start:bigint,last:bigint,priority:int,label:string,rule:string,weight:double>"
 
 
 def normalised(text: Column) -> Column:
-    """Words joined by single spaces, without a space at the ends."""
-    return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), NON_ALNUM, " "))
+    """Words joined by single spaces, without a space at the ends; A-Z are lower-cased. lower() does the same
+    and is faster than translate(): other letters are word characters in either case, and the only two that
+    it would turn into ASCII letters are replaced before."""
+    safe = F.coalesce(text, F.lit(""))
+    for c in ("\u212a", "\u0130"):
+        safe = F.replace(safe, F.lit(c), F.lit("\u00aa"))
+    return F.trim(F.regexp_replace(F.lower(safe), NON_ALNUM, " "))
+
+
+def any_of(words: list[str]) -> str:
+    """Regex of some words with their common beginnings folded, so that most are ruled out at one letter."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    inside = "|".join(re.escape(c) + any_of(rest) for c, rest in heads.items())
+    return f"(?:{inside}){'?' if '' in words else ''}" if inside else ""
 
 
 def _spaces(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once: a lambda variable isn't computed again wherever it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _spans(padded: Column, rule: Column) -> Column:
-    """Word intervals of a rule's matches: the pieces between the matches tell how many words
-    stand before each."""
-    found = F.struct(
-        F.split(padded, rule["pattern"], -1).alias("between"), F.regexp_extract_all(padded, rule["pattern"], F.lit(0)).alias("hits")
+    """Word intervals of a rule's matches, in one pass over the text's words."""
+    marked = F.split(F.regexp_replace(padded, rule["pattern"], F.lit(f"{_START}$0{_END}")), " ")
+    ends = F.filter(
+        F.transform(marked, lambda w, i: F.struct((i - 1).cast("long").alias("at"), F.startswith(w, F.lit(_START)).alias("first"), F.endswith(w, F.lit(_END)).alias("last"))),
+        lambda x: x["first"] | x["last"],
     )
-
-    def step(state: Column, i: Column, x: Column) -> Column:
-        start = state["at"] + _spaces(F.get(x["between"], i))
-        inside = _spaces(F.get(x["hits"], i))
-        span = F.struct(
-            start.alias("start"), (start + inside).alias("last"), rule["priority"].alias("priority"), rule["label"].alias("label"),
-            rule["rule"].alias("rule"), rule["weight"].alias("weight"),
-        ).cast(SPAN)
-        return F.struct((start + inside).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-    first = F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.flatten(
-        F.transform(
-            F.array(found),
-            lambda x: F.when(F.size(x["hits"]) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(
-                F.aggregate(
-                    F.sequence(F.lit(0), F.size(x["hits"]) - 1), first, lambda s, i: step(s, i, x), lambda s: s["out"]
-                )
-            ),
-        )
+    spans = _let(
+        ends,
+        lambda e: F.zip_with(
+            F.filter(e, lambda x: x["first"]), F.filter(e, lambda x: x["last"]),
+            lambda a, b: F.struct(
+                a["at"].alias("start"), b["at"].alias("last"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["rule"].alias("rule"),
+                rule["weight"].alias("weight"),
+            ).cast(SPAN),
+        ),
     )
+    return F.when(F.rlike(padded, rule["pattern"]), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _not_contained(spans: Column) -> Column:
-    """Spans that lie in no other: in this order, a span is contained if an earlier one ends no sooner."""
+    """Spans that lie in no other, each start's longest (of least priority number) before the rest."""
     ordered = F.sort_array(
         F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["last"]).alias("before"), s["priority"].alias("priority"), s.alias("span")))
     )
-    first = F.struct(F.lit(-1).cast("long").alias("reach"), F.array().cast(f"array<{SPAN}>").alias("kept"))
-    return F.aggregate(
-        ordered, first,
-        lambda state, x: F.when(x["span"]["last"] <= state["reach"], state).otherwise(
-            F.struct(x["span"]["last"].alias("reach"), F.concat(state["kept"], F.array(x["span"])).alias("kept"))
-        ),
-        lambda state: state["kept"],
-    )
+    firsts = _let(ordered, lambda o: F.transform(F.filter(o, lambda x, i: (i == 0) | (F.get(o, i - 1)["start"] < x["start"])), lambda x: x["span"]))
+    longest = lambda f: F.array_max(F.transform(f, lambda x: x["last"] - x["start"])).cast("int") + 1
+
+    def outer(f: Column) -> Column:
+        return _let(
+            longest(f),
+            lambda m: F.filter(
+                f, lambda x, i: ~F.exists(F.slice(f, F.greatest(i - m, F.lit(0)) + 1, F.least(i, m)), lambda y: y["last"] >= x["last"])
+            ),
+        )
+
+    return _let(firsts, outer)
 
 
 def _rule_table(rules: list[Signature]) -> Column:
-    """The rules by keyword as one array literal (folded when the plan is optimised)."""
-    by: dict[str, list[Signature]] = {}
+    """The rules by keyword as one array (a constant, parsed when the plan is optimised)."""
+    by: dict[str, list[dict]] = {}
     for r in rules:
-        by.setdefault(r.keyword, []).append(r)
-    rule = lambda r: F.struct(
-        F.lit(r.rule).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"),
-        F.lit(r.priority).cast("int").alias("priority"), F.lit(r.weight).alias("weight"),
-    )
-    return F.array(*[F.struct(F.lit(f" {k} ").alias("keyword"), F.array(*map(rule, some)).alias("rules")) for k, some in by.items()])
+        by.setdefault(r.keyword, []).append({"rule": r.rule, "label": r.label, "pattern": r.pattern, "priority": r.priority, "weight": r.weight})
+    table = [{"keyword": f" {k} ", "rules": some} for k, some in by.items()]
+    return F.from_json(F.lit(json.dumps(table)), "array<struct<keyword:string,rules:array<struct<rule:string,label:string,pattern:string,priority:int,weight:double>>>>")
 
 
 def license_scan(
@@ -108,7 +128,7 @@ def license_scan(
         F.when(F.col("norm") == "", F.lit(0).cast("long")).otherwise(_spaces(F.col("norm")) + 1).alias("n_words"),
         F.concat(F.lit(" "), "norm", F.lit(" ")).alias("padded"),
     )
-    gate = F.col("padded").rlike(f" (?:{'|'.join(keywords)}) ")
+    gate = F.col("padded").rlike(f" {any_of(keywords)} ")
     none = F.array().cast(f"array<{SPAN}>")
 
     def matches(some: list[Signature]) -> Column:

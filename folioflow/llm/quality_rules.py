@@ -57,8 +57,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more in the same array.
 
-    The windows are compared as strings. Where all differ (a hash set tells), nothing is sorted;
-    otherwise (window, position) pairs are sorted, neighbours compared, and the covered words
+    The windows are first compared as hashes. Where all differ, so do the windows and nothing is sorted;
+    otherwise they are compared as strings: (window, position) pairs are sorted, neighbours compared, and the covered words
     counted from the gaps between the repeated windows' positions: n log n, whatever repeats.
     """
 
@@ -87,15 +87,17 @@ def repeat_words(words: Column) -> Column:
         windows = F.transform(
             F.sequence(F.lit(0), n - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
         )
+        hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
         return F.when(n < 3, F.lit(0).cast("long")).otherwise(
-            _let(windows, lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0).cast("long")).otherwise(covered(x)))
+            F.when(_let(hashes, lambda x: F.size(F.array_distinct(x)) == F.size(x)), F.lit(0).cast("long")).otherwise(_let(windows, covered))
         )
 
     return _let(words, of)
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _count(text: Column, chars: str) -> Column:
+    """Number of characters of a regex class, given without brackets."""
+    return F.length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("long")
 
 
 def measures(text: Column) -> dict[str, Column]:
@@ -106,9 +108,9 @@ def measures(text: Column) -> dict[str, Column]:
     return {
         "words": words,
         "word_chars": F.length(F.regexp_replace(text, GAP, "")).cast("long"),
-        "n_symbols": _without(text, SYMBOLS).cast("long"),
-        "n_capitals": _without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long"),
-        "n_exclamations": _without(text, "!").cast("long"),
+        "n_symbols": _count(text, SYMBOLS),
+        "n_capitals": _count(text, "A-Z"),
+        "n_exclamations": _count(text, "!"),
         "lines": lines,
     }
 
@@ -131,7 +133,7 @@ def quality_rules(
         per_word(F.col("n_exclamations")).alias("exclamation_ratio"),
         (F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1))).alias("capital_ratio"),
         per_word(F.col("word_chars")).alias("mean_word_chars"),
-        per_word(F.size(F.filter("words", lambda w: ascii_lower(w).isin(list(stop_words))))).alias("stop_ratio"),
+        per_word(F.size(F.filter("words", lambda w: (F.length(w) <= max(map(len, stop_words))) & ascii_lower(w).isin(list(stop_words))))).alias("stop_ratio"),
         ((F.size("lines") - F.size(F.array_distinct("lines"))) / n_lines).alias("dup_line_ratio"),
         (F.size(F.filter("lines", lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•|]"))) / n_lines).alias("bullet_line_ratio"),
     )
