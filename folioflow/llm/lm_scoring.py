@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from .common import lower_words, stored, text_chunks
 
 BEGIN, END = b" begin", b" end"  # no word holds a space
+MOST_TASKS = 50_000
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 BLOCK = "block long, doc_ids array<bigint>, train array<boolean>, lengths array<int>, train_tokens long, words binary, stream binary"
 
@@ -347,7 +348,10 @@ def lm_scores(
         held = stored(levels[-1], "lm-asked").withColumn("group", F.pmod(F.xxhash64("unit"), F.lit(units)))
         levels[-1] = held
         levels.append(held.groupBy("part", "group").applyInArrow(merging(level), request_type))
-    replies = stored(levels[-1].groupBy("part").applyInArrow(answer, reply_type), "lm-replies")
+    # parts are numbered, so that tasks get equal numbers of them, which a hash wouldn't give
+    tasks = min(max(1, n_blocks), MOST_TASKS)
+    last = levels[-1].withColumn("task", F.pmod("part", F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("task"))
+    replies = stored(last.groupBy("task", "part").applyInArrow(answer, reply_type), "lm-replies")
     v = replies.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
     for held in reversed(levels[:-1]):
         above = replies.select(F.expr(f"part div {fan}").alias("_part"), F.col("unit").alias("_group"), "part", "reply")
