@@ -1,22 +1,25 @@
 """Main-text extraction by minimum cut.
 
-A page becomes a sequence of blocks. A logistic classifier, trained on the authored pages of
-html_examples, gives each block its log-odds of being main text; they become capacities to the
-content or boilerplate terminal. Neighbouring blocks, and blocks near in the element tree, are
-joined by smoothness edges, and the minimum cut labels all blocks at once. Blocks whose terminal
-outweighs all their open edges are settled first (their label is the same in every minimum cut);
-max-flow by shortest augmenting paths decides the rest.
+A page becomes a sequence of blocks. A logistic classifier, trained on the pages that html_examples
+composes, gives each block its log-odds of being main text; they become capacities to the content or
+boilerplate terminal. Its features are the block's own text, its neighbours' and its container's, and the
+nearest element around it that says anything by tag or name, so that a telling name far outside doesn't
+overrule an article within. Neighbouring blocks, and blocks near in the element tree, are joined by
+smoothness edges, and the minimum cut labels all blocks at once. Blocks whose terminal outweighs all their
+open edges are settled first (their label is the same in every minimum cut); max-flow in phases of
+shortest paths decides the rest.
 
 Each page is handled in its row: nothing is shuffled. Defined results: null or textless pages give
 an empty text; a page without markup is one block, kept or not like any other; repeated rows give
-repeated results. Text is never shortened.
+repeated results. Text is never shortened. Columns _text and _blocks of the input are replaced.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_chunks
-from .html_examples import PAGES
+from .html_examples import pages
 
 #: Elements that begin and end a block.
 BLOCKS = frozenset(
@@ -44,20 +47,33 @@ _P_CLOSERS = BLOCKS - {"body", "html"}
 _SCOPE = frozenset("table td th tr ul ol div article section main aside nav header footer form body html blockquote".split())
 _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOP_AT = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-_BAD = re.compile(
-    r"(?<![a-z])(ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu\w*|nav\w*|footer|foot|header|masthead|breadcrumbs?|cookies?|consent|notices?|"
-    r"popup|modal|comments?|disqus|replies|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe|login|signup|form|widget|copyright|toolbar|pagination|pager|tags)(?![a-z])"
+#: Words in names of elements that hold boilerplate, or main text.
+BAD_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner sidebar side menu menus nav navbar navigation topnav footer foot "
+    "header masthead breadcrumb breadcrumbs cookie cookies consent notice notices popup modal alert comment comments disqus replies reply respond responses discussion share sharing "
+    "social related recommend recommended newsletter subscribe login signup form widget widgets copyright legal toolbar pagination pager tags teaser teasers outbrain taboola".split()
 )
-_GOOD = re.compile(r"(?<![a-z])(content|article|post|entry|main|body|story|text)(?![a-z])")
+GOOD_WORDS = frozenset("content article post entry main body story text prose copy".split())
+#: A name with one of these describes a layout or state, not what the element holds.
+_NOT_ITS_OWN = frozenset("has with no is without layout wrap wrapper wrapping container page site open closed enabled disabled fixed left right type category".split())
+_NAME = re.compile(r"[^\s]+")
+_WORD = re.compile(r"[a-z]+")
+SIGNALS = ("none", "article", "main", "good", "mixed", "bad", "nav", "aside", "header", "header_in_article", "footer", "form")
+_TAGS = {"article": "article", "main": "main", "nav": "nav", "menu": "nav", "aside": "aside", "footer": "footer", "form": "form", "fieldset": "form", "header": "header"}
 FEATURES = (
-    "bias", "in_article", "in_main", "in_nav", "in_aside", "in_header", "in_footer", "in_form", "bad_name", "good_name", "link_share",
-    "long", "paragraph", "heading", "item", "sentence",
+    "bias", *[f"nearest_{s}" for s in SIGNALS], "in_article", "in_boilerplate", "link_share", "long", "paragraph", "heading", "item", "sentence", "near_links", "near_long",
+    "container_links", "container_long",
 )
 
 
 class Block(NamedTuple):
+    """Text; container and own element; depth; least depth since the block before; features; training label."""
+
     text: str
-    path: tuple[int, ...]
+    parent: int
+    own: int
+    depth: int
+    above: int
     features: tuple[float, ...]
     keep: bool
 
@@ -65,47 +81,64 @@ class Block(NamedTuple):
 class _Open(NamedTuple):
     tag: str
     number: int
-    bad: bool
-    good: bool
+    signal: str
+    in_article: bool
+    in_boilerplate: bool
     keep: bool
 
 
+_ROOT = _Open("", 0, "none", False, False, False)
+
+
+def named(names: str) -> str:
+    """What the names of an element say: good, bad, mixed or none."""
+    good = bad = False
+    for name in _NAME.findall(names.lower()):
+        some = set(_WORD.findall(name))
+        if not some & _NOT_ITS_OWN:
+            good |= bool(some & GOOD_WORDS)
+            bad |= bool(some & BAD_WORDS)
+    return "mixed" if good and bad else "good" if good else "bad" if bad else "none"
+
+
 class _Blocks(HTMLParser):
-    """Collects blocks; tolerates what browsers do: implied ends, stray and missing end tags."""
+    """Collects blocks; tolerates what browsers do: implied ends, stray and missing end tags. What is known of
+    the elements around is carried from each to the next, so depth costs nothing."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[_Open] = []
-        self.hidden = 0
-        self.count = 0
+        self.levels: list[tuple[int, str]] = [(0, "")]  # number and tag of the open block elements
+        self.open: Counter[str] = Counter()
+        self.hidden = self.count = self.above = 0
         self.parts: list[str] = []
         self.linked = 0
-        self.blocks: list[Block] = []
+        self.found: list[tuple] = []
 
     def flush(self) -> None:
         if not self.parts:
             return
         text = " ".join("".join(self.parts).split())
         if text:
-            tags = [o.tag for o in self.stack]
-            inside = set(tags)
-            own = next((t for t in reversed(tags) if t in BLOCKS), "")
-            article = "article" in inside
-            features = (
-                1.0, float(article), float("main" in inside), float("nav" in inside or "menu" in inside), float("aside" in inside),
-                float("header" in inside and not article), float("footer" in inside), float("form" in inside or "fieldset" in inside),
-                float(any(o.bad for o in self.stack)), float(any(o.good for o in self.stack)), min(1.0, self.linked / len(text)),
-                min(1.0, math.log1p(len(text)) / 7), float(own in ("p", "blockquote", "pre")), float(own[:1] == "h" and own[1:].isdigit()),
-                float(own in ("li", "dd", "dt")), float(text[-1] in ".!?…。"),
-            )
-            self.blocks.append(Block(text, tuple(o.number for o in self.stack if o.tag in BLOCKS), features, any(o.keep for o in self.stack)))
+            depth = len(self.levels) - 1
+            top = self.stack[-1] if self.stack else _ROOT
+            own, tag = self.levels[-1]
+            self.found.append((text, self.levels[-2][0] if depth else 0, own, depth, min(self.above, depth), tag, top, min(1.0, self.linked / len(text))))
+            self.above = depth
         self.parts, self.linked = [], 0
 
     def _pop_to(self, at: int) -> None:
-        self.hidden -= sum(o.tag in HIDDEN for o in self.stack[at:])
+        for o in self.stack[at:]:
+            self.hidden -= o.tag in HIDDEN
+            self.open[o.tag] -= 1
+            if o.tag in BLOCKS:
+                self.levels.pop()
+        self.above = min(self.above, len(self.levels) - 1)
         del self.stack[at:]
 
     def _close(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i].tag in tags:
                 self._pop_to(i)
@@ -132,17 +165,34 @@ class _Blocks(HTMLParser):
             self._close(_IMPLIED[tag], _STOP_AT.get(tag, set()))
         if tag in VOID:
             return
-        names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label")).lower()
-        hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
         self.count += 1
-        bad = hidden or bool(names and _BAD.search(names))
-        self.stack.append(_Open(tag, self.count, bad, bool(names and _GOOD.search(names)), ("data-keep", "1") in attrs))
+        around = self.stack[-1] if self.stack else _ROOT
+        signal = _TAGS.get(tag, "none")
+        if signal == "none" and tag not in ("body", "html"):
+            signal = named(" ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label")))
+        elif signal == "article" and named(" ".join(v for k, v in attrs if v and k in ("class", "id"))) == "bad":
+            signal = "bad"  # a comment or teaser marked up as an article
+        if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
+            signal = "bad"
+        if signal == "header" and around.in_article:
+            signal = "header_in_article"
+        boilerplate = signal in ("bad", "nav", "aside", "footer", "form", "header")
+        in_article = (around.in_article and not boilerplate) or signal in ("article", "main")
+        self.stack.append(
+            _Open(
+                tag, self.count, around.signal if signal == "none" else signal, in_article,
+                False if signal in ("article", "main") else around.in_boilerplate or boilerplate, around.keep or ("data-keep", "1") in attrs,
+            )
+        )
+        self.open[tag] += 1
+        if tag in BLOCKS:
+            self.levels.append((self.count, tag))
         self.hidden += tag in HIDDEN
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        if any(o.tag == tag for o in self.stack):
+        if self.open[tag]:
             block = tag in BLOCKS
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i].tag == tag:
@@ -156,7 +206,7 @@ class _Blocks(HTMLParser):
             self._close_head()
         if not self.hidden:
             self.parts.append(data)
-            if any(o.tag == "a" for o in self.stack):
+            if self.open["a"]:
                 self.linked += len(data)
 
 
@@ -165,13 +215,30 @@ def blocks(html: str | None) -> list[Block]:
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    return parser.blocks
+    found = parser.found
+    size: Counter[int] = Counter()
+    linked: Counter[int] = Counter()
+    for text, parent, _, _, _, _, _, links in found:
+        size[parent] += len(text)
+        linked[parent] += links * len(text)
+    long = [min(1.0, math.log1p(len(x[0])) / 7) for x in found]
+    out = []
+    for i, (text, parent, own, depth, above, tag, top, links) in enumerate(found):
+        near = [j for j in (i - 1, i + 1) if 0 <= j < len(found)]
+        mean = lambda some: sum(some) / len(near) if near else 0.0  # noqa: B023, E731
+        features = (
+            1.0, *[float(top.signal == s) for s in SIGNALS], float(top.in_article), float(top.in_boilerplate), links, long[i], float(tag in ("p", "blockquote", "pre")),
+            float(tag[:1] == "h" and tag[1:].isdigit()), float(tag in ("li", "dd", "dt")), float(text[-1] in ".!?…。"), mean(found[j][7] for j in near),
+            mean(long[j] for j in near), linked[parent] / size[parent], min(1.0, math.log1p(size[parent]) / 8),
+        )
+        out.append(Block(text, parent, own, depth, above, features, top.keep))
+    return out
 
 
 @lru_cache(maxsize=1)
-def weights(ridge: float = 0.01, steps: int = 50) -> tuple[float, ...]:
-    """Logistic weights fitted to the authored pages (Newton steps, ridge on all but the bias)."""
-    rows = [b for page in PAGES for b in blocks(page)]
+def weights(ridge: float = 0.05, steps: int = 50) -> tuple[float, ...]:
+    """Logistic weights fitted to the composed pages (Newton steps, ridge on all but the bias)."""
+    rows = [b for page in pages() for b in blocks(page)]
     x, y = np.array([b.features for b in rows]), np.array([float(b.keep) for b in rows])
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-3
@@ -187,23 +254,13 @@ def smoothness(page: list[Block], adjacent: float = 0.6, near: float = 0.9) -> d
     """Edges between neighbours in page order, and between each block and the next under the same
     parent; both weaken with the number of elements that separate the two."""
     edges: dict[tuple[int, int], float] = defaultdict(float)
-
-    def apart(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-        common = 0
-        for x, y in zip(a, b, strict=False):
-            if x != y:
-                break
-            common += 1
-        return len(a) + len(b) - 2 * common
-
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[int, int] = {}
     for i, b in enumerate(page):
         if i:
-            edges[i - 1, i] += adjacent / (1 + apart(page[i - 1].path, b.path))
-        parent = b.path[:-1]
-        if parent in last:
-            edges[last[parent], i] += near / (1 + apart(page[last[parent]].path, b.path))
-        last[parent] = i
+            edges[i - 1, i] += adjacent / (1 + page[i - 1].depth + b.depth - 2 * b.above)
+        if b.parent in last:
+            edges[last[b.parent], i] += near / (1 + 2 * (page[last[b.parent]].own != b.own))
+        last[b.parent] = i
     return dict(edges)
 
 
@@ -228,37 +285,56 @@ def minimum_cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[
             todo.append(j)
         near[i] = {}
     open_ = [i for i in range(n) if label[i] is None]
-    if not open_:
-        return [bool(x) for x in label]
-    source, sink = n, n + 1
-    capacity: dict[int, dict[int, float]] = {i: dict(near[i]) for i in open_}
+    if open_:
+        side = _flow_side({i: near[i] for i in open_}, z)
+        for i in open_:
+            label[i] = i in side
+    return [bool(x) for x in label]
+
+
+def _flow_side(near: dict[int, dict[int, float]], z: list[float], least: float = 1e-12) -> set[int]:
+    """Nodes on the source side of a maximum flow, in phases: levels by breadth, then paths along them until
+    none is left; the number of phases is small, as paths through a page are."""
+    source, sink = -1, -2
+    capacity: dict[int, dict[int, float]] = {i: dict(x) for i, x in near.items()}
     capacity[source], capacity[sink] = {}, {}
-    for i in open_:
+    for i in near:
         a, b = (source, i) if z[i] > 0 else (i, sink)
         capacity[a][b] = abs(z[i])
         capacity[b].setdefault(a, 0.0)
     while True:
-        before = {source: source}
+        level = {source: 0}
         queue = deque([source])
-        while queue and sink not in before:
+        while queue:
             i = queue.popleft()
             for j, c in capacity[i].items():
-                if c > 1e-12 and j not in before:
-                    before[j] = i
+                if c > least and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if sink not in before:
-            break
-        path, j = [], sink
-        while j != source:
-            path.append((before[j], j))
-            j = before[j]
-        flow = min(capacity[a][b] for a, b in path)
-        for a, b in path:
-            capacity[a][b] -= flow
-            capacity[b][a] = capacity[b].get(a, 0.0) + flow
-    for i in open_:
-        label[i] = i in before
-    return [bool(x) for x in label]
+        if sink not in level:
+            return set(level)
+        left = {i: list(capacity[i]) for i in level}
+        path = [source]
+        while path:
+            i = path[-1]
+            if i == sink:
+                flow = min(capacity[a][b] for a, b in itertools.pairwise(path))
+                cut = None
+                for k, (a, b) in enumerate(itertools.pairwise(path)):
+                    capacity[a][b] -= flow
+                    capacity[b][a] = capacity[b].get(a, 0.0) + flow
+                    if cut is None and capacity[a][b] <= least:
+                        cut = k
+                del path[cut + 1 :]
+                continue
+            while left[i] and not (capacity[i][left[i][-1]] > least and level.get(left[i][-1]) == level[i] + 1):
+                left[i].pop()
+            if left[i]:
+                path.append(left[i][-1])
+            else:
+                path.pop()
+                if path:
+                    left[path[-1]].pop()
 
 
 def label_blocks(page: list[Block], w: tuple[float, ...] | None = None) -> list[bool]:
@@ -272,11 +348,11 @@ def main_text(html: str | None, w: tuple[float, ...] | None = None) -> str:
     return " ".join(b.text for b, keep in zip(page, label_blocks(page, w), strict=True) if keep)
 
 
-def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
-    """pages with _text (the main text, blocks joined by one space) and _blocks (how many were kept)."""
+def extract(docs: DataFrame, *, html_col: str = "html") -> DataFrame:
+    """docs with _text (the main text, blocks joined by one space) and _blocks (how many were kept)."""
     w = weights()
-    pages = pages.drop("_text", "_blocks")
-    schema = pages.limit(0).withColumns({"_text": F.lit("").cast("string"), "_blocks": F.lit(0)}).schema
+    docs = docs.drop("_text", "_blocks")
+    schema = docs.limit(0).withColumns({"_text": F.lit("").cast("string"), "_blocks": F.lit(0)}).schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,4 +367,4 @@ def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
                     [*part.columns, pa.array(texts, pa.string()), pa.array(kept, pa.int32())], names=[*part.schema.names, "_text", "_blocks"]
                 )
 
-    return pages.mapInArrow(add, schema)
+    return docs.mapInArrow(add, schema)
