@@ -13,7 +13,7 @@ from folioflow.llm.common import remainder, stored
 from folioflow.llm.decontamination import decontaminate
 from folioflow.llm.hilbert_sharding import shard
 from folioflow.llm.simhash import deduplicate
-from folioflow.llm.source_mixing import mixed
+from folioflow.llm.source_mixing import language_rate, mixed
 from folioflow.llm.toxicity import train, without_toxic
 
 #: No DuckDB equivalent: the first stage trains a model. The stages are tested against brute force.
@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by the copies that meet the sources' target weights."""
-    return mixed(docs)
+    return mixed(docs, base_rate=language_rate(F.col("lang")))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

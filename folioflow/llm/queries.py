@@ -19,7 +19,7 @@ from .license_scan import license_scan
 from .lm_scoring import lm_scores
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
-from .source_mixing import mix
+from .source_mixing import language_rate, mix
 from .toxicity import score as toxicity_score
 from .toxicity import train as toxicity_train
 from .warc import captures
@@ -97,7 +97,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(table(spark, sf_dir, "documents"))
+    out = mix(table(spark, sf_dir, "documents"), base_rate=language_rate(F.col("lang")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -8,9 +8,9 @@ source's Newton iteration is a fold over its own short row: sources are solved i
 on the driver.
 
 Rates become copies by rounding down and adding one copy where a hash of the document, scaled by
-its fraction, is under the source's threshold. The threshold comes from two histograms of 4096 bins
+its fraction, is under the source's threshold. The threshold comes from three histograms of 256 bins
 for each source, so the words taken miss the target by about half a document at most, however
-large the source.
+large the source. Base rates have three decimals, so a source has a bounded number of cells.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; repeated
 rows are drawn alike; sources without words have target 0. Reruns give the same copies, as only the
@@ -21,12 +21,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import GAP, by_place, stored
 
-BINS = 4096
+BINS, DIGITS = 256, 3
+KEYS = BINS**DIGITS
 LAW_COLUMNS = ("_size", "_base_rate", "_draw")
 
 
@@ -41,29 +42,46 @@ def sized(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ba
     return docs.withColumns({"_size": n_words(F.col(text_col)), "_base_rate": rate, "_draw": draw})
 
 
+def language_rate(lang: Column, first: str = "en", others: float = 1.25) -> Column:
+    """Base rate of a document by language: those in the first one and in none count 1, others more."""
+    return F.when(F.coalesce(lang != first, F.lit(False)), F.lit(others)).otherwise(F.lit(1.0))
+
+
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources with _place, from 0 by code point, null last: sorted by range, so no task has all sources; the
+    driver sees a number of rows for each partition."""
+    order = F.col("source").asc_nulls_last()
+    placed = stored(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()), "mix-sources")
+    offset, begin = 0, []
+    for r in sorted(placed.groupBy(F.shiftright("_at", 33).cast("int").alias("p")).agg(F.count("*").alias("n")).collect()):
+        begin.append((r["p"], offset))
+        offset += r["n"]
+    starts = F.broadcast(sources.sparkSession.createDataFrame(begin, "_p int, _offset long"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(starts, F.shiftright("_at", 33).cast("int") == F.col("_p")).withColumn("_place", F.col("_offset") + inside).drop("_at", "_p", "_offset")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
-    """source, source_size -> target: weights repeat over the sources by code point; targets sum to
+    """source, source_size, cells and target: weights repeat over the sources by code point; targets sum to
     `share` of all words and stop at `cap` times their source, the excess going to the others by weight.
 
-    The level at which the targets stop changing is found over the sources ordered by how soon they
-    reach the cap: a window over one row for each source."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    place = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    weighted = sizes.withColumn("_w", F.get(F.array(*[F.lit(float(w)) for w in weights]), place)).withColumn("_full", cap * F.col("source_size"))
-    soon = Window.orderBy(F.col("_full") / F.col("_w"), F.col("source").asc_nulls_last())
-    before = soon.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(0))
-    level = weighted.withColumns(
-        {
-            "_total": share * F.sum("source_size").over(whole),
-            "_spent": F.coalesce(F.sum("_full").over(before), F.lit(0.0)),
-            "_left": F.sum("_w").over(soon.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    ).withColumn("_level", (F.col("_total") - F.col("_spent")) / F.col("_left"))
-    # the first source, in this order, that the level leaves below its cap sets the level for all after it
-    free = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_full"), F.struct(F.col("_full") / F.col("_w"), "_level"))).over(whole)
-    reached = F.when(free.isNull(), F.col("_full")).otherwise(F.least(F.col("_full"), F.col("_w") * free["_level"]))
-    return level.select("source", "source_size", "cells", reached.alias("target"))
+    Words by weight rise to a common level, except in sources that are full. Each round sums over all sources
+    what the full ones take, which sets the level for the rest; sources only ever become full, and a few
+    rounds do."""
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("_place"), F.lit(len(weights))))
+    rows = ranked(sizes).withColumns({"_w": weight, "_full": cap * F.col("source_size")})
+    total = share * (rows.agg(F.sum("source_size")).first()[0] or 0)
+    level, full_before = 0.0, -1
+    while True:
+        over = F.lit(level) * F.col("_w") > F.col("_full")
+        spent, left, full = rows.agg(
+            F.coalesce(F.sum(F.when(over, F.col("_full"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("_w"))), F.lit(0.0)), F.count_if(over)
+        ).first()
+        if full == full_before or not left:
+            break
+        level, full_before = (total - spent) / left, full
+    reached = F.col("_full") if not left else F.least(F.col("_full"), F.col("_w") * level)
+    return rows.select("source", "source_size", "cells", reached.alias("target"))
 
 
 def tilt(cells: Column, target: Column, cap: float, steps: int = 60) -> Column:
@@ -99,13 +117,14 @@ def _rate(cap: float) -> Column:
 
 
 def _key(cap: float) -> Column:
-    """Order in which documents of a source get their extra copy: 0 to BINS**2 - 1; null if there is none to get."""
+    """Order in which documents of a source get their extra copy: 0 to KEYS - 1; null if there is none to get."""
     part = _rate(cap) - F.floor(_rate(cap))
-    return F.when(part > 0, F.least(F.floor(F.col("_draw") / part * (BINS * BINS / 4)), F.lit(BINS * BINS - 1)).cast("long"))
+    return F.when(part > 0, F.least(F.floor(F.col("_draw") / part * (KEYS / 4)), F.lit(KEYS - 1)).cast("long"))
 
 
 def plan(sizes: DataFrame, source_col: str, *, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
-    """A row for each source: source, source_size, target, _lambda and _threshold of the rounding."""
+    """A row for each source: source, source_size, target, _lambda and _threshold of the rounding, found digit
+    by digit: a histogram of BINS bins for each source, then one of the bin in which its words are reached."""
     cells = sizes.groupBy(F.col(source_col).alias("source"), "_base_rate").agg(F.sum("_size").cast("double").alias("words"))
     by_source = cells.groupBy("source").agg(
         F.sum("words").cast("long").alias("source_size"), F.collect_list(F.struct(F.col("_base_rate").alias("rate"), "words")).alias("cells")
@@ -114,47 +133,45 @@ def plan(sizes: DataFrame, source_col: str, *, weights: tuple[int, ...], share:
         targets(by_source, weights, share, cap).withColumn("_lambda", tilt(F.col("cells"), F.col("target"), cap)).drop("cells"), "mix-tilt"
     )
     drawn = _joined(sizes.select(F.col(source_col).alias("_source"), *LAW_COLUMNS), solved, "_source").withColumn("_k", _key(cap))
-    coarse = (
-        drawn.groupBy("source", F.floor(F.col("_k") / BINS).alias("bin"))
-        .agg(
-            F.sum(F.when(F.col("_k").isNotNull(), F.col("_size")).otherwise(0)).alias("words"),
-            F.sum(F.floor(_rate(cap)) * F.col("_size")).alias("whole"), F.max("target").alias("target"),
-        )
-        .withColumn("need", F.col("target") - F.sum("whole").over(Window.partitionBy("source")))
-    )
-    first = stored(
-        _crossing(coarse).join(solved.withColumnRenamed("source", "_solved"), F.col("source").eqNullSafe(F.col("_solved"))).drop("_solved"), "mix-bins"
-    )
-    inside = drawn.join(
-        first.select(F.col("source").alias("_first"), F.col("bin").alias("_bin"), F.col("rest").alias("need")),
-        F.col("source").eqNullSafe(F.col("_first")) & (F.floor(F.col("_k") / BINS) == F.col("_bin")),
-    )
-    fine = inside.groupBy("source", F.pmod("_k", F.lit(BINS)).alias("bin")).agg(F.sum("_size").alias("words"), F.max("need").alias("need"))
-    second = _crossing(fine).select(
-        F.col("source").alias("_second"), (F.col("bin") + (2 * F.col("rest") >= F.col("words")).cast("long")).alias("_fine")
-    )
-    return stored(
-        first.join(second, F.col("source").eqNullSafe(F.col("_second")), "left").select(
-            "source", "source_size", "target", "_lambda",
-            F.when(F.col("bin").isNotNull(), F.col("bin") * BINS + F.coalesce("_fine", F.lit(0)))
-            .when(F.col("need") > 0, F.lit(BINS * BINS)).otherwise(F.lit(0)).cast("long").alias("_threshold"),
-        ),
-        "mix-plan",
+    whole = drawn.groupBy("source").agg(F.sum(F.floor(_rate(cap)) * F.col("_size")).alias("whole"))
+    state = stored(
+        solved.select(F.col("source").alias("_s"), "target").join(whole, F.col("_s").eqNullSafe(F.col("source")))
+        .select("source", (F.col("target") - F.col("whole")).alias("need"), F.lit(0).cast("long").alias("prefix"), F.lit(False).alias("round_up")), "mix-digit",
     )
+    for digit in range(DIGITS):
+        below = BINS ** (DIGITS - 1 - digit)
+        inside = drawn.join(
+            state.select(F.col("source").alias("_of"), "prefix"),
+            F.col("source").eqNullSafe(F.col("_of")) & F.col("_k").isNotNull() & (F.expr(f"_k div {below * BINS}") == F.col("prefix")),
+        )
+        bins = inside.groupBy("source", F.pmod(F.expr(f"_k div {below}"), F.lit(BINS)).alias("bin")).agg(F.sum("_size").cast("double").alias("words"))
+        by_bin = bins.groupBy(F.col("source").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("bin", "words"))).alias("bins"))
+        reached = state.join(by_bin, F.col("source").eqNullSafe(F.col("_of")), "left").withColumn("at", _crossing(F.col("bins"), F.col("need")))
+        state = stored(
+            reached.select(
+                "source", F.when(F.col("at.found"), F.col("need") - F.col("at.before")).otherwise(F.col("need")).alias("need"),
+                F.when(F.col("at.found"), F.col("prefix") * BINS + F.col("at.bin")).alias("prefix"),
+                (F.col("at.found") & (2 * (F.col("need") - F.col("at.before")) >= F.col("at.words"))).alias("round_up"),
+            ),
+            "mix-digit",
+        )
+    # where the words of all keys are too few, every document with a fraction gets its copy
+    threshold = F.when(F.col("prefix").isNotNull(), F.col("prefix") + F.col("round_up").cast("long")).when(F.col("need") > 0, F.lit(KEYS)).otherwise(F.lit(0))
+    found = state.select(F.col("source").alias("_of"), threshold.cast("long").alias("_threshold"))
+    return stored(solved.join(found, F.col("source").eqNullSafe(F.col("_of"))).drop("_of"), "mix-plan")
 
 
-def _crossing(hist: DataFrame) -> DataFrame:
-    """A row for each source: the bin in which the words by bin reach what is needed (null if none does),
-    its words, and what is still needed there."""
-    before = F.coalesce(
-        F.sum("words").over(Window.partitionBy("source").orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    at = hist.withColumn("_before", before)
-    here = F.col("bin").isNotNull() & (F.col("_before") <= F.col("need")) & (F.col("need") < F.col("_before") + F.col("words"))
-    return at.groupBy("source").agg(
-        F.max(F.when(here, F.col("bin"))).alias("bin"), F.max(F.when(here, F.col("words"))).alias("words"),
-        F.max(F.when(here, F.col("need") - F.col("_before"))).alias("rest"), F.max("need").alias("need"),
-    )
+def _crossing(bins: Column, need: Column) -> Column:
+    """struct(found, bin, words, before) of the bin in which the words by bin reach what is needed."""
+    first = F.struct(F.lit(False).alias("found"), F.lit(0).cast("long").alias("bin"), F.lit(0.0).alias("words"), F.lit(0.0).alias("before"))
+
+    def step(s: Column, x: Column) -> Column:
+        here = (s["before"] <= need) & (need < s["before"] + x["words"])
+        return F.when(s["found"], s).otherwise(
+            F.struct(here.alias("found"), x["bin"].alias("bin"), x["words"].alias("words"), F.when(here, s["before"]).otherwise(s["before"] + x["words"]).alias("before"))
+        )
+
+    return F.coalesce(F.aggregate(bins, first, step), first)
 
 
 def _joined(docs: DataFrame, sources: DataFrame, source_col: str) -> DataFrame:

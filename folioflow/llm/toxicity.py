@@ -143,6 +143,27 @@ class Kernel:
         return out.reshape(len(some), len(numbers))
 
 
+    def times(self, some: list[bytes], numbers: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """matrix(some, numbers) @ right, from the few subsequences that each word has."""
+        out = np.zeros((len(some), right.shape[1]), dtype=np.float32)
+        for at, codes in self.by_length(some):
+            norm, who, slots, factors = self.norm(codes.shape[1]), [], [], []
+            for number, f in self.subsequences(codes):
+                slot = np.minimum(np.searchsorted(numbers, number), len(numbers) - 1)
+                row, place = np.nonzero(numbers[slot] == number)
+                who.append(row)
+                slots.append(slot[row, place])
+                factors.append(np.full(len(row), f / norm, dtype=np.float32))
+            row = np.concatenate(who) if who else np.empty(0, dtype=np.int64)
+            if len(row):
+                order = np.argsort(row, kind="stable")
+                row = row[order]
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                values = right[np.concatenate(slots)[order]] * np.concatenate(factors)[order][:, None]
+                out[at[row[first]]] = np.add.reduceat(values, first, axis=0)
+        return out
+
+
 @dataclass
 class Model:
     """A collapsed model: a weight for each subsequence, an offset, and the logistic of a document's margin."""
@@ -321,7 +342,7 @@ def bags(rows: list[tuple[int, str | None]], window: int = 5, kept: int = 4) ->
     return out, list(numbering)
 
 
-def fit(rows: list[tuple[int, str | None]], *, folds: int = 3, toxic_weight: float = 1.0, seed: int = 7, **options) -> Model:
+def fit(rows: list[tuple[int, str | None]], *, folds: int = 2, toxic_weight: float = 1.0, seed: int = 7, **options) -> Model:
     """Train on (label, text) rows. The logistic fit uses the margins of all folds in turn, each under an
     SVM that hasn't seen it; the final SVM learns from all rows."""
     order = np.random.default_rng(seed).permutation(len(rows))
@@ -358,8 +379,8 @@ def _landmarks(kernel: Kernel, some: list[bytes], most: int) -> list[bytes]:
 
 
 def _fit_svm(
-    train: list[Bag], vocabulary: list[bytes], *, kernel: Kernel | None = None, n_landmarks: int = 384, c: float = 1.0, rounds: int = 4,
-    negatives: int = 4000, variants: int = 2, most_positive: int = 4000, most_candidates: int = 400, plausible: float = -0.5, seed: int = 7,
+    train: list[Bag], vocabulary: list[bytes], *, kernel: Kernel | None = None, n_landmarks: int = 256, c: float = 1.0, rounds: int = 4,
+    negatives: int = 4000, variants: int = 2, most_positive: int = 4000, most_candidates: int = 400, plausible: float = -0.9, seed: int = 7,
 ) -> Model:
     """A latent SVM over the sentences of labelled documents. It learns from the `most_positive` positive
     words seen most often; landmark insults are chosen among the first `most_candidates` of them, by
@@ -399,12 +420,12 @@ def _fit_svm(
         project = table @ (vectors / np.sqrt(np.maximum(values, 1e-4))).astype(np.float32)  # Nystroem map of kernel rows; tiny directions are damped
         del table
 
-        def mapped(some: list[bytes], numbers: np.ndarray = numbers, project: np.ndarray = project, block: int = 200) -> np.ndarray:
+        def mapped(some: list[bytes], numbers: np.ndarray = numbers, project: np.ndarray = project, block: int = 100) -> np.ndarray:
             out = np.ones((len(some), project.shape[1] + 1), dtype=np.float32)
             order = sorted(range(len(some)), key=lambda i: len(some[i]))  # words of a length are handled together
             for i in range(0, len(order), block):
                 at = order[i : i + block]
-                out[at, :-1] = kernel.matrix([some[j] for j in at], numbers) @ project
+                out[at, :-1] = kernel.times([some[j] for j in at], numbers, project)
             return out
 
         # virtual examples: a letter inserted inside a landmark insult leaves it an insult
@@ -477,8 +498,8 @@ def sample(
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 2000,
-    most_clean: int = 4000, most_bytes: int = 24_000_000, longest_text: int = 200_000, **options,
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 1000,
+    most_clean: int = 2500, most_bytes: int = 24_000_000, longest_text: int = 200_000, **options,
 ) -> Model:
     """Fit on the labelled rows among docs; pass only the documents that may be learnt from. As the sample
     has more toxic documents than the labels have, they weigh less in the logistic fit."""
