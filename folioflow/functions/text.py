@@ -1,7 +1,6 @@
 """Text normal forms, search patterns and fingerprints as Column expressions.
 
-White space is one explicit class in all of them: the ASCII spaces, no-break space and the byte
-order mark. Lengths count code points.
+Prose folds spaces, tabs and line ends. Lengths count code points.
 """
 
 from __future__ import annotations
@@ -11,8 +10,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHITE = r"[\t\n\x0B\f\r  ﻿]"
-_EXTENSIONS = "js|jsx|ts|tsx|json|css|scss|html|md|mdx|yml|yaml|toml|py|rb|sh|sql|xml|txt|liquid|graphql"
+#: White space cut at the ends: what counts as such in Unicode, and the byte order mark.
+ENDS = r"[\t\n\x0B\f\r\p{Z}\x{FEFF}]"
+#: What makes inline code a file's path, and what an identifier.
+FILE_END = r"(?i)\.(?:toml|json|yaml|yml|tsx|ts|jsx|js|liquid|graphql|md)$"
+IDENTIFIER = r"^[A-Z][A-Za-z0-9_]*(?:\.[A-Za-z0-9_]+)*$"
 
 
 def _c(x: Column | str) -> Column:
@@ -24,13 +26,14 @@ def normalize_line_endings(text: Column | str) -> Column:
 
 
 def normalize_prose(text: Column | str) -> Column:
-    """One space for each run of white space, none at the ends."""
-    return F.trim(F.regexp_replace(_c(text), f"{WHITE}+", " "))
+    """One space for each run of spaces, tabs and line ends; white space of any kind cut at the ends."""
+    one = F.regexp_replace(F.regexp_replace(normalize_line_endings(text), "[ \\t]+", " "), " *\\n+ *", " ")
+    return F.regexp_replace(one, f"^{ENDS}+|{ENDS}+$", "")
 
 
 def normalize_multiline(text: Column | str) -> Column:
     """Line endings made \\n, white space cut at the ends of the whole."""
-    return F.regexp_replace(normalize_line_endings(text), f"^{WHITE}+|{WHITE}+$", "")
+    return F.regexp_replace(normalize_line_endings(text), f"^{ENDS}+|{ENDS}+$", "")
 
 
 def normalize_query(query: str) -> str:
@@ -57,12 +60,35 @@ def candidate_limit(limit: float) -> int:
     return 0 if limit <= 0 else min(1000, max(50, int(limit) * 25))
 
 
-def block_fingerprint(block_type: Column | str, text: Column | str) -> Column:
-    """SHA-256 of the block's canonical JSON; prose is folded, code only gets its line endings made equal.
-    Place and heading path don't count."""
+def json_text(value: Column | str) -> Column:
+    """A string as JSON."""
+    whole = F.to_json(F.struct(_c(value).alias("v")))
+    return F.substring(whole, 6, F.length(whole) - 6)
+
+
+def block_fingerprint(block_type: Column | str, text: Column | str, payload: Column | str) -> Column:
+    """SHA-256 of the block's canonical JSON: type, text, payload (canonical JSON already, see canonical.py) and
+    whether it is translated. Prose is folded, code only gets its line endings made equal. Place and heading
+    path don't count."""
     kind = _c(block_type)
     value = F.when(kind == "code", normalize_line_endings(text)).otherwise(normalize_prose(text))
-    return F.sha2(F.to_json(F.struct(kind.alias("type"), value.alias("text"), (kind != "code").alias("translatable"))), 256)
+    return F.sha2(
+        F.concat(
+            F.lit('{"type":'), json_text(kind), F.lit(',"sourceText":'), json_text(value), F.lit(',"payload":'), _c(payload),
+            F.lit(',"translatable":'), F.when(kind == "code", "false").otherwise("true"), F.lit("}"),
+        ),
+        256,
+    )
+
+
+def config_hash(*parts: Column | str) -> Column:
+    """SHA-256 of the JSON array of some strings, such as a prompt's template and model, or a request's body."""
+    return F.sha2(F.to_json(F.array(*[_c(p).cast("string") for p in parts])), 256)
+
+
+def glossary_hash(term: Column | str) -> Column:
+    """Aggregate: SHA-256 of a glossary's normal terms, each once, in order."""
+    return F.sha2(F.to_json(F.array_sort(F.collect_set(F.lower(F.trim(_c(term)))))), 256)
 
 
 def page_fingerprint(ordinal: Column | str, block_type: Column | str, fingerprint: Column | str) -> Column:
@@ -74,8 +100,8 @@ def page_fingerprint(ordinal: Column | str, block_type: Column | str, fingerprin
 def classify_inline_code(value: Column | str) -> Column:
     v = _c(value)
     return (
-        F.when(v.rlike(WHITE), "inline_code").when(F.contains(v, F.lit("/")) | v.rlike(rf"(?i)\.(?:{_EXTENSIONS})$"), "file_path")
-        .when(v.rlike(r"^[A-Z][A-Za-z0-9_]*$"), "identifier").otherwise("inline_code")
+        F.when(v.rlike(r"\s"), "inline_code").when(v.rlike(r"[\\/]") | v.rlike(FILE_END), "file_path")
+        .when(v.rlike(IDENTIFIER), "identifier").otherwise("inline_code")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BUDGET_OFFSET_HOURS
+from .scan import ordered_scan
 
 
 def usage_date(at: Column, hours: int = BUDGET_OFFSET_HOURS) -> Column:
@@ -23,28 +24,28 @@ def strict_reservation(body: Column, most_output: int) -> Column:
     return F.octet_length(body) + F.lit(most_output)
 
 
+ADMITTED = "admitted boolean, used_after long"
+
+
+def admission_step(limit: int):
+    """Step of the fold: a request is admitted if it fits into what is left; a refused one takes nothing."""
+
+    def step(used: int | None, row: tuple) -> tuple[int, tuple]:
+        used, (tokens,) = used or 0, row
+        fits = tokens is not None and used + tokens <= limit
+        used += tokens if fits else 0
+        return used, (fits, used)
+
+    return step
+
+
 def admit(requests: DataFrame, limit: int, *, key: str = "usage_date", order: tuple[str, str] = ("at", "reservation_id")) -> DataFrame:
     """requests with `admitted` and `used_after`: in order, a request is admitted if it fits into what is
-    left of its day; a refused one takes nothing, so a smaller one may still fit later.
-
-    That depends on order and can't be a running sum. A day's rows are one array and one fold; the day
-    of a budget is bounded by its limit's requests, and days are dealt over the cluster."""
-    a, b = order
-    days = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(a).alias("_a"), F.col(b).alias("_b"), F.col("tokens").alias("_t")))).alias("rows"))
-    # the fold carries the tokens used and the used total after each request; a request is admitted where that grew
-    totals = F.aggregate(
-        "rows", F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("after")),
-        lambda s, x: F.struct(
-            (s["used"] + F.when(s["used"] + x["_t"] <= limit, x["_t"]).otherwise(0)).cast("long").alias("used"),
-            F.concat(s["after"], F.array((s["used"] + F.when(s["used"] + x["_t"] <= limit, x["_t"]).otherwise(0)).cast("long"))).alias("after"),
-        ),
-        lambda s: s["after"],
-    )
-    folded = days.withColumn("after", totals)
-    rows = folded.select(key, "after", F.posexplode("rows").alias("_i", "_r"))
-    before = F.coalesce(F.get("after", F.col("_i") - 1), F.lit(0))
-    after = F.get("after", F.col("_i"))
-    return rows.select(key, F.col("_r._a").alias(a), F.col("_r._b").alias(b), F.col("_r._t").alias("tokens"), (after > before).alias("admitted"), after.alias("used_after"))
+    left of its day; a refused one takes nothing, so a smaller one may still fit later. A request without a
+    number of tokens is refused. Each depends on those before, so a day is one task's stream (see scan.py):
+    linear in its requests, with one number as state."""
+    rows = requests.select(key, *order, "tokens")
+    return ordered_scan(rows, [key], list(order), ["tokens"], ADMITTED, admission_step(limit))
 
 
 def charge(reserved: Column, input_tokens: Column, output_tokens: Column) -> Column:

@@ -62,6 +62,18 @@ def sitemap_entries(documents: DataFrame) -> DataFrame:
     return rows.groupBy("canonical_url").agg(F.max("last_modified").alias("last_modified"))
 
 
+def mirror_entries(documents: DataFrame) -> DataFrame:
+    """Entries of a mirror of the sitemap: each document (url, body) is one URL set and must have entries; others are
+    rows with an error."""
+    urls = F.from_xml("body", _URLSET)["url"]
+    rows = documents.select("url", F.when(F.contains("body", F.lit("<urlset")) & (F.size(urls) > 0), urls).alias("found"))
+    ok = rows.where(F.col("found").isNotNull()).select("url", F.explode("found").alias("e"))
+    page = canonical_page(F.trim(F.col("e.loc")))
+    good = ok.select("url", page["url"].alias("canonical_url"), F.trim("e.lastmod").alias("last_modified"), page["error"].alias("error"))
+    bad = rows.where(F.col("found").isNull()).select("url", *[F.lit(None).cast("string").alias(c) for c in ("canonical_url", "last_modified")], F.lit("invalid_mirror").alias("error"))
+    return good.unionByName(bad)
+
+
 def discover(stored_documents: DataFrame, roots: list[str], rules: DataFrame | None = None, site: Site = SITE, most_depth: int = 5) -> DataFrame:
     """Pages reachable from the root sitemaps over stored (url, body) documents: breadth-first over
     sitemap indexes of the same origin, each document once, then the entries of all."""

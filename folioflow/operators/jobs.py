@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import ordered_scan
+
 RETRY_MINUTES = (1, 5, 30)
 
 
@@ -101,29 +103,92 @@ def retranslations(blocks: DataFrame, running: DataFrame, prompt: int, glossary:
     return rows.join(open_, "dedupe_key", "left").select("block_id", "dedupe_key", F.when(F.col("_open"), "deduplicated").otherwise("enqueued").alias("action"))
 
 
-def spaced_starts(requests: DataFrame, interval_ms: int) -> DataFrame:
+def spaced_starts(requests: DataFrame, interval_ms: int, span_ms: int = 3_600_000) -> DataFrame:
     """Start of each request of a host when starts keep `interval_ms` apart:
-    start_i = max(arrival_i, start_(i-1) + interval), which is a running maximum of arrival - i * interval."""
-    w = Window.partitionBy("host").orderBy("arrival_ms", "request_id")
-    i = F.row_number().over(w) - 1
-    return requests.withColumn("_i", i).withColumn("start_ms", F.max(F.col("arrival_ms") - F.col("_i") * interval_ms).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i") * interval_ms).drop("_i")
+    start_i = max(arrival_i, start_(i-1) + interval), which is a running maximum of arrival - i * interval.
+
+    It is taken in two levels, so that a host's requests are dealt over many tasks: within each `span_ms` of
+    a host's arrivals, and over one row for each of those spans."""
+    keys = ["host", "_span"]
+    w = Window.partitionBy(*keys).orderBy("arrival_ms", "request_id")
+    inside = requests.withColumn("_span", F.floor(F.col("arrival_ms") / span_ms)).withColumn("_i", F.row_number().over(w) - 1)
+    inside = inside.withColumn("_most", F.max(F.col("arrival_ms") - F.col("_i") * interval_ms).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = requests.withColumn("_span", F.floor(F.col("arrival_ms") / span_ms)).withColumn("_i", F.row_number().over(w) - 1).groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.max(F.col("arrival_ms") - F.col("_i") * interval_ms).alias("_high")
+    )
+    before = Window.partitionBy("host").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    counted = spans.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    reached = counted.withColumn("_before", F.max(F.col("_high") - F.col("_offset") * interval_ms).over(before)).select(
+        F.col("host").alias("_host"), F.col("_span").alias("_at"), "_offset", "_before"
+    )
+    joined = inside.join(reached, F.col("host").eqNullSafe(F.col("_host")) & F.col("_span").eqNullSafe(F.col("_at")))
+    start = F.greatest(F.col("_before"), F.col("_most") - F.col("_offset") * interval_ms) + (F.col("_offset") + F.col("_i")) * interval_ms
+    return joined.withColumn("start_ms", start).select(*requests.columns, "start_ms")
 
 
-def login_allowed(attempts: DataFrame, most_failures: int = 5, minutes: int = 15) -> DataFrame:
-    """user_id, at, attempt_id, ok, allowed: a window is anchored at the first failure after a success or
-    after the last window's end; within it, attempts after `most_failures` failures are refused."""
+ALLOWED = "allowed boolean"
+
+
+def login_step(most_failures: int, minutes: int):
+    """Step of the fold: the state is when the window began and the failures in it."""
     span = minutes * 60_000_000
-    rows = attempts.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("at").cast("timestamp")).alias("t"), F.col("attempt_id").alias("id"), F.col("ok").alias("ok")))).alias("rows"))
-    kind = "struct<t:bigint,id:bigint,ok:boolean,allowed:boolean>"
-
-    def step(s: Column, x: Column) -> Column:
-        live = s["anchor"].isNotNull() & (x["t"] < s["anchor"] + span)
-        allowed = ~(live & (s["failures"] >= most_failures))
-        failed = allowed & ~x["ok"]
-        reset = allowed & x["ok"]
-        anchor = F.when(reset, F.lit(None).cast("long")).when(failed & ~live, x["t"]).when(live, s["anchor"])
-        failures = F.when(reset, 0).when(failed, F.when(live, s["failures"] + 1).otherwise(1)).when(live, s["failures"]).otherwise(0)
-        return F.struct(anchor.cast("long").alias("anchor"), failures.cast("int").alias("failures"), F.concat(s["out"], F.array(F.struct(x["t"], x["id"], x["ok"], allowed).cast(kind))).alias("out"))
-
-    first = F.struct(F.lit(None).cast("long").alias("anchor"), F.lit(0).alias("failures"), F.array().cast(f"array<{kind}>").alias("out"))
-    return rows.select("user_id", F.explode(F.aggregate("rows", first, step, lambda s: s["out"])).alias("r")).select("user_id", F.col("r.t").alias("at_us"), F.col("r.id").alias("attempt_id"), F.col("r.ok").alias("ok"), F.col("r.allowed").alias("allowed"))
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple | None, tuple]:
+        at, ok = row
+        anchor, failures = state if state and at < state[0] + span else (None, 0)
+        if failures >= most_failures:
+            return (anchor, failures), (False,)
+        if ok:
+            return None, (True,)
+        return (at if anchor is None else anchor, failures + 1), (True,)
+
+    return step
+
+
+def login_allowed(attempts: DataFrame, most_failures: int = 5, minutes: int = 15) -> DataFrame:
+    """user_id, at_us, attempt_id, ok, allowed: a window is anchored at the first failure after a success or
+    after the last window's end; within it, attempts after `most_failures` failures are refused. An attempt
+    without an outcome is a failure."""
+    rows = attempts.select("user_id", F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"), "attempt_id", F.coalesce("ok", F.lit(False)).alias("ok"))
+    return ordered_scan(rows, ["user_id"], ["at_us", "attempt_id"], ["at_us", "ok"], ALLOWED, login_step(most_failures, minutes))
+
+
+ENQUEUED = "action string, job_number int"
+
+
+def enqueue_step(state: list | None, row: tuple) -> tuple[list, tuple]:
+    """Step of the fold over a dedupe key's events; the state is the number, status, priority and time of its
+    last job. A request makes a job unless one is open; it may promote a queued one, not a running one."""
+    number, status, priority, run_at = state or (0, "none", 0, 0)
+    event, wanted, at = row
+    if event == "enqueue":
+        if status not in ("queued", "running"):
+            number, status, priority, run_at, action = number + 1, "queued", wanted, at, "created"
+        elif status == "queued" and (wanted > priority or at < run_at):
+            priority, run_at, action = max(priority, wanted), min(run_at, at), "promoted"
+        else:
+            action = "deduplicated"
+    elif event == "claim":
+        action = "claimed" if status == "queued" else "ignored"
+        status = "running" if status == "queued" else status
+    elif event == "requeue":
+        action = "requeued" if status == "running" else "ignored"
+        status, run_at = ("queued", at) if status == "running" else (status, run_at)
+    else:
+        action = "finished" if status == "running" else "ignored"
+        status = "finished" if status == "running" else status
+    return [number, status, priority, run_at], (action, number)
+
+
+def enqueue(events: DataFrame) -> DataFrame:
+    """Queue events (dedupe_key, at_us, event_id, event, priority, run_at_us) with action and job_number.
+    event: enqueue, claim, requeue (a retry or deferral) or finish (success or last failure)."""
+    return ordered_scan(events, ["dedupe_key"], ["at_us", "event_id"], ["event", "priority", "run_at_us"], ENQUEUED, enqueue_step)
+
+
+def renew_leases(jobs: DataFrame, owners: DataFrame, now: datetime, seconds: int = 120) -> DataFrame:
+    """job_id, renewed, new_lease_until of owners' calls (job_id, owner): only the owner of a running job whose lease hasn't ended
+    renews it."""
+    rows = owners.select("job_id", F.col("owner").alias("_caller")).join(jobs.select("job_id", "status", "owner", "lease_until"), "job_id", "left")
+    own = F.coalesce((F.col("status") == "running") & (F.col("owner") == F.col("_caller")) & (F.col("lease_until") > F.lit(now)), F.lit(False))
+    return rows.select("job_id", own.alias("renewed"), F.when(own, F.lit(now) + F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))).cast("timestamp_ntz").alias("new_lease_until"))

@@ -9,10 +9,9 @@ from ..config import SITE, Site
 
 
 def parse_parent(value: Column, site: Site = SITE) -> Column:
-    """A valid parent path, or null: at most 500 characters, decoded, no dot segments."""
+    """A valid parent path, or null: at most 500 characters, decoded, no dot segments, not empty."""
     decoded = F.try_url_decode(value)
     clean = F.regexp_replace(decoded, "/+$", "")
-    clean = F.when(clean == "", F.lit(site.root)).otherwise(clean)
     ok = (F.length(value) <= 500) & clean.rlike(rf"^{site.root}(?:/[A-Za-z0-9._~-]+)*$") & ~clean.rlike(r"/\.{1,2}(?:/|$)")
     return F.when(ok, clean)
 
@@ -23,7 +22,7 @@ def entries_below(pages: DataFrame, parent: str) -> DataFrame:
 
 def segment_label(segment: Column, site: Site = SITE) -> Column:
     """Words of a path segment, each with a capital, acronyms all in capitals."""
-    words = F.filter(F.split(segment, "[-_]+"), lambda w: w != "")
+    words = F.filter(F.split(segment, "-"), lambda w: w != "")
     shown = F.transform(words, lambda w: F.when(F.lower(w).isin(sorted(site.acronyms)), F.upper(w)).otherwise(F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 20))))
     return F.array_join(shown, " ")
 

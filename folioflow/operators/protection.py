@@ -34,26 +34,36 @@ def nested_out(spans: list[tuple[int, int]], length: int) -> tuple[list[tuple[in
     return out, None
 
 
-def term_spans(text: str, terms: re.Pattern | None, locked: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Glossary matches, leftmost first and then longest, that touch neither words nor locked spans."""
-    out, at = [], 0
-    while terms is not None and (m := terms.search(text, at)):
-        start, end = m.span()
-        inside = any(start < b and a < end for a, b in locked)
-        at = start + 1 if inside else end
-        if not inside:
+def _same_length_lower(text: str) -> str:
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
+def term_list(terms: list[str]) -> list[str]:
+    """Normal forms of a glossary's terms: trimmed, lower-cased, each once, none empty."""
+    return sorted({t.strip().lower() for t in terms if t.strip()})
+
+
+def term_spans(text: str, terms: list[str], locked: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of all places of all terms that touch neither a word's letters nor a locked span, those chosen leftmost first and
+    then longest, none over another."""
+    low, found = _same_length_lower(text), []
+    for term in terms:
+        start = low.find(term)
+        while start >= 0:
+            end = start + len(term)
+            joined = (_WORD.match(text[start]) and start and _WORD.match(text[start - 1])) or (_WORD.match(text[end - 1]) and end < len(text) and _WORD.match(text[end]))
+            if not joined and not any(start < b and a < end for a, b in locked):
+                found.append((start, end))
+            start = low.find(term, start + 1)
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
+        if not out or start >= out[-1][1]:
             out.append((start, end))
     return out
 
 
-def term_pattern(terms: list[str]) -> re.Pattern | None:
-    """Longest terms first; an end that is a word character mustn't have another beside it."""
-    edge = lambda t: (r"(?<!\w)" if _WORD.match(t[0]) else "") + re.escape(t) + (r"(?!\w)" if _WORD.match(t[-1]) else "")
-    known = sorted({t for t in terms if t}, key=lambda t: (-len(t), t))
-    return re.compile("|".join(map(edge, known)), re.IGNORECASE) if known else None
-
-
-def protect(text: str, spans: list[tuple[int, int]], terms: re.Pattern | None) -> dict:
+def protect(text: str, spans: list[tuple[int, int]], terms: list[str]) -> dict:
     locked, error = nested_out(spans, len(text))
     if error:
         return {"text": None, "error": error, "tokens": []}
@@ -73,7 +83,7 @@ def protect(text: str, spans: list[tuple[int, int]], terms: re.Pattern | None) -
 
 def protect_blocks(blocks: DataFrame, terms: list[str], spans_col: str | None = None) -> DataFrame:
     """blocks (block_id, block_type, source_text) with `protected`, a struct PROTECTED; code isn't translated."""
-    pattern = term_pattern(terms)
+    known = term_list(terms)
     spans = F.col(spans_col) if spans_col else F.array().cast("array<struct<start:int,end:int>>")
     rows = blocks.select("block_id", "block_type", "source_text", spans.alias("spans"))
 
@@ -84,7 +94,7 @@ def protect_blocks(blocks: DataFrame, terms: list[str], spans_col: str | None =
                 if kind == "code" or text is None:
                     done.append({"text": None, "error": "not_translatable", "tokens": []})
                 else:
-                    done.append(protect(text, [(s["start"], s["end"]) for s in own], pattern))
+                    done.append(protect(text, [(s["start"], s["end"]) for s in own], known))
             yield pd.DataFrame({"block_id": pdf["block_id"], "protected": done})
 
     return rows.mapInPandas(run, f"block_id long, protected {PROTECTED}")

@@ -7,6 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import page_fingerprint
+from .diff import diff_blocks
+
 
 def upsert_discovered(pages: DataFrame, found: DataFrame, now: datetime) -> DataFrame:
     """pages after a discovery: found URLs are inserted or updated and no longer missing."""
@@ -70,3 +73,67 @@ def inherit_states(current: DataFrame, previous: DataFrame, translations: DataFr
 def translation_jobs(candidates: DataFrame, priority: int) -> DataFrame:
     key = F.concat_ws(":", F.lit("translate"), F.col("block_id").cast("string"), "fingerprint")
     return candidates.select("block_id", key.alias("dedupe_key"), F.lit(priority).alias("priority"))
+
+
+def publish_decisions(fetched: DataFrame, versions: DataFrame) -> DataFrame:
+    """page_id, decision, version of fetched pages (blocks). versions: page_id, version, fingerprint, current. A page
+    like its current version is unchanged, one like an older version restores that, any other is published
+    as the next."""
+    now = fetched.groupBy("page_id").agg(page_fingerprint("ordinal", "block_type", "fingerprint").alias("_now"))
+    rows = now.join(versions, "page_id", "left")
+    same = F.col("fingerprint") == F.col("_now")
+    by_page = rows.groupBy("page_id").agg(
+        F.bool_or(same & F.col("current")).alias("_same"), F.max(F.when(same, F.col("version"))).alias("_old"), F.max("version").alias("_last")
+    )
+    decision = F.when(F.col("_same"), "unchanged").when(F.col("_old").isNotNull(), "restored").otherwise("published")
+    version = F.coalesce("_old", F.coalesce("_last", F.lit(0)) + 1)
+    return by_page.select("page_id", decision.alias("decision"), version.cast("long").alias("version"))
+
+
+def publish_pages(fetched: DataFrame, versions: DataFrame, previous: DataFrame, translations: DataFrame, priority: int = 10) -> dict[str, DataFrame]:
+    """What publishing fetched pages writes: `decisions`, and for published pages the `changes` of their blocks, the
+    `states` that their blocks inherit and the translation `jobs` for what is new or changed. Blocks have
+    block_id, page_id, ordinal, block_type, fingerprint, translatable; previous holds those of the current versions."""
+    decisions = publish_decisions(fetched, versions)
+    published = decisions.where(F.col("decision") == "published").select("page_id")
+    new, old = fetched.join(published, "page_id", "left_semi"), previous.join(published, "page_id", "left_semi")
+    every = diff_blocks(old, new, every=True)
+    place = Window.partitionBy("page_id").orderBy("ordinal")
+    indexed = lambda df, name: df.select("page_id", (F.row_number().over(place) - 1).alias(f"{name}_index"), F.col("block_id").alias(f"_{name}"), "fingerprint", "translatable")
+    pairs = every.where(F.col("current_index").isNotNull()).join(indexed(new, "current"), ["page_id", "current_index"]).join(
+        indexed(old, "previous").drop("fingerprint", "translatable"), ["page_id", "previous_index"], "left"
+    )
+    current = pairs.where("translatable").select(F.col("_current").alias("block_id"), F.col("_previous").alias("previous_id"), "fingerprint")
+    candidates = pairs.where("candidate").select(F.col("_current").alias("block_id"), "fingerprint")
+    return {
+        "decisions": decisions, "changes": every.where(F.col("kind") != "same"), "states": inherit_states(current, old, translations),
+        "jobs": translation_jobs(candidates, priority),
+    }
+
+
+def latest_rows(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """The row of each key written last: what a table of single-key upserts holds."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), at).alias("_r")).select(*keys, "_r.*")
+
+
+def ensure_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """pages (canonical_url, path) with those wanted inserted, or their path updated."""
+    new = wanted.groupBy("canonical_url").agg(F.max("path").alias("_path"))
+    return pages.join(new, "canonical_url", "full").select("canonical_url", F.coalesce("_path", "path").alias("path"))
+
+
+def refresh_list(pages: DataFrame) -> DataFrame:
+    """Active pages in order of their ids."""
+    return pages.where(F.col("status") == "active").select("page_id", "path").orderBy("page_id")
+
+
+def page_snapshots(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """page_id, path and the blocks of each page's current version in order, as one array."""
+    own = blocks.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "block_type", "fingerprint"))).alias("blocks"))
+    return pages.select("page_id", "path").join(own, "page_id", "left")
+
+
+def fetch_log(fetches: DataFrame, keep_days: int = 7) -> DataFrame:
+    """The log of fetches, with the time until which the body of a failed one is kept."""
+    failed = ~F.col("result").isin("ok", "not_modified")
+    return fetches.withColumn("expires_at", F.when(failed, F.col("at") + F.make_dt_interval(days=F.lit(keep_days))))

@@ -60,10 +60,50 @@ def publish_revisions(incoming: DataFrame, blocks: DataFrame, pages: DataFrame,
 
 
 def mark_failed(translations: DataFrame, failures: DataFrame) -> DataFrame:
-    """States after failures (block_id, error): failed where there is no revision yet, else unchanged."""
-    rows = translations.join(failures.select("block_id", "error"), "block_id", "left")
-    status = F.when(F.col("error").isNotNull() & F.col("current_revision_id").isNull(), "failed").otherwise(F.col("status"))
-    return rows.select("block_id", status.alias("status"), "current_revision_id", "error")
+    """States after failures (block_id, fingerprint, error, and whether the text was too large): failed or
+    oversized where there is no revision yet, else unchanged with the error; a failure of another fingerprint
+    than the block's (`fingerprint` of translations) is stale and changes nothing."""
+    rows = translations.join(failures.select("block_id", F.col("fingerprint").alias("_failed"), F.col("error").alias("_error"), "oversized"), "block_id", "left")
+    counts = F.coalesce(F.col("_failed") == F.col("fingerprint"), F.lit(False))
+    status = F.when(counts & F.col("current_revision_id").isNull(), F.when(F.col("oversized"), "oversized").otherwise("failed")).otherwise(F.col("status"))
+    return rows.select("block_id", status.alias("status"), "current_revision_id", F.when(counts, F.col("_error")).alias("error"))
+
+
+def record_corrections(incoming: DataFrame, blocks: DataFrame) -> DataFrame:
+    """block_id, correction_id, status, reason after corrections (correction_id, block_id, fingerprint, scope): each
+    makes a manual revision of its block, if the block still has that fingerprint; a global one is kept
+    without its block. Of several corrections of a block the last id counts."""
+    rows = incoming.join(blocks.select("block_id", F.col("fingerprint").alias("_now")), "block_id", "left")
+    fresh = F.coalesce(F.col("_now") == F.col("fingerprint"), F.lit(False))
+    kept = rows.where(fresh).groupBy("block_id").agg(F.max(F.struct("correction_id", "scope")).alias("_c"))
+    return kept.select(
+        "block_id", F.col("_c.correction_id").alias("correction_id"), F.when(F.col("_c.scope") == "block", F.col("block_id")).alias("correction_block_id"),
+        F.lit("manually_corrected").alias("status"), F.lit(None).cast("string").alias("reason"),
+    )
+
+
+def call_audit(calls: DataFrame) -> DataFrame:
+    """calls (job_id, call, provider, error, request) as they are logged: a sequence number within the job, the hash of
+    the request, and the message cut to 2,000 characters."""
+    order = Window.partitionBy("job_id").orderBy("call")
+    return calls.select(
+        "job_id", "call", F.row_number().over(order).alias("sequence"), F.when(F.col("error").isNull(), "succeeded").otherwise("failed").alias("status"),
+        F.sha2("request", 256).alias("request_hash"), F.left("error", F.lit(2000)).alias("message"),
+    )
+
+
+def seeded(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """Revisions for blocks whose text has a known translation (source_text, translated_text), by exact match."""
+    by_text = known.groupBy("source_text").agg(F.min("translated_text").alias("translated_text"))
+    return blocks.where("translatable").join(by_text, "source_text").select("block_id", "translated_text")
+
+
+def return_path(value: Column, fallback: str = "/admin") -> Column:
+    """Where to go after a correction: a page or the review list, with its query but without a fragment; else
+    the fallback."""
+    shape = r"^(/docs/[^?#\s]*|/admin/review)(\?[^#\s]*)?(?:#.*)?$"
+    ok = value.rlike(shape) & ~value.rlike(r"^[^?#]*/\.{1,2}(?:[/?#]|$)")
+    return F.when(F.coalesce(ok, F.lit(False)), F.concat(F.regexp_extract(value, shape, 1), F.regexp_extract(value, shape, 2))).otherwise(F.lit(fallback))
 
 
 def backfill(blocks: DataFrame, translations: DataFrame) -> DataFrame:

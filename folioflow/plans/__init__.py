@@ -1,6 +1,10 @@
-"""Registered queries of the document-corpus operators and their SQL equivalents."""
+"""Registered queries of the corpus and their SQL."""
 
+from . import more_queries  # noqa: F401  registers its queries
+from .more_sql import MORE_SQL
 from .queries import QUERIES
-from .sql import ORACLE_SQL
+from .sql import ORACLE_SQL as FIRST_SQL
+
+ORACLE_SQL = {**FIRST_SQL, **MORE_SQL}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..config import SITE
 
-WHITE = r"[\t\n\x0B\f\r \x{00A0}\x{FEFF}]"
+ENDS = r"[\t\n\x0B\f\r\p{Z}\x{FEFF}]"
 
 TABLES = {
     "lines": "SELECT doc_id, lang, source, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents",
@@ -12,11 +12,13 @@ TABLES = {
         l[1] AS title, CASE WHEN toxic = 1 THEN 'blocked' ELSE 'active' END AS status
       FROM lines d LEFT JOIN labels USING (doc_id)""",
     "content_blocks": """SELECT page_id * 100000 + ordinal AS block_id, page_id, CAST(ordinal AS INTEGER) AS ordinal,
-        CASE WHEN ordinal = 0 THEN 'heading' WHEN contains(source_text, ' | ') THEN 'code' ELSE 'paragraph' END AS block_type, source_text,
-        ordinal = 0 OR NOT contains(source_text, ' | ') AS translatable
+        CASE WHEN ordinal % 5 = 0 THEN 'heading' WHEN contains(source_text, ' | ') THEN 'code' ELSE 'paragraph' END AS block_type, source_text,
+        ordinal % 5 = 0 OR NOT contains(source_text, ' | ') AS translatable, CAST(CASE WHEN ordinal = 0 THEN 1 ELSE 2 END AS INTEGER) AS depth
       FROM (SELECT doc_id AS page_id, unnest(range(len(l))) AS ordinal, unnest(l) AS source_text FROM lines)""",
-    "fingerprints": rf"""SELECT *, sha256('{{"type":"' || block_type || '","text":' || CAST(to_json(CASE WHEN block_type = 'code'
-        THEN regexp_replace(source_text, '\r\n?', chr(10), 'g') ELSE trim(regexp_replace(source_text, '{WHITE}+', ' ', 'g')) END) AS VARCHAR)
+    "fingerprints": rf"""SELECT *, sha256('{{"type":"' || block_type || '","sourceText":' || CAST(to_json(CASE WHEN block_type = 'code'
+        THEN regexp_replace(source_text, '\r\n?', chr(10), 'g') ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(source_text, '\r\n?', chr(10), 'g'),
+          '[ \t]+', ' ', 'g'), ' *\n+ *', ' ', 'g'), '^{ENDS}+|{ENDS}+$', '', 'g') END) AS VARCHAR)
+        || ',"payload":' || CASE block_type WHEN 'heading' THEN '{{"depth":' || depth || '}}' WHEN 'code' THEN '{{"language":""}}' ELSE '{{"protectedTokens":[]}}' END
         || ',"translatable":' || CASE WHEN block_type = 'code' THEN 'false' ELSE 'true' END || '}}') AS fingerprint FROM content_blocks""",
     "translation_revisions": """SELECT conv_id * 1000 + turn AS revision_id, conv_id * 100000 + 1 AS block_id, turn,
         CASE role WHEN 'user' THEN 'manual' WHEN 'assistant' THEN 'ai' ELSE 'ai_memory' END AS source, text AS translated_text FROM conversations""",

@@ -59,7 +59,7 @@ def reader_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def reader_contents(spark: SparkSession, d: str) -> DataFrame:
-    return reader.contents(A.content_blocks(spark, d).withColumn("depth", F.lit(1)), A.source_pages(spark, d))
+    return reader.contents(A.content_blocks(spark, d), A.source_pages(spark, d))
 
 
 @query
@@ -85,8 +85,9 @@ def ops_recent_failures(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ops_alerts(spark: SparkSession, d: str) -> DataFrame:
-    none = spark.createDataFrame([], "enabled boolean, active boolean")
-    return ops.alerts(none, none, A.glossary_versions(spark, d), A.job_log(spark, d))
+    providers = A.table(spark, d, "nation").select((F.col("n_regionkey") == 1).alias("enabled"))
+    prompts = A.table(spark, d, "region").select((F.col("r_regionkey") < 0).alias("active"))
+    return ops.alerts(providers, prompts, A.glossary_versions(spark, d), A.job_log(spark, d))
 
 
 @query
@@ -147,7 +148,10 @@ def page_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def inline_code_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return A.glossary_terms(spark, d).select("term_id", T.classify_inline_code(F.when(F.pmod("term_id", F.lit(2)) == 0, F.col("source_term")).otherwise(F.concat(F.initcap(F.split_part("source_term", F.lit(" "), F.lit(1))), F.lit("Id")))).alias("kind"))
+    word = F.initcap(F.split_part("source_term", F.lit(" "), F.lit(1)))
+    ends = F.get(F.array(*[F.lit(x) for x in ("Id", ".Id", "/x", ".ts", "\\y", "-z")]), F.pmod("term_id", F.lit(6)).cast("int"))
+    value = F.when(F.pmod("term_id", F.lit(2)) == 0, F.col("source_term")).otherwise(F.concat(word, ends))
+    return A.glossary_terms(spark, d).select("term_id", T.classify_inline_code(value).alias("kind"))
 
 
 @query
@@ -173,7 +177,7 @@ def budget_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def budget_start(spark: SparkSession, d: str) -> DataFrame:
-    return budget.start_requests(A.token_ledger(spark, d)).groupBy("status", "outcome").agg(F.count("*").alias("n"))
+    return budget.start_requests(A.token_ledger(spark, d)).select("reservation_id", "status", "outcome")
 
 
 @query
@@ -217,9 +221,9 @@ def reader_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def retranslation_counts(spark: SparkSession, d: str) -> DataFrame:
+def retranslations(spark: SparkSession, d: str) -> DataFrame:
     open_ = A.content_blocks(spark, d).where(F.col("ordinal") == 0).select(F.concat_ws(":", F.lit("retranslate"), F.col("block_id").cast("string"), F.lit("1"), F.lit("1")).alias("dedupe_key"))
-    return jobs.retranslations(A.content_blocks(spark, d), open_, 1, 1).groupBy("action").agg(F.count("*").alias("n"))
+    return jobs.retranslations(A.content_blocks(spark, d), open_, 1, 1)
 
 
 @query

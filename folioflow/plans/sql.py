@@ -43,7 +43,7 @@ ORACLE_SQL: dict[str, str] = {
         count(*) FILTER (translatable AND {_PENDING} = 'failed') AS failed, count(*) FILTER (translatable AND {_PENDING} = 'review_required') AS review_required
       FROM content_blocks LEFT JOIN block_translations t USING (block_id) GROUP BY page_id"""),
     "reader_contents": using("source_pages content_blocks", """
-      SELECT page_id, ordinal, source_text, 1 AS depth FROM content_blocks JOIN source_pages USING (page_id) WHERE block_type = 'heading' AND NOT (ordinal = 0 AND source_text = title)"""),
+      SELECT page_id, ordinal, source_text, depth FROM content_blocks JOIN source_pages USING (page_id) WHERE block_type = 'heading' AND NOT (ordinal = 0 AND source_text = title)"""),
     "review_items": using("source_pages block_translations", f"""
       WITH r AS (SELECT b.block_id, p.path, b.ordinal, {_PENDING} AS status, CASE {_PENDING} WHEN 'review_required' THEN 0 WHEN 'failed' THEN 1 WHEN 'pending' THEN 2
           WHEN 'ai_translated' THEN 3 WHEN 'manually_corrected' THEN 4 WHEN 'oversized' THEN 5 ELSE 6 END AS urgency, t.current_revision_id AS revision
@@ -56,7 +56,7 @@ ORACLE_SQL: dict[str, str] = {
       FROM (SELECT queue, status, count(*) AS jobs FROM job_log GROUP BY ALL)"""),
     "ops_recent_failures": using("job_log", "SELECT job_id, queue, type, run_at FROM job_log WHERE status = 'failed' ORDER BY run_at DESC, job_id DESC LIMIT 5"),
     "ops_alerts": using("job_log glossary_versions", """
-      WITH a AS (SELECT 0 AS i, 'no_enabled_provider' AS alert UNION ALL SELECT 1, 'no_active_prompt' UNION ALL SELECT 2, 'no_active_glossary' WHERE NOT (SELECT bool_or(active) FROM glossary_versions)
+      WITH a AS (SELECT 0 AS i, 'no_enabled_provider' AS alert WHERE NOT (SELECT bool_or(n_regionkey = 1) FROM nation) UNION ALL SELECT 1, 'no_active_prompt' UNION ALL SELECT 2, 'no_active_glossary' WHERE NOT (SELECT bool_or(active) FROM glossary_versions)
         UNION ALL SELECT 3, 'failed_jobs:' || n FROM (SELECT count(*) AS n FROM job_log WHERE status = 'failed') WHERE n > 0)
       SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS INTEGER) AS place, alert FROM a"""),
     "glossary_history": using("glossary_versions glossary_terms", "SELECT version, active, count(term_id) AS terms FROM glossary_versions LEFT JOIN glossary_terms USING (version) GROUP BY ALL ORDER BY version DESC LIMIT 10"),
@@ -98,7 +98,7 @@ ORACLE_SQL: dict[str, str] = {
       SELECT reservation_id, CASE WHEN status = 'reserved' AND "at" <= {_BEFORE} THEN 'released' WHEN status = 'request_started' AND "at" <= {_NOW} THEN 'settled' ELSE status END AS new_status,
         CASE WHEN status = 'reserved' AND "at" <= {_BEFORE} THEN 0 WHEN status = 'request_started' AND "at" <= {_NOW} THEN tokens END AS charge FROM token_ledger"""),
     "budget_start": using("token_ledger", """
-      SELECT status, CASE status WHEN 'reserved' THEN 'request_started' WHEN 'released' THEN 'error' ELSE 'unchanged' END AS outcome, count(*) AS n FROM token_ledger GROUP BY ALL"""),
+      SELECT reservation_id, status, CASE status WHEN 'reserved' THEN 'request_started' WHEN 'released' THEN 'error' ELSE 'unchanged' END AS outcome FROM token_ledger"""),
     "budget_resets": using("token_ledger", "SELECT reservation_id, CAST(usage_date AS VARCHAR) AS day, CAST(usage_date AS TIMESTAMP) + INTERVAL 16 HOUR AS reset_at FROM token_ledger"),
     "queue_merge": using("job_log", """
       WITH f AS (SELECT dedupe_key, arg_min({'p': priority, 'r': run_at, 'j': job_id}, {'a': run_at, 'i': job_id}) AS x, max(priority) AS priority, min(run_at) AS run_at, count(*) AS requests FROM job_log GROUP BY dedupe_key)
@@ -117,7 +117,7 @@ ORACLE_SQL: dict[str, str] = {
     "reader_requests": using("fingerprints block_translations", f"""
       SELECT b.block_id, 'translate:' || b.block_id || ':' || fingerprint AS dedupe_key, 100 AS priority FROM fingerprints b LEFT JOIN block_translations t ON t.block_id = b.block_id
       WHERE translatable AND {_PENDING} IN ('pending', 'failed')"""),
-    "retranslation_counts": using("content_blocks", "SELECT CASE WHEN ordinal = 0 THEN 'deduplicated' ELSE 'enqueued' END AS action, count(*) AS n FROM content_blocks GROUP BY 1"),
+    "retranslations": using("content_blocks", "SELECT block_id, 'retranslate:' || block_id || ':1:1' AS dedupe_key, CASE WHEN ordinal = 0 THEN 'deduplicated' ELSE 'enqueued' END AS action FROM content_blocks"),
     "spaced_starts": """
       WITH r AS (SELECT event_id, user_id % 16 AS host, epoch_us(ts) // 1000 AS a FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY a, event_id) - 1 AS i FROM r)
       SELECT event_id AS request_id, max(a - i * 60000) OVER (PARTITION BY host ORDER BY i) + i * 60000 AS start_ms FROM o""",

@@ -33,15 +33,18 @@ def source_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def content_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """block_id, page_id, ordinal, block_type, source_text, translatable, fingerprint."""
-    kind = F.when(F.col("ordinal") == 0, "heading").when(F.contains("source_text", F.lit(" | ")), "code").otherwise("paragraph")
+    """block_id, page_id, ordinal, block_type, source_text, translatable, depth, payload, fingerprint. Every fifth line is a heading."""
+    kind = F.when(F.pmod("ordinal", F.lit(5)) == 0, "heading").when(F.contains("source_text", F.lit(" | ")), "code").otherwise("paragraph")
     return (
         _lines(spark, folder).select(F.col("doc_id").alias("page_id"), F.posexplode("lines").alias("ordinal", "source_text"))
         .withColumn("block_type", kind)
         .select(
             (F.col("page_id") * 100000 + F.col("ordinal")).alias("block_id"), "page_id", "ordinal", "block_type", "source_text",
-            (F.col("block_type") != "code").alias("translatable"), block_fingerprint("block_type", "source_text").alias("fingerprint"),
+            (F.col("block_type") != "code").alias("translatable"), F.when(F.col("ordinal") == 0, 1).otherwise(2).alias("depth"),
+            F.when(F.col("block_type") == "heading", F.when(F.col("ordinal") == 0, '{"depth":1}').otherwise('{"depth":2}'))
+            .when(F.col("block_type") == "code", '{"language":""}').otherwise('{"protectedTokens":[]}').alias("payload"),
         )
+        .withColumn("fingerprint", block_fingerprint("block_type", "source_text", "payload"))
     )
 
 

@@ -1,0 +1 @@
+"""The ordered folds of the operators as streaming queries."""

@@ -6,9 +6,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import candidate_limit, like_pattern, looks_like_identifier
+from folioflow.functions.text import candidate_limit, like_pattern, looks_like_identifier, page_fingerprint
 from folioflow.functions.url import canonical_page
-from folioflow.operators import budget, diff, discovery, jobs, protection
+from folioflow.operators import budget, diff, discovery, jobs, protection, publish
 from folioflow.operators.parse_html import parse_html, parse_pages
 
 
@@ -43,18 +43,50 @@ def _blocks(*texts):
     return [_b(t, i) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(
-    ("before", "after", "wanted"),
-    [
-        (_blocks(), [_b("a", 0, "heading"), _b("c", 1, "code")], [("added", None, 0, True), ("added", None, 1, False)]),
-        (_blocks("a", "b", "c"), _blocks("a", "x", "c"), [("modified", 1, 1, True)]),
-        (_blocks("a", "b"), _blocks("b", "a"), [("moved", 1, 0, False), ("moved", 0, 1, False)]),
-        (_blocks("a", "b"), _blocks("a"), [("deleted", 1, None, False)]),
-        (_blocks("r", "m", "r"), _blocks("r", "i", "m", "r"), [("added", None, 1, True), ("moved", 1, 2, False), ("moved", 2, 3, False)]),
-    ],
-)
-def test_diff_cases(before, after, wanted):
-    assert diff.changes(before, after) == wanted
+def slow_match(previous, current):
+    """Every current block against every previous one of its type."""
+    pairs, modified = {}, set()
+    near = lambda some, j: min(some, key=lambda i: (abs(i - j), i))
+    for j, b in enumerate(current):
+        same = [i for i, a in enumerate(previous) if i not in pairs.values() and (a["block_type"], a["fingerprint"]) == (b["block_type"], b["fingerprint"])]
+        if same:
+            pairs[j] = near(same, j)
+    at = lambda rows, i: rows[i]["fingerprint"] if 0 <= i < len(rows) else None
+    for j, b in enumerate(current):
+        if j in pairs:
+            continue
+        scores = []
+        for i, a in enumerate(previous):
+            if i in pairs.values() or a["block_type"] != b["block_type"]:
+                continue
+            heading = a["heading_path"] == b["heading_path"]
+            beside = sum(at(previous, i + s) is not None and at(previous, i + s) == at(current, j + s) for s in (-1, 1))
+            if heading or beside:
+                scores.append((10.0 * heading + 4.0 * beside - abs(i - j) / 100, -i))
+        if scores:
+            pairs[j] = -max(scores)[1]
+            modified.add(j)
+    return pairs, modified
+
+
+def test_diff_equals_slow_match():
+    rng = random.Random(11)
+    for _ in range(300):
+        page = lambda: [_b(rng.choice("abcdef"), i, rng.choice(["paragraph", "code"]), rng.choice("xyz")) for i in range(rng.randint(0, 14))]
+        before, after = page(), page()
+        assert diff.match(before, after) == slow_match(before, after)
+
+
+def test_diff_is_linear():
+    """4,000 changed blocks under one heading."""
+    before, after = ([_b(f"{v}{i}", i, path="h") for i in range(4000)] for v in "ab")
+    assert [c[0] for c in diff.changes(before, after)] == ["modified"] * 4000
+
+
+def test_diff_kinds():
+    assert diff.changes([], [_b("n", 0, "code"), _b("o", 1)]) == [("added", None, 0, False), ("added", None, 1, True)]
+    assert diff.changes(_blocks("p", "q", "r"), _blocks("r", "p")) == [("moved", 2, 0, False), ("moved", 0, 1, False), ("deleted", 1, None, False)]
+    assert diff.changes(_blocks("p", "q"), _blocks("p", "z"), every=True) == [("same", 0, 0, False), ("modified", 1, 1, True)]
 
 
 def test_diff_on_spark(spark):
@@ -102,6 +134,52 @@ def test_budget_equals_sequential(spark):
     assert {r.reservation_id: r.admitted for r in budget.admit(df, 100).collect()} == wanted
 
 
+def test_spaced_starts(spark):
+    """Two levels of running maxima against one request after the other."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 20_000)) for i in range(400)]
+    wanted, last = {}, {}
+    for i, host, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        wanted[i] = last[host] = max(at, last.get(host, -(10**9)) + 70)
+    df = spark.createDataFrame(rows, "request_id long, host string, arrival_ms long")
+    for span in (500, 3_600_000):
+        assert {r.request_id: r.start_ms for r in jobs.spaced_starts(df, 70, span).collect()} == wanted
+
+
+def test_scan_carries_no_state_over_keys(spark):
+    """A hot key beside small ones; repeated and null rows."""
+    rows = [("hot", i, 1) for i in range(5000)] + [("b", 1, 60), ("b", 2, 60), (None, 1, 99), (None, 2, None)]
+    df = spark.createDataFrame(rows, "usage_date string, at long, tokens long").withColumn("reservation_id", F.col("at")).withColumn("admitted", F.lit("x"))
+    found = budget.admit(df, 100).collect()
+    assert sum(r.admitted for r in found if r.usage_date == "hot") == 100
+    assert [(r.at, r.admitted, r.used_after) for r in sorted(found, key=lambda r: r.at) if r.usage_date == "b"] == [(1, True, 60), (2, False, 60)]
+    assert [(r.at, r.admitted) for r in sorted(found, key=lambda r: r.at) if r.usage_date is None] == [(1, True), (2, False)]
+    assert budget.admit(df.limit(0), 100).count() == 0
+
+
+def test_enqueue(spark):
+    events = [("k", 1, "enqueue", 5, 100), ("k", 2, "enqueue", 5, 100), ("k", 3, "enqueue", 9, 200), ("k", 4, "claim", 0, 0), ("k", 5, "enqueue", 99, 0), ("k", 6, "requeue", 0, 300),
+              ("k", 7, "enqueue", 1, 200), ("k", 8, "claim", 0, 0), ("k", 9, "finish", 0, 0), ("k", 10, "enqueue", 1, 1), ("z", 1, "finish", 0, 0)]
+    df = spark.createDataFrame([(k, at, at, e, p, r) for k, at, e, p, r in events], "dedupe_key string, at_us long, event_id long, event string, priority int, run_at_us long")
+    found = [(r.action, r.job_number) for r in jobs.enqueue(df).orderBy("dedupe_key", "at_us").collect()]
+    assert found == [("created", 1), ("deduplicated", 1), ("promoted", 1), ("claimed", 1), ("deduplicated", 1), ("requeued", 1), ("promoted", 1), ("claimed", 1), ("finished", 1), ("created", 2), ("ignored", 0)]
+
+
+def test_publish_pages(spark):
+    """States follow a block that moved, a changed one is translated again, a new one is pending."""
+    schema = "block_id long, page_id long, ordinal int, block_type string, fingerprint string, translatable boolean"
+    old = spark.createDataFrame([(1, 1, 0, "heading", "h", True), (2, 1, 1, "paragraph", "a", True), (3, 1, 2, "paragraph", "b", True), (9, 2, 0, "heading", "s", True)], schema)
+    new = spark.createDataFrame([(11, 1, 0, "heading", "h", True), (12, 1, 1, "paragraph", "b", True), (13, 1, 2, "paragraph", "a2", True), (14, 1, 3, "code", "c", False), (19, 2, 0, "heading", "s", True)], schema)
+    states = spark.createDataFrame([(1, "manually_corrected", 7), (2, "manually_corrected", 8), (3, "ai_translated", 9)], "block_id long, status string, current_revision_id long")
+    prints = {r.page_id: r.p for r in old.groupBy("page_id").agg(page_fingerprint("ordinal", "block_type", "fingerprint").alias("p")).collect()}
+    versions = spark.createDataFrame([(p, 1, x, True) for p, x in prints.items()], "page_id long, version int, fingerprint string, current boolean")
+    out = publish.publish_pages(new, versions, old, states)
+    assert {(r.page_id, r.decision, r.version) for r in out["decisions"].collect()} == {(1, "published", 2), (2, "unchanged", 1)}
+    assert {(r.kind, r.previous_index, r.current_index) for r in out["changes"].collect()} == {("moved", 2, 1), ("modified", 1, 2), ("added", None, 3)}
+    assert {(r.block_id, r.status, r.current_revision_id) for r in out["states"].collect()} == {(11, "manually_corrected", 7), (12, "ai_translated", 9), (13, "review_required", 8)}
+    assert [r.block_id for r in out["jobs"].collect()] == [13]
+
+
 def test_login_window(spark):
     t = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
     rows = [(1, t(m), m, False) for m in range(7)] + [(1, t(16), 16, False), (2, t(0), 0, False), (2, t(1), 1, True), (2, t(2), 2, False)]
@@ -110,12 +188,33 @@ def test_login_window(spark):
 
 
 def test_protection():
-    terms = protection.term_pattern(["Brand", "Brand CLI"])
-    assert protection.protect("Use Brand CLI with brand app.", [], terms)["text"] == "Use ⟦P0001⟧ with ⟦P0002⟧ app."
-    assert protection.protect("MyBrandApp Brand9 Brand Brand_x", [], terms)["text"] == "MyBrandApp Brand9 ⟦P0001⟧ Brand_x"
-    assert protection.protect("Has ⟦P0001⟧ and Brand", [], terms)["text"] == "Has ⟦P0001⟧ and ⟦P0002⟧"
-    assert protection.protect("abcdef", [(0, 4), (1, 2)], None)["text"] == "⟦P0001⟧ef"
-    assert protection.protect("abcdef", [(0, 4), (2, 6)], None)["error"] == "overlapping_spans"
+    """Terms against a plain search of all places."""
+    rng = random.Random(3)
+    terms = protection.term_list([" Harbour ", "harbour light", "light", "b-c", ""])
+    assert terms == ["b-c", "harbour", "harbour light", "light"]
+    pieces = ["harbour", "HARBOUR LIGHT", "light", "lights", "b-c", "xb-c", " ", ", ", "⟦P0001⟧"]
+    for _ in range(200):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 8)))
+        locked = [(a, min(len(text), a + rng.randint(1, 6)))] if text and (a := rng.randrange(len(text))) >= 0 and rng.random() < 0.4 else []
+        inner = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")  # noqa: B023, E731
+        places = [
+            (i, i + len(t)) for t in terms for i in range(len(text)) if text.lower().startswith(t, i) and not (inner(i) and inner(i - 1)) and not (inner(i + len(t) - 1) and inner(i + len(t)))
+            and not any(i < b and a < i + len(t) for a, b in locked)
+        ]
+        wanted = []
+        for a, b in sorted(places, key=lambda s: (s[0], -s[1])):
+            if not wanted or a >= wanted[-1][1]:
+                wanted.append((a, b))
+        assert protection.term_spans(text, terms, locked) == wanted
+        done = protection.protect(text, locked, terms)
+        restored = done["text"]
+        for t in reversed(done["tokens"]):
+            at = restored.rindex(t["placeholder"])
+            restored = restored[:at] + t["value"] + restored[at + len(t["placeholder"]) :]
+        assert restored == text and len({t["placeholder"] for t in done["tokens"]}) == len(done["tokens"])
+    # a longer term that touches a locked span leaves the shorter one at its place
+    assert protection.term_spans("old harbour light", terms, [(12, 17)]) == [(4, 11)]
+    assert protection.protect("abcdef", [(0, 4), (2, 6)], [])["error"] == "overlapping_spans"
 
 
 @pytest.mark.parametrize(
@@ -147,3 +246,10 @@ def test_discovery(spark):
     roots = [r.sitemap for r in discovery.robots_sitemaps(robots).collect()]
     found = discovery.discover(docs, roots, discovery.robots_rules(robots)).collect()
     assert [(r.canonical_url, r.last_modified) for r in found] == [(f"{site}/docs/b", "2024-02-01")]
+
+
+def test_mirror(spark):
+    site = "https://docs.example.com"
+    docs = spark.createDataFrame([("m1", f"<urlset><url><loc>{site}/docs/x</loc></url><url><loc>{site}/blog</loc></url></urlset>"), ("m2", "<urlset></urlset>"), ("m3", None)], "url string, body string")
+    found = {(r.url, r.canonical_url, r.error) for r in discovery.mirror_entries(docs).collect()}
+    assert found == {("m1", f"{site}/docs/x", None), ("m1", None, "path"), ("m2", None, "invalid_mirror"), ("m3", None, "invalid_mirror")}
