@@ -66,6 +66,7 @@ def shared_dir(spark: SparkSession) -> str:
     return now
 
 
+BATCH_BYTES = 4 << 20
 #: Folders of tables written in this session; see release().
 _WRITTEN: list[str] = []
 
@@ -99,6 +100,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of at most BATCH_BYTES in this session unless it has a bound of its own: the default
+    of 64 MB is held several times over by the JVM and by each Python worker. Sizes of batches change no result."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in conf.getAll:
+        conf.set(name, BATCH_BYTES)
+    return df
+
+
 def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The rows with columns named by their place, so that none clashes with an operator's own, and the
     new name of each column."""

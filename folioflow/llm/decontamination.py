@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, by_place, stored, text_chunks
+from .common import alnum_words, by_place, small_batches, stored, text_chunks
 
 SPAN = "struct<item_id:string,item_word:bigint,doc_word:bigint,n_words:bigint>"
 _BASE = 254  # digits 1..254: no byte is 0 (numpy strips it) or 255 (above every digit)
@@ -173,7 +173,7 @@ def _searched(docs: DataFrame, text_col: str, windows: Windows) -> DataFrame:
                 columns["_matches"] = pa.array([a + b for a, b in zip(before, spans, strict=True)], part.schema.field("_matches").type)
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(search, schema)
+    return small_batches(docs).mapInArrow(search, schema)
 
 
 def contamination(matched: DataFrame, *, percent: int = 5) -> DataFrame:

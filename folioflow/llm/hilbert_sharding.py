@@ -138,7 +138,8 @@ def shard(docs: DataFrame, *, n_shards: int = 8, bits: int = 5, id_col: str = "d
 
 
 def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", max_rows_per_file: int = 1_000_000, **options) -> str:
-    """Write the documents as Parquet, a folder for each shard, rows in curve order. Ids must be unique."""
+    """Write the documents as Parquet, a folder for each shard, rows in curve order. Ids must be unique; columns
+    named shard or slot are replaced by the places found here."""
     placed = shard(docs, id_col=id_col, **options).select(F.col("doc_id").alias(id_col), "shard", "slot")
     target = str(PurePosixPath(path)) if "://" not in path else path
     joined = docs.drop("shard", "slot").join(placed, id_col)

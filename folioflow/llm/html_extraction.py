@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import small_batches, text_chunks
 from .html_examples import pages
 
 #: Elements that begin and end a block.
@@ -367,4 +367,4 @@ def extract(docs: DataFrame, *, html_col: str = "html") -> DataFrame:
                     [*part.columns, pa.array(texts, pa.string()), pa.array(kept, pa.int32())], names=[*part.schema.names, "_text", "_blocks"]
                 )
 
-    return docs.mapInArrow(add, schema)
+    return small_batches(docs).mapInArrow(add, schema)

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, stored, text_chunks
+from .common import lower_words, small_batches, stored, text_chunks
 
 BEGIN, END = b" begin", b" end"  # no word holds a space
 MOST_TASKS = 50_000
@@ -274,7 +274,7 @@ def blocks_of(docs: DataFrame, block_bytes: int, key_bits: int) -> DataFrame:
         if rows:
             yield done()
 
-    return docs.select("doc_id", "text", "train").mapInArrow(cut, BLOCK)
+    return small_batches(docs).select("doc_id", "text", "train").mapInArrow(cut, BLOCK)
 
 
 def lm_scores(

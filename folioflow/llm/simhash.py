@@ -12,7 +12,8 @@ blocks of lanes are left as soon as all of them exceed the radius. A bucket abov
 split by hash into chunks, and each pair of chunks is a group of its own, so that no group grows
 with the data. Groups give a star for each local component (links between members of a component
 are not written out pair by pair), and the stars are joined into components by rounds of DataFrame
-joins.
+joins. A fingerprint that very many documents share is a hot key of the last join, from fingerprints back to
+documents; both of its sides are stored tables, so Spark's adaptive execution splits it.
 
 Defined results: null and wordless texts have fingerprint 0 and are linked to each other; exact
 copies share a fingerprint; repeated rows are members like any other; a component whose doc_ids are
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_place, lower_words, stored, text_chunks
+from .common import by_place, lower_words, small_batches, stored, text_chunks
 from .components import connected_components
 
 BITS = 64
@@ -68,7 +69,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, seed
                 fps = np.array([fingerprint(t, shingle, seed) for t in texts], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps)], names=[*part.schema.names, "_fp"])
 
-    return docs.mapInArrow(add, schema)
+    return small_batches(docs).mapInArrow(add, schema)
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:

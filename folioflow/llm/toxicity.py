@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import by_place, text_chunks
+from .common import by_place, small_batches, text_chunks
 
 #: Digits and the letters they resemble.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
@@ -461,7 +461,7 @@ def _fit_svm(
 class Scorer:
     """Margins of texts: that of the highest word; a bounded cache holds the words seen before."""
 
-    def __init__(self, model: Model, most_cached: int = 100_000):
+    def __init__(self, model: Model, most_cached: int = 200_000):
         self.margins, self.most_cached, self.cache = model.scorer(), most_cached, {}
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, list[str | None]]:
@@ -483,18 +483,20 @@ def sample(
     there is less, equal rows once; and how many there are of each kind. Texts over `longest_text` bytes
     aren't drawn."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_label"))
-    found = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(known, F.col("_doc") == F.col("_id"))
-    small = F.coalesce(F.octet_length("_text"), F.lit(0)) <= longest_text
-    kinds = found.where(small).groupBy("_label").agg(F.count("*").alias("n"), F.sum(F.octet_length("_text")).alias("size")).collect()
-    n = {r["_label"]: r["n"] for r in kinds}
     scale = 1 << 30
-    draw = F.pmod(F.xxhash64("_id", F.col("_text")), F.lit(scale))
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.octet_length(text), F.lit(0)).alias("_size"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(scale)).alias("_draw"), text.alias("_text"))
+    # which rows are drawn is worked out without their texts, which are then fetched for the few that are
+    found = rows.drop("_text").where(F.col("_size") <= longest_text).join(known, F.col("_doc") == F.col("_id"))
+    kinds = found.groupBy("_label").agg(F.count("*").alias("n"), F.sum("_size").alias("size")).collect()
+    n = {r["_label"]: r["n"] for r in kinds}
     limit = F.lit(0)
     for r in kinds:
         share = min(1.0, (most_toxic if r["_label"] else most_clean) / r["n"], most_bytes / 2 / max(1, r["size"] or 0))
         limit = F.when(F.col("_label") == r["_label"], F.lit(int(scale * share))).otherwise(limit)
-    rows = found.where(small & (draw < limit)).select("_label", "_doc", "_text").distinct()
-    return [(r["_label"], r["_text"]) for r in sorted(rows.collect(), key=lambda r: (r["_doc"], r["_text"] or ""))], n
+    drawn = F.broadcast(found.where(F.col("_draw") < limit).select("_label", F.col("_doc").alias("_id"), F.col("_draw").alias("_at")).distinct())  # at most about most_toxic + most_clean
+    some = rows.join(drawn, (F.col("_doc") == F.col("_id")) & (F.col("_draw") == F.col("_at"))).select("_label", "_doc", "_text").distinct()
+    return [(r["_label"], r["_text"]) for r in sorted(some.collect(), key=lambda r: (r["_doc"], r["_text"] or ""))], n
 
 
 def train(
@@ -529,7 +531,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
                     names=[*part.schema.names, "_score", "_worst"],
                 )
 
-    return docs.mapInArrow(add, schema)
+    return small_batches(docs).mapInArrow(add, schema)
 
 
 def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", toxic_from: float = 0.3) -> DataFrame:

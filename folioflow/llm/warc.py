@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, small_batches
 
 CRLF = "\r\n"
 RECORD_END = CRLF + CRLF
@@ -240,7 +240,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(parse, schema)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return small_batches(files).mapInArrow(parse, schema)
 
 
 def assemble(records: DataFrame) -> DataFrame:
