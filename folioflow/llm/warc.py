@@ -247,8 +247,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: page_id, target_uri, and the structs request, response and metadata, brought
     together by transaction (null where an archive lacks one; of records of one kind that claim the same
-    transaction one is taken). A revisit also has `original`: the response that it refers to, from which its
-    payload's length and digest are taken."""
+    transaction one is taken). `original` is the response that a revisit refers to, from which its payload's
+    length and digest are taken; its fields are null in other rows."""
     kind = F.when(F.col("type") == "revisit", "response").otherwise(F.col("type"))
     page = F.nullif(F.regexp_extract(F.col("payload").cast("string"), r"(?m)^pageId: *([^\r\n]*)", 1), F.lit(""))
     fields = {
@@ -266,8 +266,10 @@ def assemble(records: DataFrame) -> DataFrame:
         F.col("page_id").alias("original_page_id"),
     )
     joined = one.join(originals, F.col("refers_to") == F.col("_id"), "left")
-    original = F.when(F.col("_id").isNotNull(), F.struct(F.col("_id").alias("record_id"), F.col("_bytes").alias("payload_bytes"), F.col("_payload").alias("payload_digest")))
-    return joined.select("page_id", "target_uri", whole("request"), whole("response"), whole("metadata"), original.alias("original"), "original_page_id")
+    original = F.struct(F.col("_id").alias("record_id"), F.col("_bytes").alias("payload_bytes"), F.col("_payload").alias("payload_digest"))
+    # as plain structs these let unused fields, the payload above all, be pruned before the shuffle
+    response = F.struct(*[F.col(f"response_{c}").alias(c) for c in fields["response"]]).alias("response")
+    return joined.select("page_id", "target_uri", whole("request"), response, whole("metadata"), original.alias("original"), "original_page_id")
 
 
 def captures(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
