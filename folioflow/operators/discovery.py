@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import SITE, Site
 from ..functions.url import canonical_page
+from ..storage import checkpointed
 
 _URLSET = "url ARRAY<STRUCT<loc: STRING, lastmod: STRING>>"
 _INDEX = "sitemap ARRAY<STRUCT<loc: STRING>>"
@@ -74,19 +75,30 @@ def mirror_entries(documents: DataFrame) -> DataFrame:
     return good.unionByName(bad)
 
 
-def discover(stored_documents: DataFrame, roots: list[str], rules: DataFrame | None = None, site: Site = SITE, most_depth: int = 5) -> DataFrame:
+def discover(
+    stored_documents: DataFrame, roots: list[str], rules: DataFrame | None = None, site: Site = SITE, most_depth: int = 5, most_files: int = 100,
+    most_candidates: int = 200_000,
+) -> DataFrame:
     """Pages reachable from the root sitemaps over stored (url, body) documents: breadth-first over
-    sitemap indexes of the same origin, each document once, then the entries of all."""
+    sitemap indexes of the same origin, each document once, then the entries of all. Each frontier is written,
+    so that no round repeats those before. A sitemap deeper than `most_depth`, more files or more entries than the
+    limits end the discovery with an error, as its result would be incomplete."""
     spark = stored_documents.sparkSession
-    frontier = spark.createDataFrame([(r,) for r in roots], "url string")
+    frontier = checkpointed(spark.createDataFrame([(r,) for r in roots], "url string").distinct())
     seen = frontier
-    for _ in range(most_depth):
+    for depth in range(most_depth + 1):
         children = stored_documents.join(frontier, "url").where(F.contains("body", F.lit("<sitemapindex"))).select(F.explode(F.from_xml("body", _INDEX)["sitemap"]).alias("s"))
-        next_ = children.select(F.trim("s.loc").alias("url")).where(F.col("url").startswith(f"{site.origin}/")).distinct().join(seen, "url", "left_anti")
-        if next_.isEmpty():
+        frontier = checkpointed(children.select(F.trim("s.loc").alias("url")).where(F.col("url").startswith(f"{site.origin}/")).distinct().join(seen, "url", "left_anti"))
+        if frontier.isEmpty():
             break
-        frontier, seen = next_, seen.union(next_)
+        if depth == most_depth:
+            raise ValueError("sitemap_depth_limit")
+        seen = seen.union(frontier)
+        if seen.limit(most_files + 1).count() > most_files:
+            raise ValueError("sitemap_file_limit")
     pages = sitemap_entries(stored_documents.join(seen, "url").where(F.contains("body", F.lit("<urlset"))))
+    if pages.limit(most_candidates + 1).count() > most_candidates:
+        raise ValueError("sitemap_candidate_limit")
     if rules is None:
         return pages.orderBy("canonical_url")
     return allowed(pages.withColumnRenamed("canonical_url", "url"), rules).withColumnRenamed("url", "canonical_url").orderBy("canonical_url")

@@ -13,12 +13,13 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .parse_markdown import Limits
+
 BLOCK = "page_id long, ordinal int, block_type string, source_text string, depth int, heading_path array<string>, error string"
 DROPPED = frozenset("nav footer script style form button input select textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 OUTER = {"p": "paragraph", "ul": "list", "ol": "list", "table": "table", "pre": "code", "blockquote": "notice", "aside": "notice", "figure": "image", **{f"h{i}": "heading" for i in range(1, 7)}}
 ENDS_P = frozenset([*OUTER, "div", "section", "article", "main", "header", "hr", "dl"])
-MOST_BLOCKS, MOST_NESTING, MOST_BYTES = 10_000, 20, 1 << 20
 
 
 class _Page(HTMLParser):
@@ -106,7 +107,7 @@ class _Page(HTMLParser):
             self.parts.append(data)
 
 
-def parse_html(html: str | None) -> tuple[list[tuple[str, int, str, list[str]]], str | None]:
+def parse_html(html: str | None, limits: Limits = Limits()) -> tuple[list[tuple[str, int, str, list[str]]], str | None]:
     """(type, depth, text, heading path) of every block, or an error code."""
     if not (html or "").strip():
         return [], "empty"
@@ -119,14 +120,14 @@ def parse_html(html: str | None) -> tuple[list[tuple[str, int, str, list[str]]],
         return [], "missing_content"
     if len(root) > 1:
         return [], "ambiguous_content"
-    if page.nesting > MOST_NESTING:
+    if page.nesting > limits.nesting:
         return [], "too_deep"
-    if len(root[0]) > MOST_BLOCKS:
+    if len(root[0]) > limits.blocks:
         return [], "too_many_blocks"
     headings: list[str] = []
     out = []
     for kind, depth, text in root[0]:
-        if len(text.encode("utf-8", "replace")) > MOST_BYTES:
+        if len(text.encode("utf-8", "replace")) > limits.block_bytes:
             return [], "block_too_large"
         if kind == "heading":
             headings = (headings[: depth - 1] + [""] * depth)[: depth - 1] + [text]
@@ -134,7 +135,7 @@ def parse_html(html: str | None) -> tuple[list[tuple[str, int, str, list[str]]],
     return out, None if out else "empty"
 
 
-def parse_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def parse_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", limits: Limits = Limits()) -> DataFrame:
     """BLOCK rows of every page: its blocks in order, or one row with an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,7 +143,7 @@ def parse_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "h
         for pdf in batches:
             rows = []
             for page_id, html in zip(pdf["page_id"], pdf["html"], strict=True):
-                found, error = parse_html(html)
+                found, error = parse_html(html, limits)
                 rows += [(page_id, i, k, t, d, h, None) for i, (k, d, t, h) in enumerate(found)] if not error else [(page_id, None, None, None, None, None, error)]
             yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "ordinal": "Int32", "depth": "Int32"})
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import url as U
-from ..operators import budget, jobs, navigation, ops, parse_markdown, protection, publish, reader, translation
+from ..operators import budget, jobs, navigation, ops, parse, parse_markdown, protection, publish, reader, translation
 from ..sources import adapters as A
 from .queries import BEFORE, NOW, query
 
@@ -294,3 +294,11 @@ def output_checks(spark: SparkSession, d: str) -> DataFrame:
 def md_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The documents read as Markdown."""
     return parse_markdown.parse_pages(A.table(spark, d, "documents"), id_col="doc_id")
+
+
+@query
+def parsed_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as text and pages as HTML, in one table of blocks."""
+    text = A.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.lit("text").alias("format"), F.col("text").alias("body"))
+    html = A.table(spark, d, "pages").select("page_id", F.lit("html").alias("format"), F.col("html").alias("body"))
+    return parse.parse_sources(text.unionByName(html))

@@ -6,10 +6,13 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import candidate_limit, like_pattern, looks_like_identifier, page_fingerprint
+from folioflow.functions.text import candidate_limit, classify_inline_code, like_pattern, looks_like_identifier, page_fingerprint
 from folioflow.functions.url import canonical_page
 from folioflow.operators import budget, diff, discovery, jobs, protection, publish
+from folioflow.operators.navigation import parse_parent, segment_label
+from folioflow.operators.parse import parse_sources
 from folioflow.operators.parse_html import parse_html, parse_pages
+from folioflow.operators.parse_markdown import code_kind
 
 
 def test_candidate_limit():
@@ -253,3 +256,35 @@ def test_mirror(spark):
     docs = spark.createDataFrame([("m1", f"<urlset><url><loc>{site}/docs/x</loc></url><url><loc>{site}/blog</loc></url></urlset>"), ("m2", "<urlset></urlset>"), ("m3", None)], "url string, body string")
     found = {(r.url, r.canonical_url, r.error) for r in discovery.mirror_entries(docs).collect()}
     assert found == {("m1", f"{site}/docs/x", None), ("m1", None, "path"), ("m2", None, "invalid_mirror"), ("m3", None, "invalid_mirror")}
+
+
+def test_discovery_limits(spark):
+    """Deeper, more or longer than the limits is an error, not a shorter result."""
+    site = "https://docs.example.com"
+    index = lambda *to: "<sitemapindex>" + "".join(f"<sitemap><loc>{site}/{x}</loc></sitemap>" for x in to) + "</sitemapindex>"
+    docs = spark.createDataFrame([(f"{site}/0", index("1", "0")), (f"{site}/1", index("2")), (f"{site}/2", f"<urlset><url><loc>{site}/docs/a</loc></url><url><loc>{site}/docs/b</loc></url></urlset>")], "url string, body string")
+    found = lambda **limits: [r.canonical_url for r in discovery.discover(docs, [f"{site}/0"], **limits).collect()]
+    assert found(most_depth=2, most_files=3, most_candidates=2) == [f"{site}/docs/a", f"{site}/docs/b"]
+    for limits, error in (({"most_depth": 1}, "depth"), ({"most_files": 2}, "file"), ({"most_candidates": 1}, "candidate")):
+        with pytest.raises(ValueError, match=error):
+            found(**limits)
+
+
+def test_parse_sources(spark):
+    df = spark.createDataFrame([(1, "text", "# A\n\nb"), (2, "html", "<main><h1>A</h1><p>b</p></main>"), (3, None, "x"), (4, "text", None)], "page_id long, format string, body string")
+    found = sorted((r.page_id, r.block_type or "", r.source_text or "", r.error or "") for r in parse_sources(df).collect())
+    assert found == [(1, "heading", "A", ""), (1, "paragraph", "b", ""), (2, "heading", "A", ""), (2, "paragraph", "b", ""), (3, "", "", "unknown_format"), (4, "", "", "empty")]
+
+
+def test_navigation_labels(spark):
+    rows = spark.createDataFrame([("api-keys",), ("my_own-page",), ("",)], "s string").select(segment_label(F.col("s")).alias("x")).collect()
+    assert [r.x for r in rows] == ["API Keys", "My_own Page", ""]
+    values = ["/docs", "/docs/", "", None, "/docs/a/../b", "%2Fdocs%2Fa", "/docs/" + "x" * 500, "/other"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", parse_parent(F.col("v")).alias("p")).orderBy("i").collect()
+    assert [r.p for r in rows] == ["/docs", "/docs", None, None, None, "/docs/a", None, None]
+
+
+def test_inline_code_kinds(spark):
+    wanted = {"Ab.Cd": "identifier", "Ab": "identifier", "a\\b": "file_path", "x/y": "file_path", "x.py": "inline_code", "x.YML": "file_path", "a b": "inline_code", "ab": "inline_code", "": "inline_code"}
+    rows = spark.createDataFrame([(v,) for v in wanted], "v string").select("v", classify_inline_code("v").alias("k")).collect()
+    assert {r.v: r.k for r in rows} == wanted == {v: code_kind(v) for v in wanted}
