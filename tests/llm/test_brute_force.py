@@ -145,6 +145,29 @@ def test_license_scan(docs):
             assert [(d.start, d.last, d.label) for d in r.detections] == kept
 
 
+def test_license_query_columns(spark):
+    """The query's columns on whole documents."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    found = queries.QUERIES["op5_license_scan"](spark, DATA).collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    for r in found:
+        words = alnum(texts[r.doc_id])
+        places = [(i, label) for p, label in license_scan.BASE_PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        assert (r.n_words, r.n_base) == (len(words), len(places))
+        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert r.base_labels == ",".join(sorted({x for _, x in places}))
+        labels = r.labels.split(",") if r.labels else []
+        assert labels == sorted(set(labels)) and {x for _, x in places} <= set(labels) and 0 <= r.score <= 1 and (r.score > 0) == bool(labels)
+
+
+def test_license_scan_of_many_hits(spark):
+    """A text of 600 KB that is all license names: every place is found, and none of the work grows with the square."""
+    n = 30_000
+    df = spark.createDataFrame([(1, "the mit license, and " * n)], "doc_id long, text string")
+    r = license_scan.license_scan(df).select(F.size("places").alias("places"), F.size("detections").alias("detections"), F.element_at("detections", -1)["start"].alias("start")).first()
+    assert (r.places, r.detections, r.start) == (n, n, 4 * n - 3)
+
+
 def test_license_labels(spark):
     df = spark.createDataFrame([(1, "Licensed under the Apache License, Version 2.0. SPDX-License-Identifier: MIT")], "doc_id long, text string")
     labels = {d.label for d in license_scan.license_scan(df).first().detections}
