@@ -164,7 +164,7 @@ def test_license_scan_of_many_hits(spark):
     """A text of 600 KB that is all license names: every place is found, and none of the work grows with the square."""
     n = 30_000
     df = spark.createDataFrame([(1, "the mit license, and " * n)], "doc_id long, text string")
-    r = license_scan.license_scan(df).select(F.size("places").alias("places"), F.size("detections").alias("detections"), F.element_at("detections", -1)["start"].alias("start")).first()
+    r = license_scan.license_scan(df).select(F.size("places").alias("places"), F.size("detections").alias("detections"), F.element_at("places", -1)["start"].alias("start")).first()
     assert (r.places, r.detections, r.start) == (n, n, 4 * n - 3)
 
 
