@@ -25,6 +25,7 @@ words that clean documents use as well isn't found: the latent unit is a word.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections import Counter, defaultdict
@@ -105,14 +106,16 @@ class Kernel:
         alone, so scaling by it keeps the kernel positive definite."""
         return math.sqrt(sum(max(0, length - c[-1]) * f * f for c, f in zip(self.offsets, self.factors, strict=True))) or 1.0
 
-    def by_length(self, some: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(positions, codes) of the words of each length, with marks at both ends."""
+    def by_length(self, some: list[bytes], most: int = 10_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(positions, codes) of the words of each length, at most so many at once, with marks at both ends."""
         groups: dict[int, list[int]] = defaultdict(list)
         for i, w in enumerate(some):
             groups[len(w)].append(i)
-        for n, at in groups.items():
-            raw = np.frombuffer(b"".join(b"^" + some[i] + b"$" for i in at), dtype=np.uint8).reshape(len(at), n + 2)
-            yield np.array(at), _CODE[raw]
+        for n, whole in groups.items():
+            for k in range(0, len(whole), most):
+                at = whole[k : k + most]
+                raw = np.frombuffer(b"".join(b"^" + some[i] + b"$" for i in at), dtype=np.uint8).reshape(len(at), n + 2)
+                yield np.array(at), _CODE[raw]
 
     def subsequences(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
         """Numbers of the subsequences with each pattern of gaps, [words, places], and their weight."""
@@ -128,7 +131,7 @@ class Kernel:
 
     def numbers(self, some: list[bytes]) -> np.ndarray:
         """The distinct subsequences of some words, sorted."""
-        found = [number.ravel() for _, codes in self.by_length(some) for number, _ in self.subsequences(codes)]
+        found = [np.unique(number) for _, codes in self.by_length(some) for number, _ in self.subsequences(codes)]
         return np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.int32)
 
     def matrix(self, some: list[bytes], numbers: np.ndarray) -> np.ndarray:
@@ -216,7 +219,7 @@ def _pieces(some: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-def _documents_with(docs: list[np.ndarray], pieces: np.ndarray, begin: np.ndarray, n: int, block: int = 500) -> np.ndarray:
+def _documents_with(docs: list[np.ndarray], pieces: np.ndarray, begin: np.ndarray, n: int, block: int = 100) -> np.ndarray:
     """In how many documents (arrays of word numbers) each of n pieces occurs."""
     out = np.zeros(n, dtype=np.int64)
     for i in range(0, len(docs), block):
@@ -287,8 +290,13 @@ def _newton(x: np.ndarray, y: np.ndarray, s: np.ndarray, c: float, steps: int =
         if before is not None and (active == before).all():
             break
         before = active
-        xa, ra = x[active].astype(np.float64), 2 * c * s[active]
-        w = np.linalg.solve(ridge + xa.T @ (xa * ra[:, None]), xa.T @ (ra * y[active]))
+        hessian, slope = ridge.copy(), np.zeros(x.shape[1])
+        for i in range(0, len(x), 2000):  # in blocks, as the driver's memory is small
+            part = np.flatnonzero(active[i : i + 2000]) + i
+            xa, ra = x[part].astype(np.float64), 2 * c * s[part]
+            hessian += xa.T @ (xa * ra[:, None])
+            slope += xa.T @ (ra * y[part])
+        w = np.linalg.solve(hessian, slope)
     return w
 
 
@@ -380,7 +388,7 @@ def _landmarks(kernel: Kernel, some: list[bytes], most: int) -> list[bytes]:
 
 def _fit_svm(
     train: list[Bag], vocabulary: list[bytes], *, kernel: Kernel | None = None, n_landmarks: int = 256, c: float = 1.0, rounds: int = 4,
-    negatives: int = 4000, variants: int = 2, most_positive: int = 4000, most_candidates: int = 400, plausible: float = -0.9, seed: int = 7,
+    negatives: int = 4000, variants: int = 2, most_positive: int = 4000, most_candidates: int = 300, plausible: float = -0.9, seed: int = 7,
 ) -> Model:
     """A latent SVM over the sentences of labelled documents. It learns from the `most_positive` positive
     words seen most often; landmark insults are chosen among the first `most_candidates` of them, by
@@ -432,7 +440,7 @@ def _fit_svm(
         virtual = {w[:at] + bytes([int(rng.choice(letters))]) + w[at:] for w in insults if len(w) > 3 for at in range(1, len(w)) for _ in range(variants)}
         virtual = sorted(virtual - known)
         s_pos = np.concatenate([np.minimum(seen[chosen], 50) / 5.0, np.full(len(virtual), 0.5)])
-        x = np.concatenate([mapped(positive + virtual), mapped([vocabulary[i] for i in pool])])
+        x = mapped([*positive, *virtual, *[vocabulary[i] for i in pool]])
         y = np.concatenate([np.ones(len(s_pos)), -np.ones(len(pool))])
         s = np.concatenate([s_pos, np.full(len(pool), max(1.0, s_pos.sum() / len(pool)))])
         w = _newton(x, y, s, c)
@@ -510,6 +518,7 @@ def train(
         longest_text=longest_text,
     )
     drawn = Counter(label for label, _ in rows)
+    gc.collect()
     if not drawn[0] or not drawn[1]:
         return Model(Kernel())
     return fit(rows, toxic_weight=n[1] * drawn[0] / (n[0] * drawn[1]), **options)
