@@ -87,11 +87,22 @@ def release(spark: SparkSession) -> int:
     return n
 
 
-def stored(df: DataFrame, kind: str = "table") -> DataFrame:
-    """Cut the lineage with a table written to the shared folder, and read it back."""
+def write_table(df: DataFrame, kind: str = "table") -> tuple[DataFrame, str]:
+    """Cut the lineage with a table written to the shared folder; the table as read back, and its path."""
     path = new_path(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, kind: str = "table") -> DataFrame:
+    return write_table(df, kind)[0]
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a table of write_table() that nothing reads any more."""
+    _WRITTEN.remove(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ball_kmeans import ball_kmeans
 from .common import remainder
 from .decontamination import benchmark_matches, contamination
 from .hilbert_sharding import shard
@@ -20,6 +21,7 @@ from .lm_scoring import lm_scores
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .source_mixing import language_rate, mix
+from .spelling import spelling_groups
 from .toxicity import score as toxicity_score
 from .toxicity import train as toxicity_train
 from .warc import captures
@@ -101,6 +103,14 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -112,4 +122,6 @@ QUERIES: dict[str, Query] = {
     "op8_hilbert_sharding": op8_hilbert_sharding,
     "op9_html_extraction": op9_html_extraction,
     "op10_source_mixing": op10_source_mixing,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }

@@ -119,7 +119,76 @@ SELECT doc_id, NOT train AS held_out, n_tokens, n_known, train_tokens, round(bas
 FROM d JOIN a USING (r)
 """
 
+# Near words meet where one lacks a code point of the other, or both lack one at the same place.
+SPELLING_SQL = rf"""
+WITH RECURSIVE bytes AS (
+  SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(3988292384, a // 2) ELSE a // 2 END) AS v
+  FROM range(256) AS t(i)
+), steps AS (SELECT list(v ORDER BY i) AS tab FROM bytes),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(r, '{_UPPER}', '{_LOWER}') AS w, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents) GROUP BY 1, 2
+), hashed AS (
+  SELECT w, c, xor(4294967295, list_reduce(
+    list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(id || ':' || w, ''),
+      lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + unicode(x) // 64 AS BIGINT), CAST(128 + unicode(x) % 64 AS BIGINT)] END))),
+    lambda a, x: xor(a // 256, tab[CAST(xor(a % 256, x) AS INTEGER) + 1]))) AS h
+  FROM runs, steps
+), words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n
+  FROM (SELECT c, CASE WHEN h % 199 = 0 THEN left(w, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), gaps AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS g FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word AS u, b.word AS v, b.n FROM gaps a JOIN gaps b ON a.i = b.i AND a.g = b.g AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM gaps a JOIN words b ON a.g = b.word
+  UNION SELECT b.word, a.word, a.n FROM gaps a JOIN words b ON a.g = b.word
+), best AS (
+  SELECT u, count(*) AS n_near, max(n) AS top FROM near GROUP BY u
+), form AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN top >= 5 * w.n THEN (SELECT min(v) FROM near WHERE near.u = w.word AND near.n = best.top) END AS form,
+    CASE WHEN top >= 5 * w.n THEN top END AS form_n
+  FROM words w LEFT JOIN best ON best.u = w.word
+), chain AS (
+  SELECT word, word AS tip, 0 AS step FROM form
+  UNION ALL SELECT c.word, f.form, c.step + 1 FROM chain c JOIN form f ON f.word = c.tip WHERE f.form IS NOT NULL
+), root AS (SELECT word, arg_max(tip, step) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM form JOIN root USING (word)
+"""
+
+_DIMS, _CLUSTERS, _ROUNDS = 64, 40, 5
+
+
+def _kmeans_sql() -> str:
+    """Each round as tables: d distances, a assignments, c the next centroids."""
+    parts = [
+        f"""x AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {_DIMS} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {_DIMS})""",
+        f"l AS (SELECT r, unnest(range({_DIMS})) AS i, unnest(v) AS q FROM x)",
+        f"s AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS k FROM x QUALIFY k < {_CLUSTERS})",
+        "c0 AS (SELECT k, i, q FROM s JOIN l USING (r))",
+    ]
+    for n in range(_ROUNDS + 1):
+        parts += [
+            f"d{n} AS (SELECT l.r, k, CAST(sum((l.q - c.q) * (l.q - c.q)) AS BIGINT) AS d FROM l JOIN c{n} c USING (i) GROUP BY l.r, k)",
+            f"a{n} AS (SELECT r, k, d FROM d{n} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)",
+            f"m{n} AS (SELECT k, i, CAST(sum(q) AS BIGINT) AS t, count(*) AS n FROM l JOIN a{n} USING (r) GROUP BY k, i)",
+            f"c{n + 1} AS (SELECT k, i, coalesce((t - ((t % n + n) % n)) // n, q) AS q FROM c{n} LEFT JOIN m{n} USING (k, i))",
+        ]
+    return f"""
+WITH {", ".join(parts)},
+h AS (SELECT k, sha256(string_agg(CAST(q AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{_ROUNDS} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM x JOIN a{_ROUNDS} USING (r) JOIN h USING (k)
+"""
+
+
 ORACLE_SQL = {
+    "op11_spelling_variants": SPELLING_SQL,
+    "op12_centroid_clustering": _kmeans_sql(),
     "op2_quality_rules": QUALITY_SQL,
     "op4_lm_scoring": LM_SQL,
     "op6_benchmark_decontamination": DECONTAMINATION_SQL,
