@@ -24,6 +24,7 @@ from .source_mixing import language_rate, mix
 from .spelling import spelling_groups
 from .toxicity import score as toxicity_score
 from .toxicity import train as toxicity_train
+from .tree_search import nearest_neighbours
 from .warc import captures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +112,11 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_kmeans(table(spark, sf_dir, "embeddings"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -124,4 +130,5 @@ QUERIES: dict[str, Query] = {
     "op10_source_mixing": op10_source_mixing,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
