@@ -293,7 +293,7 @@ class Index:
     dims: int
 
 
-def build(vectors: DataFrame, *, sample_rows: int = 50_000, leaf_rows: int = 512, block_rows: int = 1024, branch: int = 8, **columns) -> Index | None:
+def build(vectors: DataFrame, *, sample_rows: int = 50_000, leaf_rows: int = 256, block_rows: int = 1024, branch: int = 8, **columns) -> Index | None:
     """The tree, fitted on a sample, and all vectors in blocks by leaf; None without vectors."""
     rows, dims = usable(vectors, **columns)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
