@@ -20,20 +20,20 @@ def best_match(query: str) -> Column:
     )
 
 
-def search(pages: DataFrame, blocks: DataFrame, translations: DataFrame, revisions: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """rank, page_id, path, title, kind, score, snippet of the best `limit` pages.
-
-    Candidates are the first candidate_limit(limit) matching block rows by kind of match, path and
-    place; of a page's candidates the first of the best score stays. Ties end with the id."""
-    query = normalize_query(query)
-    most = candidate_limit(limit) if query else 0
-    pattern = like_pattern(query)
-    rows = (
+def search_rows(pages: DataFrame, blocks: DataFrame, translations: DataFrame, revisions: DataFrame) -> DataFrame:
+    """What is searched: each block of an active page with the page's path and title and its current translation."""
+    return (
         pages.where(F.col("status") == "active").select("page_id", "path", "title")
         .join(blocks.select("page_id", "block_id", "ordinal", "source_text"), "page_id")
         .join(translations.select("block_id", "current_revision_id"), "block_id", "left")
         .join(revisions.select(F.col("revision_id").alias("current_revision_id"), "translated_text"), "current_revision_id", "left")
     )
+
+
+def ranked(rows: DataFrame, query: str, limit: int) -> DataFrame:
+    """The best `limit` pages of search_rows() for a normal query; see search()."""
+    most = candidate_limit(limit) if query else 0
+    pattern = like_pattern(query)
     by = [F.col(c).ilike(pattern) for c in ("title", "path", "translated_text")]
     kind = F.when(by[0], 0).when(by[1], 1).when(by[2], 2).otherwise(3)
     found = rows.where(by[0] | by[1] | by[2] | F.col("source_text").ilike(pattern)).withColumn("_kind", kind)
@@ -45,3 +45,11 @@ def search(pages: DataFrame, blocks: DataFrame, translations: DataFrame, revisio
     order = [F.col("_best.score").desc(), F.coalesce("title", "path"), F.col("page_id")]
     top = best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") <= max(limit, 0))
     return top.select("rank", "page_id", "path", "title", "_best.kind", "_best.score", "_best.snippet")
+
+
+def search(pages: DataFrame, blocks: DataFrame, translations: DataFrame, revisions: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """rank, page_id, path, title, kind, score, snippet of the best `limit` pages.
+
+    Candidates are the first candidate_limit(limit) matching block rows by kind of match, path and
+    place; of a page's candidates the first of the best score stays. Ties end with the id."""
+    return ranked(search_rows(pages, blocks, translations, revisions), normalize_query(query), limit)
