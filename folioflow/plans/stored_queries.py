@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import SEARCH_LIMIT
-from ..operators import search, search_index
+from ..operators import keyed_store, search, search_index
+from ..sources import adapters as A
 from ..storage import new_path
-from .queries import SEARCH_WORD, _reader_tables, query
+from .more_queries import _known
+from .queries import NOW, SEARCH_WORD, _reader_tables, query
 
 RARE_WORDS = "mit license"
 
@@ -24,3 +29,28 @@ def search_indexed(spark: SparkSession, d: str) -> DataFrame:
 @query
 def search_indexed_rare(spark: SparkSession, d: str) -> DataFrame:
     return search_index.search_index(_index(spark, d), RARE_WORDS, SEARCH_LIMIT)
+
+
+@query
+def page_store_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """A discovery, requests for pages and the end of the discovery, applied in turn to a stored page table."""
+    pages = A.source_pages(spark, d)
+    store = keyed_store.create(_known(spark, d), new_path(spark, "pages"), "canonical_url")
+    other = F.when(F.pmod("page_id", F.lit(4)) == 0, "/new").otherwise("")
+    keyed_store.discovered(store, pages.where(F.pmod("page_id", F.lit(2)) == 0).select(F.concat("canonical_url", other).alias("canonical_url"), F.concat("path", other).alias("path")), NOW)
+    asked = F.when(F.pmod("page_id", F.lit(10)) == 0, "/asked").otherwise("")
+    keyed_store.wanted(store, pages.where(F.pmod("page_id", F.lit(5)) == 0).select(F.concat("canonical_url", asked).alias("canonical_url"), F.concat("path", F.lit("/asked")).alias("path")))
+    keyed_store.missing(store, NOW - timedelta(days=1), NOW)
+    stamp = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return store.read().select("canonical_url", "path", stamp("last_discovered_at"), stamp("missing_since"))
+
+
+@query
+def policy_store(spark: SparkSession, d: str) -> DataFrame:
+    """The policies of three writers, the later rows written first, in a stored table."""
+    rows = A.table(spark, d, "events").select("user_id", "event_type", F.col("event_id").alias("written"))
+    parts = [rows.where(F.pmod("written", F.lit(3)) == k) for k in (2, 0, 1)]
+    store = keyed_store.create(rows.limit(0), new_path(spark, "policies"), "user_id", buckets=16)
+    for part in parts:
+        keyed_store.latest(store, part, "written")
+    return store.read()

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from .sql import _search
+from .corpus_sql import using
+from .more_sql import _KNOWN, _URL
+from .sql import _NOW, _search
 
 STORED_SQL: dict[str, str] = {
     "search_indexed": _search("the", False),
     "search_indexed_rare": _search("mit license", False),
+    "page_store_upserts": using("source_pages", f"""
+      WITH {_KNOWN}, f AS (SELECT {_URL} || o AS canonical_url, path || o AS path FROM (SELECT *, CASE WHEN page_id % 4 = 0 THEN '/new' ELSE '' END AS o FROM source_pages WHERE page_id % 2 = 0)),
+      a AS (SELECT {_URL} || CASE WHEN page_id % 10 = 0 THEN '/asked' ELSE '' END AS canonical_url, path || '/asked' AS path FROM source_pages WHERE page_id % 5 = 0),
+      one AS (SELECT canonical_url, coalesce(f.path, known.path) AS path, CASE WHEN f.path IS NOT NULL THEN {_NOW} ELSE last_discovered_at END AS last_discovered_at, CASE WHEN f.path IS NULL THEN missing_since END AS missing_since
+        FROM known FULL JOIN f USING (canonical_url)),
+      two AS (SELECT canonical_url, coalesce(a.path, one.path) AS path, last_discovered_at, missing_since FROM one FULL JOIN a USING (canonical_url))
+      SELECT canonical_url, path, last_discovered_at, CASE WHEN missing_since IS NULL AND (last_discovered_at IS NULL OR last_discovered_at < {_NOW} - INTERVAL 1 DAY) THEN {_NOW} ELSE missing_since END AS missing_since FROM two"""),
+    "policy_store": "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS written FROM events GROUP BY user_id",
 }
