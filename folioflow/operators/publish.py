@@ -90,6 +90,15 @@ def publish_decisions(fetched: DataFrame, versions: DataFrame) -> DataFrame:
     return by_page.select("page_id", decision.alias("decision"), version.cast("long").alias("version"))
 
 
+def paired_blocks(every: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """The new blocks of diff_blocks(old, new, every=True), each with the id of the old block that it comes from, if any."""
+    place = Window.partitionBy("page_id").orderBy("ordinal")
+    index = lambda df, name: df.withColumn(name, F.row_number().over(place) - 1)
+    now = index(new, "current_index").select("page_id", "current_index", "block_id", "fingerprint", "translatable")
+    before = index(old, "previous_index").select("page_id", "previous_index", F.col("block_id").alias("previous_id"))
+    return every.where(F.col("current_index").isNotNull()).join(now, ["page_id", "current_index"]).join(before, ["page_id", "previous_index"], "left")
+
+
 def publish_pages(fetched: DataFrame, versions: DataFrame, previous: DataFrame, translations: DataFrame, priority: int = 10) -> dict[str, DataFrame]:
     """What publishing fetched pages writes: `decisions`, and for published pages the `changes` of their blocks, the
     `states` that their blocks inherit and the translation `jobs` for what is new or changed. Blocks have
@@ -98,13 +107,9 @@ def publish_pages(fetched: DataFrame, versions: DataFrame, previous: DataFrame,
     published = decisions.where(F.col("decision") == "published").select("page_id")
     new, old = fetched.join(published, "page_id", "left_semi"), previous.join(published, "page_id", "left_semi")
     every = diff_blocks(old, new, every=True)
-    place = Window.partitionBy("page_id").orderBy("ordinal")
-    indexed = lambda df, name: df.select("page_id", (F.row_number().over(place) - 1).alias(f"{name}_index"), F.col("block_id").alias(f"_{name}"), "fingerprint", "translatable")
-    pairs = every.where(F.col("current_index").isNotNull()).join(indexed(new, "current"), ["page_id", "current_index"]).join(
-        indexed(old, "previous").drop("fingerprint", "translatable"), ["page_id", "previous_index"], "left"
-    )
-    current = pairs.where("translatable").select(F.col("_current").alias("block_id"), F.col("_previous").alias("previous_id"), "fingerprint")
-    candidates = pairs.where("candidate").select(F.col("_current").alias("block_id"), "fingerprint")
+    pairs = paired_blocks(every, old, new)
+    current = pairs.where("translatable").select("block_id", "previous_id", "fingerprint")
+    candidates = pairs.where("candidate").select("block_id", "fingerprint")
     return {
         "decisions": decisions, "changes": every.where(F.col("kind") != "same"), "states": inherit_states(current, old, translations),
         "jobs": translation_jobs(candidates, priority),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SEARCH_LIMIT
-from ..operators import keyed_store, search, search_index
+from ..operators import keyed_store, publish_store, search, search_index
 from ..sources import adapters as A
 from ..storage import new_path
 from .more_queries import _known
@@ -54,3 +54,30 @@ def policy_store(spark: SparkSession, d: str) -> DataFrame:
     for part in parts:
         keyed_store.latest(store, part, "written")
     return store.read()
+
+
+def _published(spark: SparkSession, d: str) -> publish_store.PublishStore:
+    """Three commits: every page; two of three pages again, half of them without their first block; every other page as at first."""
+    blocks = A.content_blocks(spark, d)
+    page = F.col("page_id")
+    fetches = [blocks, blocks.where((page % 3 != 0) & ~((page % 3 == 1) & (F.col("ordinal") == 0))), blocks.where(page % 2 == 0)]
+    store = publish_store.PublishStore(spark, new_path(spark, "published"))
+    for n, fetched in enumerate(fetches):
+        rows = fetched.select("page_id", F.lit(n).alias("fetch_id"), (F.col("block_id") * 10 + n).alias("block_id"), "ordinal", "block_type", "fingerprint", "translatable")
+        publish_store.publish(store, rows, n, translations=A.block_translations(spark, d).withColumn("block_id", F.col("block_id") * 10) if n == 1 else None)
+        publish_store.publish(store, rows.limit(0), n)  # taken again, it changes nothing
+    return store
+
+
+@query
+def publish_commits(spark: SparkSession, d: str) -> DataFrame:
+    return _published(spark, d).read("decisions")
+
+
+@query
+def published_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of the current versions, with the states that their translations have inherited."""
+    store = _published(spark, d)
+    return store.current_blocks().join(store.states().select("block_id", "status", "current_revision_id"), "block_id", "left").select(
+        "block_id", "page_id", "version", "ordinal", "fingerprint", "status", "current_revision_id"
+    )

@@ -6,6 +6,8 @@ from .corpus_sql import using
 from .more_sql import _KNOWN, _URL
 from .sql import _NOW, _search
 
+_PAGES = "p AS (SELECT page_id, count(*) AS n FROM content_blocks GROUP BY page_id)"
+
 STORED_SQL: dict[str, str] = {
     "search_indexed": _search("the", False),
     "search_indexed_rare": _search("mit license", False),
@@ -16,5 +18,17 @@ STORED_SQL: dict[str, str] = {
         FROM known FULL JOIN f USING (canonical_url)),
       two AS (SELECT canonical_url, coalesce(a.path, one.path) AS path, last_discovered_at, missing_since FROM one FULL JOIN a USING (canonical_url))
       SELECT canonical_url, path, last_discovered_at, CASE WHEN missing_since IS NULL AND (last_discovered_at IS NULL OR last_discovered_at < {_NOW} - INTERVAL 1 DAY) THEN {_NOW} ELSE missing_since END AS missing_since FROM two"""),
+    "publish_commits": using("content_blocks", f"""
+      WITH {_PAGES}
+      SELECT page_id, 'published' AS decision, CAST(1 AS BIGINT) AS version, CAST(0 AS BIGINT) AS "commit" FROM p
+      UNION ALL SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'published' ELSE 'unchanged' END, CASE WHEN page_id % 3 = 1 THEN 2 ELSE 1 END, 1 FROM p WHERE page_id % 3 = 2 OR page_id % 3 = 1 AND n > 1
+      UNION ALL SELECT page_id, CASE WHEN page_id % 3 = 1 AND n > 1 THEN 'restored' ELSE 'unchanged' END, 1, 2 FROM p WHERE page_id % 2 = 0"""),
+    # the second version of a page has its blocks but the first, each with the state it had; fingerprints of a page that occur twice may pair otherwise, so states are the same for all of a page
+    "published_blocks": using("fingerprints block_translations", f"""
+      WITH {_PAGES}, s AS (SELECT DISTINCT page_id, status FROM block_translations JOIN content_blocks USING (block_id)),
+      b AS (SELECT f.*, page_id % 3 = 1 AND page_id % 2 = 1 AND n > 1 AS second FROM fingerprints f JOIN p USING (page_id))
+      SELECT b.block_id * 10 + CASE WHEN second THEN 1 ELSE 0 END AS block_id, page_id, CAST(CASE WHEN second THEN 2 ELSE 1 END AS BIGINT) AS version, ordinal, fingerprint,
+        CASE WHEN NOT translatable THEN NULL WHEN second THEN coalesce(s.status, 'pending') ELSE 'pending' END AS status, t.current_revision_id
+      FROM b LEFT JOIN s USING (page_id) LEFT JOIN block_translations t ON second AND t.block_id = b.block_id WHERE NOT second OR ordinal > 0"""),
     "policy_store": "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS written FROM events GROUP BY user_id",
 }
