@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SEARCH_LIMIT
-from ..operators import keyed_store, publish_store, search, search_index
+from ..operators import admission, keyed_store, publish_store, search, search_index
 from ..sources import adapters as A
 from ..storage import new_path
 from .more_queries import _known
 from .queries import NOW, SEARCH_WORD, _reader_tables, query
 
 RARE_WORDS = "mit license"
+HOT_LIMIT = 1_000_000
 
 
 def _index(spark: SparkSession, d: str) -> search_index.SearchIndex:
@@ -81,3 +82,9 @@ def published_blocks(spark: SparkSession, d: str) -> DataFrame:
     return store.current_blocks().join(store.states().select("block_id", "status", "current_revision_id"), "block_id", "left").select(
         "block_id", "page_id", "version", "ordinal", "fingerprint", "status", "current_revision_id"
     )
+
+
+@query
+def budget_admission_hot(spark: SparkSession, d: str) -> DataFrame:
+    """All requests as those of one day, admitted in rounds over all tasks."""
+    return admission.admit_in_rounds(A.token_ledger(spark, d).withColumn("usage_date", F.lit("all")), HOT_LIMIT)

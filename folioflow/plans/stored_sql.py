@@ -30,5 +30,10 @@ STORED_SQL: dict[str, str] = {
       SELECT b.block_id * 10 + CASE WHEN second THEN 1 ELSE 0 END AS block_id, page_id, CAST(CASE WHEN second THEN 2 ELSE 1 END AS BIGINT) AS version, ordinal, fingerprint,
         CASE WHEN NOT translatable THEN NULL WHEN second THEN coalesce(s.status, 'pending') ELSE 'pending' END AS status, t.current_revision_id
       FROM b LEFT JOIN s USING (page_id) LEFT JOIN block_translations t ON second AND t.block_id = b.block_id WHERE NOT second OR ordinal > 0"""),
+    "budget_admission_hot": using("token_ledger", """
+      WITH o AS (SELECT list(struct_pack(a := "at", r := reservation_id, t := tokens) ORDER BY "at", reservation_id) AS l FROM token_ledger),
+      u AS (SELECT l, list_reduce(list_concat([[CAST(0 AS BIGINT)]], list_transform(l, lambda x: [x.t])), lambda s, x: list_append(s, s[-1] + CASE WHEN s[-1] + x[1] <= 1000000 THEN x[1] ELSE 0 END)) AS s FROM o),
+      f AS (SELECT unnest(l) AS x, unnest(s[:-2]) AS before, unnest(s[2:]) AS used_after FROM u)
+      SELECT 'all' AS usage_date, x.a AS "at", x.r AS reservation_id, x.t AS tokens, before + x.t <= 1000000 AS admitted, used_after FROM f"""),
     "policy_store": "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS written FROM events GROUP BY user_id",
 }
