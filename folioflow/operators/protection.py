@@ -7,9 +7,10 @@ checks and the restoring are Column expressions.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,9 @@ _WORD = re.compile(r"\w")
 PROTECTED = "struct<text:string,error:string,tokens:array<struct<placeholder:string,value:string,start:int,end:int>>>"
 
 
+PLACEHOLDER_TYPE = pa.struct([("text", pa.string()), ("error", pa.string()), ("tokens", pa.list_(pa.struct([("placeholder", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
+
+
 def nested_out(spans: list[tuple[int, int]], length: int) -> tuple[list[tuple[int, int]], str | None]:
     """Valid spans by start, without those inside another; an error for bad or partly overlapping ones."""
     out: list[tuple[int, int]] = []
@@ -34,11 +38,16 @@ def nested_out(spans: list[tuple[int, int]], length: int) -> tuple[list[tuple[in
     return out, None
 
 
-def _same_length_lower(text: str) -> str:
+def same_length_lower(text: str) -> str:
     low = text.lower()
     return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
 
 
+def inside_word(text: str, start: int, end: int) -> bool:
+    """Whether a place's first or last letter goes on in a word outside it."""
+    return bool((_WORD.match(text[start]) and start and _WORD.match(text[start - 1])) or (_WORD.match(text[end - 1]) and end < len(text) and _WORD.match(text[end])))
+
+
 def term_list(terms: list[str]) -> list[str]:
     """Normal forms of a glossary's terms: trimmed, lower-cased, each once, none empty."""
     return sorted({t.strip().lower() for t in terms if t.strip()})
@@ -47,13 +56,12 @@ def term_list(terms: list[str]) -> list[str]:
 def term_spans(text: str, terms: list[str], locked: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Of all places of all terms that touch neither a word's letters nor a locked span, those chosen leftmost first and
     then longest, none over another."""
-    low, found = _same_length_lower(text), []
+    low, found = same_length_lower(text), []
     for term in terms:
         start = low.find(term)
         while start >= 0:
             end = start + len(term)
-            joined = (_WORD.match(text[start]) and start and _WORD.match(text[start - 1])) or (_WORD.match(text[end - 1]) and end < len(text) and _WORD.match(text[end]))
-            if not joined and not any(start < b and a < end for a, b in locked):
+            if not inside_word(text, start, end) and not any(start < b and a < end for a, b in locked):
                 found.append((start, end))
             start = low.find(term, start + 1)
     out: list[tuple[int, int]] = []
@@ -63,12 +71,21 @@ def term_spans(text: str, terms: list[str], locked: list[tuple[int, int]]) -> li
     return out
 
 
+def not_translatable() -> dict:
+    return {"text": None, "error": "not_translatable", "tokens": []}
+
+
 def protect(text: str, spans: list[tuple[int, int]], terms: list[str]) -> dict:
+    return protect_at(text, spans, lambda held: term_spans(text, terms, held))
+
+
+def protect_at(text: str, spans: list[tuple[int, int]], find: Callable[[list[tuple[int, int]]], list[tuple[int, int]]]) -> dict:
+    """The text with placeholders for the parser's spans and for what find(locked spans, in order) gives."""
     locked, error = nested_out(spans, len(text))
     if error:
         return {"text": None, "error": error, "tokens": []}
     held = locked + [m.span() for m in re.finditer(PLACEHOLDER, text) if not any(m.start() < b and a < m.end() for a, b in locked)]
-    chosen = sorted(locked + term_spans(text, terms, held))
+    chosen = sorted(locked + find(sorted(held)))
     out, tokens, at, number = [], [], 0, 0
     for start, end in chosen:
         number += 1
@@ -92,7 +109,7 @@ def protect_blocks(blocks: DataFrame, terms: list[str], spans_col: str | None =
             done = []
             for kind, text, own in zip(pdf["block_type"], pdf["source_text"], pdf["spans"], strict=True):
                 if kind == "code" or text is None:
-                    done.append({"text": None, "error": "not_translatable", "tokens": []})
+                    done.append(not_translatable())
                 else:
                     done.append(protect(text, [(s["start"], s["end"]) for s in own], known))
             yield pd.DataFrame({"block_id": pdf["block_id"], "protected": done})

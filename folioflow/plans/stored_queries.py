@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SEARCH_LIMIT
-from ..operators import admission, keyed_store, publish_store, search, search_index
+from ..operators import admission, keyed_store, protection, publish_store, search, search_index, term_matcher
 from ..sources import adapters as A
 from ..storage import new_path
 from .more_queries import _known
@@ -88,3 +88,20 @@ def published_blocks(spark: SparkSession, d: str) -> DataFrame:
 def budget_admission_hot(spark: SparkSession, d: str) -> DataFrame:
     """All requests as those of one day, admitted in rounds over all tasks."""
     return admission.admit_in_rounds(A.token_ledger(spark, d).withColumn("usage_date", F.lit("all")), HOT_LIMIT)
+
+
+def _title_terms(spark: SparkSession, d: str) -> DataFrame:
+    """A glossary that grows with the corpus: the words of eight letters or more in titles."""
+    words = F.regexp_extract_all("title", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return A.source_pages(spark, d).select(F.explode(F.filter(words, lambda w: F.length(w) >= 8)).alias("term"))
+
+
+@query
+def glossary_protected(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks with all words of titles protected, and what comes before the first space as a span of the parser's."""
+    blocks = A.content_blocks(spark, d)
+    first = F.locate(" ", "source_text") - 1
+    spans = F.when(first > 0, F.array(F.struct(F.lit(0).alias("start"), first.alias("end"))))
+    out = term_matcher.protect_with_terms(blocks, _title_terms(spark, d), spans)
+    return out.select("block_id", "protected.error", F.size("protected.tokens").alias("tokens"), protection.restore("protected.text", F.col("protected.tokens")).alias("restored"),
+                      F.get("protected.tokens", F.lit(0))["value"].alias("first_value"))

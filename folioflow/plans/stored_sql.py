@@ -35,5 +35,11 @@ STORED_SQL: dict[str, str] = {
       u AS (SELECT l, list_reduce(list_concat([[CAST(0 AS BIGINT)]], list_transform(l, lambda x: [x.t])), lambda s, x: list_append(s, s[-1] + CASE WHEN s[-1] + x[1] <= 1000000 THEN x[1] ELSE 0 END)) AS s FROM o),
       f AS (SELECT unnest(l) AS x, unnest(s[:-2]) AS before, unnest(s[2:]) AS used_after FROM u)
       SELECT 'all' AS usage_date, x.a AS "at", x.r AS reservation_id, x.t AS tokens, before + x.t <= 1000000 AS admitted, used_after FROM f"""),
+    "glossary_protected": using("source_pages content_blocks", r"""
+      WITH terms AS (SELECT list(DISTINCT lower(w)) AS l FROM (SELECT unnest(regexp_extract_all(title, '[\p{L}\p{N}_]+')) AS w FROM source_pages) WHERE length(w) >= 8),
+      b AS (SELECT block_id, block_type, source_text, greatest(instr(source_text, ' ') - 1, 0) AS p FROM content_blocks),
+      t AS (SELECT *, list_filter(regexp_extract_all(substr(source_text, p + 1), '[\p{L}\p{N}_]+'), lambda w: list_contains(l, lower(w))) AS found FROM b, terms)
+      SELECT block_id, CASE WHEN block_type = 'code' THEN 'not_translatable' END AS error, CAST(CASE WHEN block_type = 'code' THEN 0 ELSE len(found) + CASE WHEN p > 0 THEN 1 ELSE 0 END END AS INTEGER) AS tokens,
+        CASE WHEN block_type <> 'code' THEN source_text END AS restored, CASE WHEN block_type <> 'code' THEN CASE WHEN p > 0 THEN left(source_text, p) ELSE found[1] END END AS first_value FROM t"""),
     "policy_store": "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS written FROM events GROUP BY user_id",
 }
