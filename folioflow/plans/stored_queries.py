@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SEARCH_LIMIT
-from ..operators import admission, keyed_store, protection, publish_store, search, search_index, term_matcher
+from ..operators import admission, keyed_store, protection, publish_store, search, search_index, term_matcher, timed
 from ..sources import adapters as A
 from ..storage import new_path
 from .more_queries import _known
@@ -16,6 +16,9 @@ from .queries import NOW, SEARCH_WORD, _reader_tables, query
 
 RARE_WORDS = "mit license"
 HOT_LIMIT = 1_000_000
+MINUTE = 60_000
+#: Later than all events of the plain tables.
+UNTIL = 4_000_000_000_000
 
 
 def _index(spark: SparkSession, d: str) -> search_index.SearchIndex:
@@ -105,3 +108,29 @@ def glossary_protected(spark: SparkSession, d: str) -> DataFrame:
     out = term_matcher.protect_with_terms(blocks, _title_terms(spark, d), spans)
     return out.select("block_id", "protected.error", F.size("protected.tokens").alias("tokens"), protection.restore("protected.text", F.col("protected.tokens")).alias("restored"),
                       F.get("protected.tokens", F.lit(0))["value"].alias("first_value"))
+
+
+@query
+def reservation_timers(spark: SparkSession, d: str) -> DataFrame:
+    """Each event as a reservation: sign-ups and purchases are started after k minutes, purchases settled some minutes later. Reservations are released after
+    30 minutes and settled in full 5 minutes after their start, if nothing happens."""
+    kind, number = F.col("event_type"), F.col("event_id")
+    at, k = F.unix_millis(F.col("ts").cast("timestamp")), F.get_json_object("props", "$.k").cast("long") * MINUTE
+    tokens = F.floor("value").cast("long") + 1
+    event = lambda n, after, name, amount: F.struct((number * 3 + n).alias("event_id"), (at + after).alias("at_ms"), F.lit(name).alias("event"), amount.cast("long").alias("tokens"))
+    started = F.when(kind.isin("signup", "purchase"), event(1, k, "start", F.lit(None)))
+    settled = F.when(kind == "purchase", event(2, k + F.pmod(number, F.lit(10)) * MINUTE, "settle", F.when(F.pmod(number, F.lit(7)) != 0, F.pmod(number, F.lit(300)))))
+    rows = A.table(spark, d, "events").select(number.alias("reservation_id"), F.explode(F.array_compact(F.array(event(0, F.lit(0), "reserve", tokens), started, settled))).alias("e")).select("reservation_id", "e.*")
+    return timed.timed_scan(rows, "reservation_id", ["event", "tokens"], timed.reservation_step(30 * MINUTE, 5 * MINUTE), UNTIL)
+
+
+@query
+def job_leases(spark: SparkSession, d: str) -> DataFrame:
+    """The events of each user as those of a job with two workers."""
+    kind = F.col("event_type")
+    event = F.when(kind.isin("click", "view"), "claim").when(kind == "signup", "renew").when(kind == "purchase", "complete").otherwise("fail")
+    finished = F.when(kind == "purchase", F.pmod("event_id", F.lit(40)) == 0).otherwise(True)  # else a job would end with its first purchase
+    rows = A.table(spark, d, "events").where(finished).select(
+        F.col("user_id").alias("job_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), "event_id", event.alias("event"), F.concat(F.lit("worker"), F.pmod("event_id", F.lit(2))).alias("owner")
+    )
+    return timed.timed_scan(rows, "job_id", ["event", "owner"], timed.lease_step(3 * 60 * MINUTE, 30), UNTIL)

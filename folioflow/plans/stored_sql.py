@@ -41,5 +41,14 @@ STORED_SQL: dict[str, str] = {
       t AS (SELECT *, list_filter(regexp_extract_all(substr(source_text, p + 1), '[\p{L}\p{N}_]+'), lambda w: list_contains(l, lower(w))) AS found FROM b, terms)
       SELECT block_id, CASE WHEN block_type = 'code' THEN 'not_translatable' END AS error, CAST(CASE WHEN block_type = 'code' THEN 0 ELSE len(found) + CASE WHEN p > 0 THEN 1 ELSE 0 END END AS INTEGER) AS tokens,
         CASE WHEN block_type <> 'code' THEN source_text END AS restored, CASE WHEN block_type <> 'code' THEN CASE WHEN p > 0 THEN left(source_text, p) ELSE found[1] END END AS first_value FROM t"""),
+    "reservation_timers": """
+      WITH e AS (SELECT event_id AS i, event_type IN ('signup', 'purchase') AS starts, event_type = 'purchase' AS settles, epoch_us(ts) // 1000 AS t, 60000 * CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+          60000 * (event_id % 10) AS s, CAST(floor(value) AS BIGINT) + 1 AS tokens, CASE WHEN event_id % 7 <> 0 THEN event_id % 300 END AS used FROM events),
+      f AS (SELECT *, starts AND k < 1800000 AS started, settles AND k < 1800000 AND s < 300000 AS settled FROM e)
+      SELECT i AS reservation_id, t AS at_ms, i * 3 AS event_id, 'reserved' AS outcome, CAST(0 AS BIGINT) AS number FROM f
+      UNION ALL SELECT i, t + 1800000, NULL, 'released_stale', 0 FROM f WHERE NOT started
+      UNION ALL SELECT i, t + k, i * 3 + 1, CASE WHEN started THEN 'request_started' ELSE 'error' END, 0 FROM f WHERE starts
+      UNION ALL SELECT i, t + k + 300000, NULL, 'settled_stale', tokens FROM f WHERE started AND NOT settled
+      UNION ALL SELECT i, t + k + s, i * 3 + 2, CASE WHEN settled THEN 'settled' ELSE 'error' END, CASE WHEN settled THEN least(tokens, coalesce(used, tokens)) ELSE 0 END FROM f WHERE settles""",
     "policy_store": "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS written FROM events GROUP BY user_id",
 }
