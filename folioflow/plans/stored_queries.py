@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SEARCH_LIMIT
-from ..operators import admission, keyed_store, protection, publish_store, search, search_index, term_matcher, timed
+from ..operators import admission, keyed_store, path_tree, protection, publish_store, search, search_index, term_matcher, timed
 from ..sources import adapters as A
 from ..storage import new_path
 from .more_queries import _known
@@ -134,3 +134,14 @@ def job_leases(spark: SparkSession, d: str) -> DataFrame:
         F.col("user_id").alias("job_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), "event_id", event.alias("event"), F.concat(F.lit("worker"), F.pmod("event_id", F.lit(2))).alias("owner")
     )
     return timed.timed_scan(rows, "job_id", ["event", "owner"], timed.lease_step(3 * 60 * MINUTE, 30), UNTIL)
+
+
+@query
+def navigation_all(spark: SparkSession, d: str) -> DataFrame:
+    """The children of all parents in one pass."""
+    return path_tree.all_children(path_tree.path_tree(A.source_pages(spark, d)))
+
+
+@query
+def navigation_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return path_tree.path_tree(A.source_pages(spark, d)).select("path", "depth", "pages", "pre", "last")

@@ -6,6 +6,9 @@ from .corpus_sql import using
 from .more_sql import _KNOWN, _URL
 from .sql import _NOW, _search
 
+_NODES = """parts AS (SELECT *, unnest(range(3, len(string_split(path, '/')) + 1)) AS n FROM source_pages WHERE status = 'active'),
+      cut AS (SELECT *, array_to_string(string_split(path, '/')[:n], '/') AS node FROM parts),
+      nodes AS (SELECT node AS path, n - 2 AS depth, bool_or(node = path) AS is_page, bool_or(node <> path) AS has_children, max(title) FILTER (node = path) AS title, count(*) AS pages FROM cut GROUP BY node, n)"""
 _PAGES = "p AS (SELECT page_id, count(*) AS n FROM content_blocks GROUP BY page_id)"
 
 STORED_SQL: dict[str, str] = {
@@ -50,5 +53,13 @@ STORED_SQL: dict[str, str] = {
       UNION ALL SELECT i, t + k, i * 3 + 1, CASE WHEN started THEN 'request_started' ELSE 'error' END, 0 FROM f WHERE starts
       UNION ALL SELECT i, t + k + 300000, NULL, 'settled_stale', tokens FROM f WHERE started AND NOT settled
       UNION ALL SELECT i, t + k + s, i * 3 + 2, CASE WHEN settled THEN 'settled' ELSE 'error' END, CASE WHEN settled THEN least(tokens, coalesce(used, tokens)) ELSE 0 END FROM f WHERE settles""",
+    "navigation_all": using("source_pages", f"""
+      WITH {_NODES}
+      SELECT regexp_replace(path, '/[^/]*$', '') AS parent, path, CASE depth WHEN 1 THEN (SELECT label FROM (VALUES ('en', 'English'), ('de', 'German'), ('fr', 'French'), ('es', 'Spanish')) v(s, label) WHERE s = segment)
+        ELSE coalesce(nullif(trim(title), ''), upper(left(segment, 1)) || substr(segment, 2)) END AS label, is_page, has_children
+      FROM (SELECT *, regexp_extract(path, '[^/]*$') AS segment FROM nodes)"""),
+    "navigation_intervals": using("source_pages", f"""
+      WITH {_NODES}, o AS (SELECT *, row_number() OVER (ORDER BY translate(path, '/', chr(1))) - 1 AS pre FROM nodes)
+      SELECT path, CAST(depth AS INTEGER) AS depth, pages, pre, pre + (SELECT count(*) FROM nodes n WHERE n.path = o.path OR starts_with(n.path, o.path || '/')) - 1 AS "last" FROM o"""),
     "policy_store": "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS written FROM events GROUP BY user_id",
 }
