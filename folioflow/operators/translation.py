@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_by(df: DataFrame, keys: list[str], at: str, row_id: str) -> DataFrame:
-    """The newest row of each key, ties to the largest id."""
-    w = Window.partitionBy(*keys).orderBy(F.col(at).desc_nulls_last(), F.col(row_id).desc())
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def latest_text(df: DataFrame, key: str, name: str) -> DataFrame:
+    """The text of each key's newest row, ties to the largest id. Combined before the shuffle, so a key of any size is a few rows."""
+    return df.groupBy(key).agg(F.max_by("text", F.struct("at", "id")).alias(name))
 
 
 def resolve(blocks: DataFrame, corrections: DataFrame, memory: DataFrame) -> DataFrame:
@@ -18,10 +17,11 @@ def resolve(blocks: DataFrame, corrections: DataFrame, memory: DataFrame) -> Dat
 
     corrections: scope (block or global), block_id, fingerprint, text, at, id. memory: fingerprint, text,
     source, at, id. A key is resolved once, however many blocks share it."""
-    own = latest_by(corrections.where(F.col("scope") == "block"), ["block_id"], "at", "id").select("block_id", F.col("text").alias("_own"))
-    shared = latest_by(corrections.where(F.col("scope") == "global"), ["fingerprint"], "at", "id").select("fingerprint", F.col("text").alias("_global"))
-    seen = latest_by(memory.where(F.col("source").isin("ai", "ai_memory")), ["fingerprint"], "at", "id").select("fingerprint", F.col("text").alias("_memory"))
-    rows = blocks.join(own, "block_id", "left").join(shared, "fingerprint", "left").join(seen, "fingerprint", "left")
+    own = latest_text(corrections.where(F.col("scope") == "block"), "block_id", "_own")
+    shared = latest_text(corrections.where(F.col("scope") == "global"), "fingerprint", "_global")
+    seen = latest_text(memory.where(F.col("source").isin("ai", "ai_memory")), "fingerprint", "_memory")
+    known = shared.join(seen, "fingerprint", "full")
+    rows = blocks.select("block_id", "fingerprint").join(own, "block_id", "left").join(known, "fingerprint", "left")
     origin = (
         F.when(F.col("_own").isNotNull(), "block_correction").when(F.col("_global").isNotNull(), "global_correction")
         .when(F.col("_memory").isNotNull(), "memory").otherwise("model")

@@ -14,6 +14,7 @@ from ..functions import url as U
 from ..operators import budget, diff, glossary, jobs, navigation, ops, protection, publish, reader, search, translation
 from ..operators.parse_html import parse_pages
 from ..sources import adapters as A
+from ..storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,7 +241,7 @@ def login_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def translation_memory(spark: SparkSession, d: str) -> DataFrame:
-    blocks = A.content_blocks(spark, d)
+    blocks = stored(A.content_blocks(spark, d).select("block_id", "fingerprint"), "fingerprints")  # lines are split and hashed once
     seen = A.translation_revisions(spark, d).join(blocks.select("block_id", "fingerprint"), "block_id").select("fingerprint", F.col("translated_text").alias("text"), "source", F.col("turn").alias("at"), F.col("revision_id").alias("id"), "block_id")
     manual = seen.where(F.col("source") == "manual").withColumn("scope", F.when(F.pmod("id", F.lit(2)) == 0, "block").otherwise("global"))
     return translation.resolve(blocks, manual, seen)
