@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SEARCH_LIMIT
-from ..operators import admission, keyed_store, path_tree, protection, publish_store, search, search_index, term_matcher, timed
+from ..operators import admission, keyed_store, path_tree, payload_store, protection, publish_store, search, search_index, term_matcher, timed
 from ..sources import adapters as A
 from ..storage import new_path
 from .more_queries import _known
-from .queries import NOW, SEARCH_WORD, _reader_tables, query
+from .queries import BEFORE, NOW, SEARCH_WORD, _reader_tables, query
 
 RARE_WORDS = "mit license"
 HOT_LIMIT = 1_000_000
@@ -145,3 +145,20 @@ def navigation_all(spark: SparkSession, d: str) -> DataFrame:
 @query
 def navigation_intervals(spark: SparkSession, d: str) -> DataFrame:
     return path_tree.path_tree(A.source_pages(spark, d)).select("path", "depth", "pages", "pre", "last")
+
+
+@query
+def payloads_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies of fetches of pages: each event of an error or a view keeps a page's body for seven or for one day. Two writes, an expiry between them and
+    one after; what is left, with the days that the store still has."""
+    pages = A.table(spark, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("body"))
+    n = pages.count()
+    events = A.table(spark, d, "events").where(F.col("event_type").isin("error", "view"))
+    days = F.when(F.col("event_type") == "error", F.expr("INTERVAL 7 DAYS")).otherwise(F.expr("INTERVAL 1 DAY"))
+    fetches = events.select(F.col("event_id").alias("fetch_id"), F.pmod("user_id", F.lit(n)).alias("page_id"), "ts", (F.col("ts") + days).alias("expires_at")).join(pages, "page_id")
+    store, middle = payload_store.PayloadStore(spark, new_path(spark, "payload-store")), F.lit(BEFORE)
+    store.write(fetches.where(F.col("ts") < middle), datetime(2024, 1, 1))
+    store.expire(BEFORE)
+    store.write(fetches.where((F.col("ts") >= middle) & (F.col("ts") < F.lit(NOW))), BEFORE)
+    store.expire(NOW)
+    return store.read(NOW).select("fetch_id", "hash", "bytes")

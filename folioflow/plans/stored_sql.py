@@ -61,5 +61,9 @@ STORED_SQL: dict[str, str] = {
     "navigation_intervals": using("source_pages", f"""
       WITH {_NODES}, o AS (SELECT *, row_number() OVER (ORDER BY translate(path, '/', chr(1))) - 1 AS pre FROM nodes)
       SELECT path, CAST(depth AS INTEGER) AS depth, pages, pre, pre + (SELECT count(*) FROM nodes n WHERE n.path = o.path OR starts_with(n.path, o.path || '/')) - 1 AS "last" FROM o"""),
+    "payloads_stored": f"""
+      SELECT event_id AS fetch_id, sha256(coalesce(html, '')) AS hash, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS bytes
+      FROM events JOIN pages ON pages.page_id = user_id % (SELECT count(*) FROM pages)
+      WHERE event_type IN ('error', 'view') AND ts < {_NOW} AND ts + CASE WHEN event_type = 'error' THEN INTERVAL 7 DAY ELSE INTERVAL 1 DAY END > {_NOW}""",
     "policy_store": "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS written FROM events GROUP BY user_id",
 }
