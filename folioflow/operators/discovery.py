@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SITE, Site
 from ..functions.url import canonical_page
 from ..storage import checkpointed
+from .keyed_store import KeyedTable
 
 _URLSET = "url ARRAY<STRUCT<loc: STRING, lastmod: STRING>>"
 _INDEX = "sitemap ARRAY<STRUCT<loc: STRING>>"
@@ -102,3 +103,52 @@ def discover(
     if rules is None:
         return pages.orderBy("canonical_url")
     return allowed(pages.withColumnRenamed("canonical_url", "url"), rules).withColumnRenamed("url", "canonical_url").orderBy("canonical_url")
+
+
+SITEMAPS = "url string, fingerprint string, children array<string>, entries array<struct<canonical_url:string,last_modified:string>>"
+
+
+def read_sitemaps(documents: DataFrame, site: Site = SITE) -> DataFrame:
+    """SITEMAPS of stored documents (url, fingerprint, body): the sitemaps of the same origin that an index names, and the valid entries of a URL
+    set. Both are short arrays: a sitemap's format bounds them."""
+    entry = lambda e: F.struct(canonical_page(F.trim(e["loc"]))["url"].alias("canonical_url"), F.trim(e["lastmod"]).alias("last_modified"))
+    entries = F.filter(F.transform(F.from_xml("body", _URLSET)["url"], entry), lambda e: e["canonical_url"].isNotNull())
+    children = F.filter(F.transform(F.from_xml("body", _INDEX)["sitemap"], lambda s: F.trim(s["loc"])), lambda u: u.startswith(f"{site.origin}/"))
+    return documents.select(
+        "url", "fingerprint", F.when(F.contains("body", F.lit("<sitemapindex")), F.array_distinct(children)).alias("children"), F.when(F.contains("body", F.lit("<urlset")), entries).alias("entries")
+    )
+
+
+def discover_again(
+    sitemaps: KeyedTable, documents: KeyedTable, roots: list[str], rules: DataFrame | None = None, site: Site = SITE, most_depth: int = 5, most_files: int = 100,
+    most_candidates: int = 200_000,
+) -> tuple[DataFrame, list[str]]:
+    """The pages of discover(), and the URLs of the documents whose bodies were read for them. `sitemaps` (SITEMAPS, by url) keeps what
+    earlier runs have read; a run compares fingerprints along the frontier and reads only documents (url, fingerprint, body) that are new or
+    changed, from their buckets of the store. The frontier's URLs, `most_files` at most, are held by the driver."""
+    frontier, seen, was_read = sorted(set(roots)), [], []
+    for depth in range(most_depth + 1):
+        now = {r["url"]: r["fingerprint"] for r in documents.lookup(frontier).select("url", "fingerprint").collect()}
+        before = {r["url"]: r["fingerprint"] for r in sitemaps.lookup(list(now)).select("url", "fingerprint").collect()}
+        changed = sorted(u for u in now if before.get(u) != now[u])
+        if changed:
+            rows = read_sitemaps(documents.lookup(changed), site)
+            sitemaps.upsert(rows, lambda old, new, was, has: {c: F.when(has, new(c)).otherwise(old(c)) for c in ("fingerprint", "children", "entries")}, order=["fingerprint"])
+            was_read += changed
+        seen += frontier
+        if len(seen) > most_files:
+            raise ValueError("sitemap_file_limit")
+        present = sitemaps.lookup(sorted(now))
+        children = present.select(F.explode("children").alias("url")).distinct().limit(most_files + len(seen) + 1)
+        frontier = sorted({r["url"] for r in children.collect()} - set(seen))
+        if not frontier:
+            break
+        if depth == most_depth:
+            raise ValueError("sitemap_depth_limit")
+    there = [r["url"] for r in documents.lookup(seen).select("url").collect()]
+    found = sitemaps.lookup(there).select(F.explode("entries").alias("e")).groupBy("e.canonical_url").agg(F.max("e.last_modified").alias("last_modified"))
+    if found.limit(most_candidates + 1).count() > most_candidates:
+        raise ValueError("sitemap_candidate_limit")
+    if rules is None:
+        return found.orderBy("canonical_url"), was_read
+    return allowed(found.withColumnRenamed("canonical_url", "url"), rules).withColumnRenamed("url", "canonical_url").orderBy("canonical_url"), was_read

@@ -7,10 +7,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import SEARCH_LIMIT
-from ..operators import admission, keyed_store, path_tree, payload_store, protection, publish_store, search, search_index, term_matcher, timed
+from ..config import SEARCH_LIMIT, SITE
+from ..operators import admission, discovery, keyed_store, path_tree, payload_store, protection, publish_store, search, search_index, term_matcher, timed
 from ..sources import adapters as A
-from ..storage import new_path
+from ..storage import new_path, stored
 from .more_queries import _known
 from .queries import BEFORE, NOW, SEARCH_WORD, _reader_tables, query
 
@@ -162,3 +162,57 @@ def payloads_stored(spark: SparkSession, d: str) -> DataFrame:
     store.write(fetches.where((F.col("ts") >= middle) & (F.col("ts") < F.lit(NOW))), BEFORE)
     store.expire(NOW)
     return store.read(NOW).select("fetch_id", "hash", "bytes")
+
+
+ROBOTS = f"""User-agent: *
+Disallow: {SITE.root}/de
+Allow: {SITE.root}/de/web
+Disallow: {SITE.root}/*/*/1*
+Sitemap: {SITE.origin}/index.xml
+"""
+
+
+def _sitemap_documents(pages: DataFrame, skip: int | None = None) -> DataFrame:
+    """url, fingerprint, body: an index of sitemaps, one for each language, source and 20,000 page numbers; `skip` leaves out every page with that remainder by 7."""
+    parts = F.split("path", "/")
+    one = pages.select(F.concat_ws("-", F.get(parts, F.lit(2)), F.get(parts, F.lit(3)), F.floor(F.col("page_id") / 20_000).cast("string")).alias("name"), "canonical_url", "page_id")
+    if skip is not None:
+        one = one.where(F.pmod("page_id", F.lit(7)) != skip)
+    day = F.when(F.pmod("page_id", F.lit(3)) > 0, F.concat(F.lit("<lastmod>2024-01-1"), F.pmod("page_id", F.lit(3)), F.lit("</lastmod>"))).otherwise("")
+    entry = F.concat(F.lit("<url><loc>"), "canonical_url", F.when(F.pmod("page_id", F.lit(11)) == 5, "?x=1").otherwise("/"), F.lit("</loc>"), day, F.lit("</url>"))
+    sets = one.groupBy("name").agg(F.concat_ws("", F.array_sort(F.collect_list(entry))).alias("body"))
+    sets = sets.select(F.concat(F.lit(f"{SITE.origin}/maps/"), "name", F.lit(".xml")).alias("url"), F.concat(F.lit("<urlset>"), "body", F.lit("</urlset>")).alias("body"))
+    index = sets.agg(F.concat_ws("", F.array_sort(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>"))))).alias("body"))
+    index = index.select(F.lit(f"{SITE.origin}/index.xml").alias("url"), F.concat(F.lit("<sitemapindex>"), "body", F.lit("</sitemapindex>")).alias("body"))
+    return sets.unionByName(index).select("url", F.sha2("body", 256).alias("fingerprint"), "body")
+
+
+def _rules(spark: SparkSession) -> tuple[list[str], DataFrame]:
+    robots = spark.createDataFrame([(SITE.origin, ROBOTS)], "origin string, body string")
+    return [r["sitemap"] for r in discovery.robots_sitemaps(robots).collect()], discovery.robots_rules(robots)
+
+
+@query
+def discovered_pages(spark: SparkSession, d: str) -> DataFrame:
+    roots, rules = _rules(spark)
+    documents = _sitemap_documents(A.source_pages(spark, d)).select("url", "body")
+    return discovery.discover(stored(documents), roots, rules, most_files=1_000_000, most_candidates=2_000_000_000)
+
+
+@query
+def discovered_again(spark: SparkSession, d: str) -> DataFrame:
+    """A discovery, then one over sitemaps of which some have changed; only those are read again."""
+    roots, rules = _rules(spark)
+    pages = A.source_pages(spark, d)
+    documents = keyed_store.create(_sitemap_documents(pages, skip=3), new_path(spark, "documents"), "url", buckets=16)
+    sitemaps = keyed_store.create(spark.createDataFrame([], discovery.SITEMAPS), new_path(spark, "sitemaps"), "url", buckets=16)
+    limits = {"most_files": 1_000_000, "most_candidates": 2_000_000_000}
+    discovery.discover_again(sitemaps, documents, roots, rules, **limits)
+    documents.upsert(_sitemap_documents(pages), lambda old, new, was, has: {c: F.when(has, new(c)).otherwise(old(c)) for c in ("fingerprint", "body")}, order=["fingerprint"])
+    return discovery.discover_again(sitemaps, documents, roots, rules, **limits)[0]
+
+
+@query
+def mirror_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of mirrored sitemaps; the index among them is no URL set."""
+    return discovery.mirror_entries(_sitemap_documents(A.source_pages(spark, d)).select("url", "body")).select("url", "canonical_url", "last_modified", "error")

@@ -11,6 +11,10 @@ _NODES = """parts AS (SELECT *, unnest(range(3, len(string_split(path, '/')) + 1
       nodes AS (SELECT node AS path, n - 2 AS depth, bool_or(node = path) AS is_page, bool_or(node <> path) AS has_children, max(title) FILTER (node = path) AS title, count(*) AS pages FROM cut GROUP BY node, n)"""
 _PAGES = "p AS (SELECT page_id, count(*) AS n FROM content_blocks GROUP BY page_id)"
 
+_DISCOVERED = using("source_pages", f"""
+      SELECT {_URL} AS canonical_url, CASE WHEN page_id % 3 > 0 THEN '2024-01-1' || page_id % 3 END AS last_modified FROM source_pages
+      WHERE page_id % 11 <> 5 AND NOT (starts_with(path, '/docs/de') AND NOT starts_with(path, '/docs/de/web')) AND NOT regexp_matches(path, '^/docs/.*/.*/1')""")
+
 STORED_SQL: dict[str, str] = {
     "search_indexed": _search("the", False),
     "search_indexed_rare": _search("mit license", False),
@@ -65,5 +69,11 @@ STORED_SQL: dict[str, str] = {
       SELECT event_id AS fetch_id, sha256(coalesce(html, '')) AS hash, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS bytes
       FROM events JOIN pages ON pages.page_id = user_id % (SELECT count(*) FROM pages)
       WHERE event_type IN ('error', 'view') AND ts < {_NOW} AND ts + CASE WHEN event_type = 'error' THEN INTERVAL 7 DAY ELSE INTERVAL 1 DAY END > {_NOW}""",
+    "discovered_pages": _DISCOVERED,
+    "discovered_again": _DISCOVERED,
+    "mirror_pages": using("source_pages", f"""
+      SELECT 'https://docs.example.com/maps/' || split_part(path, '/', 3) || '-' || split_part(path, '/', 4) || '-' || page_id // 20000 || '.xml' AS url, CASE WHEN page_id % 11 <> 5 THEN {_URL} END AS canonical_url,
+        CASE WHEN page_id % 3 > 0 THEN '2024-01-1' || page_id % 3 END AS last_modified, CASE WHEN page_id % 11 = 5 THEN 'query' END AS error FROM source_pages
+      UNION ALL SELECT 'https://docs.example.com/index.xml', NULL, NULL, 'invalid_mirror'"""),
     "policy_store": "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS written FROM events GROUP BY user_id",
 }
