@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import SITE, Site
+from .text import recognizable_text
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:@]+)(?::([0-9]+))?([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -76,3 +77,32 @@ def image_parts(text: Column) -> Column:
 
 def https_only(url: Column) -> Column:
     return F.when(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))) == "https", url)
+
+
+#: Content types of a page's text and HTML forms.
+TEXT_TYPES = ("text/plain", "text/markdown", "text/x-markdown", "application/markdown")
+HTML_TYPES = ("text/html", "application/xhtml+xml")
+
+
+def media_type(header: Column) -> Column:
+    """A Content-Type header's type, in lower case, without parameters."""
+    return F.lower(F.trim(F.split_part(F.coalesce(header, F.lit("")), F.lit(";"), F.lit(1))))
+
+
+def fetch_result(text: Column, html: Column) -> Column:
+    """struct(kind, format, error) of fetching a page. Both are structs (status, content_type, body): the answer for the text form, and the
+    one for the HTML form, which counts if the text form is missing, not acceptable, no text by its type, or not recognisable as a page's text."""
+    answer = lambda kind, form, error: F.struct(F.lit(kind).alias("kind"), F.lit(form).alias("format"), (F.lit(error) if isinstance(error, str) else error).cast("string").alias("error"))
+
+    def plain(part: Column, form: str) -> Column:
+        status = part["status"]
+        failed = ~status.between(200, 299)
+        return F.when(status == 304, answer("not_modified", form, F.lit(None))).when(status.isin(404, 410), answer("gone", form, F.lit(None))).when(failed, answer("failed", form, classify_status(status, F.lit(None))["result"]))
+
+    fallback = text["status"].isin(404, 406) | (text["status"].between(200, 299) & ~(media_type(text["content_type"]).isin(*TEXT_TYPES) & F.coalesce(recognizable_text(text["body"]), F.lit(False))))
+    kind = media_type(html["content_type"]).isin(*HTML_TYPES)
+    blank = F.length(F.regexp_replace(F.coalesce(html["body"], F.lit("")), r"\s+", "")) == 0
+    from_html = F.coalesce(
+        plain(html, "html"), F.when(~kind, answer("failed", "html", "content_type_invalid")).when(blank, answer("failed", "html", "content_empty")).otherwise(answer("content", "html", F.lit(None)))
+    )
+    return F.when(fallback, from_html).otherwise(F.coalesce(plain(text, "text"), answer("content", "text", F.lit(None))))

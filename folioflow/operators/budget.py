@@ -62,6 +62,21 @@ def day_totals(ledger: DataFrame) -> DataFrame:
     )
 
 
+def settle(ledger: DataFrame, reports: DataFrame) -> DataFrame:
+    """What each report (reservation_id, reported_input, reported_output) does: outcome and charge. An open reservation is settled by charge();
+    a settled one keeps its charge; a released or unknown one, or a negative report, is an error. Reports of one reservation
+    are the same."""
+    rows = reports.join(ledger.select("reservation_id", "status", "tokens", "input_tokens", "output_tokens"), "reservation_id", "left")
+    used = F.least(F.coalesce("reported_input", F.lit(0)), F.coalesce("reported_output", F.lit(0)))
+    before, now = charge(F.col("tokens"), F.col("input_tokens"), F.col("output_tokens")), charge(F.col("tokens"), F.col("reported_input"), F.col("reported_output"))
+    outcome = (
+        F.when(used < 0, "invalid_report").when(F.col("status").isNull(), "missing_reservation").when(F.col("status") == "released", "released_reservation")
+        .when(F.col("status") == "settled", "unchanged").otherwise("settled")
+    )
+    cost = F.when(outcome == "settled", now).when(outcome == "unchanged", before)
+    return rows.select("reservation_id", outcome.alias("outcome"), cost.cast("long").alias("charged"))
+
+
 def reconcile_stale(ledger: DataFrame, reserved_before: datetime, started_before: datetime) -> DataFrame:
     """The ledger with old reservations released at no cost, and requests started long ago settled in full."""
     stale = F.col("status")

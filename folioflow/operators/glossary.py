@@ -40,3 +40,20 @@ def activate(versions: DataFrame) -> DataFrame:
     """Add a version after the newest and make it the only active one."""
     added = versions.agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("version")).withColumn("active", F.lit(True))
     return versions.withColumn("active", F.lit(False)).unionByName(added)
+
+
+def active_prompt(prompts: DataFrame) -> DataFrame:
+    """The active prompt version; the newest, should there be several."""
+    return prompts.where("active").orderBy(F.col("version").desc()).limit(1)
+
+
+def create_prompt(prompts: DataFrame, new: DataFrame) -> DataFrame:
+    """prompts (version, template, active, any more) with those of `new` (number, template, any more) added in order of their numbers, each as the version
+    after the newest; the last one is the only active version. A template must hold the mark {{sourceText}}; others aren't added."""
+    good = new.where(F.contains("template", F.lit("{{sourceText}}")))
+    newest = prompts.agg(F.coalesce(F.max("version"), F.lit(0)).alias("_newest"))
+    place = F.row_number().over(Window.orderBy("number"))  # prompts are written by hand
+    added = good.crossJoin(F.broadcast(newest)).withColumn("version", F.col("_newest") + place)
+    last = added.agg(F.max("version").alias("_last"))
+    every = prompts.unionByName(added.withColumn("active", F.lit(False)).select(*prompts.columns)).crossJoin(F.broadcast(last))
+    return every.withColumn("active", F.when(F.col("_last").isNull(), F.col("active")).otherwise(F.col("version") == F.col("_last"))).drop("_last")

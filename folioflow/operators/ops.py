@@ -39,6 +39,16 @@ def expired_sessions(sessions: DataFrame, now: datetime) -> DataFrame:
     return sessions.where(F.col("expires_at") > F.lit(now))
 
 
+def sessions_after(sessions: DataFrame, deletes: DataFrame) -> DataFrame:
+    """What stays after `deletes` (kind, session_id, user_id): `session` deletes one session, `user` all of a user, `others` all of a user but that
+    session. Each kind is an anti-join."""
+    one = deletes.where("kind = 'session'").select("session_id")
+    users = deletes.where("kind = 'user'").select("user_id")
+    others = deletes.where("kind = 'others'").select(F.col("user_id").alias("_user"), F.col("session_id").alias("_kept"))
+    left = sessions.join(one, "session_id", "left_anti").join(users, "user_id", "left_anti")
+    return left.join(others, (F.col("user_id") == F.col("_user")) & (F.col("session_id") != F.col("_kept")), "left_anti")
+
+
 def glossary_history(versions: DataFrame, terms: DataFrame, limit: int = 10) -> DataFrame:
     """Newest versions with their number of terms (0 where there are none)."""
     counts = versions.join(terms.select("version", "term_id"), "version", "left").groupBy("version", "active").agg(F.count("term_id").alias("terms"))

@@ -60,30 +60,34 @@ def lease_step(lease_ms: int, most_attempts: int = 3) -> Step:
 
 
 def reservation_step(reserved_ms: int, started_ms: int) -> Step:
-    """A reservation of tokens. The state is [when it counts as stale, status, tokens]. Events are (event, tokens): reserve, start, settle
+    """A reservation of tokens. The state is [when it counts as stale, status, tokens, charge]. Events are (event, tokens): reserve, start, settle
     (with the tokens used, null if unknown), release. A reservation not started in time is released at no cost; one started and
-    not settled in time is charged in full."""
+    not settled in time is charged in full. Settling again gives the same charge."""
 
     def step(state: State, event: tuple | None, at: int) -> tuple[State, tuple]:
-        end, status, tokens = state or [None, "none", 0]
+        end, status, tokens, charged = state or [None, "none", 0, 0]
         if event is None:
             started = status == "request_started"
-            return [None, "settled" if started else "released", tokens], ("settled_stale" if started else "released_stale", tokens if started else 0)
+            cost = tokens if started else 0
+            return [None, "settled" if started else "released", tokens, cost], ("settled_stale" if started else "released_stale", cost)
         kind, amount = event
+        same = [end, status, tokens, charged]
         if kind == "reserve":
             if status != "none" or amount is None:
-                return [end, status, tokens], ("ignored", 0)
-            return [at + reserved_ms, "reserved", amount], ("reserved", 0)
+                return same, ("ignored", 0)
+            return [at + reserved_ms, "reserved", amount, 0], ("reserved", 0)
         if kind == "start":
             if status == "reserved":
-                return [at + started_ms, "request_started", tokens], ("request_started", 0)
-            return [end, status, tokens], ("error" if status in ("none", "released") else "unchanged", 0)
-        if kind == "settle" and status == "request_started":
+                return [at + started_ms, "request_started", tokens, 0], ("request_started", 0)
+            return same, ("error" if status in ("none", "released") else "unchanged", 0)
+        if kind == "settle" and status == "settled":
+            return same, ("unchanged", charged)
+        if kind == "settle" and status in ("reserved", "request_started"):
             cost = tokens if amount is None else min(tokens, amount)
-            return [None, "settled", tokens], ("settled", cost)
+            return [None, "settled", tokens, cost], ("settled", cost)
         if kind == "release" and status == "reserved":
-            return [None, "released", tokens], ("released", 0)
-        return [end, status, tokens], ("error", 0)
+            return [None, "released", tokens, 0], ("released", 0)
+        return same, ("error", 0)
 
     return step
 

@@ -29,6 +29,15 @@ def resolve(blocks: DataFrame, corrections: DataFrame, memory: DataFrame) -> Dat
     return rows.select("block_id", origin.alias("origin"), F.coalesce("_own", "_global", "_memory").alias("text"))
 
 
+def current_blocks(pages: DataFrame, blocks: DataFrame, states: DataFrame, *, block_id: int | None = None, path: str | None = None) -> DataFrame:
+    """Translatable blocks of pages' current versions with the state of their translation, in order of path and place; of one block or one
+    page if given."""
+    some = blocks.where(F.col("translatable") & (F.lit(True) if block_id is None else F.col("block_id") == block_id))
+    of = pages if path is None else pages.where(F.col("path") == path)
+    rows = some.join(of.select("page_id", "path", F.col("current_version").alias("version")), ["page_id", "version"])
+    return rows.join(states.select("block_id", "status", "current_revision_id"), "block_id", "left").select("path", "ordinal", "block_id", "fingerprint", "status", "current_revision_id").orderBy("path", "ordinal")
+
+
 def correction_history(blocks: DataFrame, corrections: DataFrame) -> DataFrame:
     """Corrections that concern each block, newest first: its own and the global ones of its fingerprint.
     Two equi-joins instead of a join on either."""

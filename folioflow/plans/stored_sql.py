@@ -56,7 +56,7 @@ STORED_SQL: dict[str, str] = {
       UNION ALL SELECT i, t + 1800000, NULL, 'released_stale', 0 FROM f WHERE NOT started
       UNION ALL SELECT i, t + k, i * 3 + 1, CASE WHEN started THEN 'request_started' ELSE 'error' END, 0 FROM f WHERE starts
       UNION ALL SELECT i, t + k + 300000, NULL, 'settled_stale', tokens FROM f WHERE started AND NOT settled
-      UNION ALL SELECT i, t + k + s, i * 3 + 2, CASE WHEN settled THEN 'settled' ELSE 'error' END, CASE WHEN settled THEN least(tokens, coalesce(used, tokens)) ELSE 0 END FROM f WHERE settles""",
+      UNION ALL SELECT i, t + k + s, i * 3 + 2, CASE WHEN settled THEN 'settled' WHEN started THEN 'unchanged' ELSE 'error' END, CASE WHEN settled THEN least(tokens, coalesce(used, tokens)) WHEN started THEN tokens ELSE 0 END FROM f WHERE settles""",
     "navigation_all": using("source_pages", f"""
       WITH {_NODES}
       SELECT regexp_replace(path, '/[^/]*$', '') AS parent, path, CASE depth WHEN 1 THEN (SELECT label FROM (VALUES ('en', 'English'), ('de', 'German'), ('fr', 'French'), ('es', 'Spanish')) v(s, label) WHERE s = segment)

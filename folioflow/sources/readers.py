@@ -36,7 +36,19 @@ def text_resources(spark: SparkSession, path: str, *, most_bytes: int = 8 << 20,
     """RESOURCE rows, one for each file under `path`. A file over `most_bytes`, packed or unpacked, or one that isn't UTF-8,
     has an error and no body. Files too large even packed aren't read, empty ones are passed over. With gzip off
     a packed file is no text."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return _resources(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), most_bytes, gzip)
+
+
+def text_resource_stream(spark: SparkSession, path: str, *, most_bytes: int = 8 << 20, gzip: bool = True, files_at_once: int = 1000, bytes_at_once: int | None = None) -> DataFrame:
+    """The rows of text_resources() as a stream over a growing folder: Spark's file source keeps which files it has given, and a micro-batch
+    takes files_at_once files, or bytes_at_once bytes, at most. It is Spark's own source, so it reads every store that Spark reads."""
+    limit = ("maxFilesPerTrigger", files_at_once) if bytes_at_once is None else ("maxBytesPerTrigger", bytes_at_once)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option(*limit).load(path)
+    return _resources(files, most_bytes, gzip)
+
+
+def _resources(files: DataFrame, most_bytes: int, gzip: bool) -> DataFrame:
     small = files.where(F.col("length") <= most_bytes).select("path", "content")
     large = files.where(F.col("length") > most_bytes).select("path", F.lit(None).cast("string").alias("body"), F.lit("body_too_large").alias("error"))
 

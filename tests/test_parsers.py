@@ -7,7 +7,7 @@ import pytest
 
 from folioflow.functions.canonical import canonical_json
 from folioflow.operators import parse_markdown as M
-from folioflow.sources.readers import bounded, text_resources, unpacked
+from folioflow.sources.readers import bounded, text_resource_stream, text_resources, unpacked
 
 PAGE = """---
 layout: wide
@@ -111,3 +111,21 @@ def test_resources(spark, tmp_path):
     assert unpacked(gzip.compress(b"x" * 10), 10) == (b"x" * 10, None)
     rows = bounded(spark.createDataFrame([("ü",), ("abc",), (None,)], "body string"), most_bytes=2).collect()
     assert [(r.body, r.error) for r in rows] == [("ü", None), (None, "body_too_large"), (None, None)]
+
+
+def test_text_resource_stream(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write = lambda name, body: (folder / name).write_bytes(body)
+    write("a.txt", b"alpha"), write("b.txt.gz", gzip.compress(b"beta")), write("big.txt", b"x" * 2000), write("bad.txt", b"\xff\xfe\x00")
+
+    def run():
+        stream = text_resource_stream(spark, str(folder), most_bytes=1000, files_at_once=2)
+        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        assert q.awaitTermination(120) and q.exception() is None
+        return {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    assert run() == {tuple(r) for r in text_resources(spark, str(folder), most_bytes=1000).collect()}
+    write("later.txt", b"later")
+    found = run()
+    assert found == {tuple(r) for r in text_resources(spark, str(folder), most_bytes=1000).collect()} and len(found) == 5

@@ -63,7 +63,7 @@ def test_leases_in_batch(spark, lease_ms):
 
 def test_reservations_in_batch(spark):
     rows = [(1, 0, 0, "reserve", 30, 0), (1, 50, 1, "start", None, 0), (1, 60, 2, "settle", 12, 0), (2, 0, 3, "reserve", 30, 0), (2, 200, 4, "start", None, 0), (3, 0, 5, "reserve", 30, 0), (3, 90, 6, "start", None, 0),
-            (4, 5, 7, "settle", 1, 0), (5, 0, 8, "reserve", 9, 0), (5, 1, 9, "reserve", 9, 0), (5, 2, 10, "release", None, 0), (6, 0, 11, "reserve", 9, 0), (6, 1, 12, "start", None, 0), (6, 2, 13, "settle", None, 0)]
+            (4, 5, 7, "settle", 1, 0), (5, 0, 8, "reserve", 9, 0), (5, 1, 9, "reserve", 9, 0), (5, 2, 10, "release", None, 0), (6, 0, 11, "reserve", 9, 0), (6, 1, 12, "start", None, 0), (6, 2, 13, "settle", None, 0), (6, 3, 14, "settle", 1, 0), (7, 0, 15, "reserve", 9, 0), (7, 1, 16, "settle", 4, 0), (7, 2, 17, "release", None, 0)]
     found = timed_scan(spark.createDataFrame(rows, TOKENS), "reservation_id", ["event", "tokens"], reservation_step(100, 300), 1000).collect()
     by = {}
     for r in sorted(found, key=lambda r: (r[0], r[1], r[2] or -1)):
@@ -71,7 +71,7 @@ def test_reservations_in_batch(spark):
     assert by == {
         1: [(0, "reserved", 0), (50, "request_started", 0), (60, "settled", 12)], 2: [(0, "reserved", 0), (100, "released_stale", 0), (200, "error", 0)],
         3: [(0, "reserved", 0), (90, "request_started", 0), (390, "settled_stale", 30)], 4: [(5, "error", 0)], 5: [(0, "reserved", 0), (1, "ignored", 0), (2, "released", 0)],
-        6: [(0, "reserved", 0), (1, "request_started", 0), (2, "settled", 9)],
+        6: [(0, "reserved", 0), (1, "request_started", 0), (2, "settled", 9), (3, "unchanged", 9)], 7: [(0, "reserved", 0), (1, "settled", 4), (2, "error", 0)],
     }
 
 
