@@ -4,10 +4,12 @@ A page becomes a sequence of blocks. A logistic classifier, trained on the pages
 composes, gives each block its log-odds of being main text; they become capacities to the content or
 boilerplate terminal. Its features are the block's own text, its neighbours' and its container's, and the
 nearest element around it that says anything by tag or name, so that a telling name far outside doesn't
-overrule an article within. Neighbouring blocks, and blocks near in the element tree, are joined by
+overrule an article within. An element that seems to be boilerplate but holds most of the page's text, beside which there is nothing
+that looks like an article, is a wrapper (a page in one form, say) and says nothing. Neighbouring blocks, and blocks near in the element tree, are joined by
 smoothness edges, and the minimum cut labels all blocks at once. Blocks whose terminal outweighs all their
 open edges are settled first (their label is the same in every minimum cut); max-flow in phases of
-shortest paths decides the rest.
+shortest paths decides the rest. Where a cut leaves little of what stands directly in an article or main element, as of a
+list of links or a single sentence, those blocks are tied to the content terminal and the page is cut again.
 
 Each page is handled in its row: nothing is shuffled. Defined results: null or textless pages give
 an empty text; a page without markup is one block, kept or not like any other; repeated rows give
@@ -60,6 +62,13 @@ _NAME = re.compile(r"[^\s]+")
 _WORD = re.compile(r"[a-z]+")
 SIGNALS = ("none", "article", "main", "good", "mixed", "bad", "nav", "aside", "header", "header_in_article", "footer", "form")
 _TAGS = {"article": "article", "main": "main", "nav": "nav", "menu": "nav", "aside": "aside", "footer": "footer", "form": "form", "fieldset": "form", "header": "header"}
+#: What a role says instead of a tag; a role that isn't here says nothing.
+_ROLES = {
+    "article": "article", "main": "main", "navigation": "nav", "menu": "nav", "menubar": "nav", "complementary": "aside", "banner": "header", "contentinfo": "footer", "form": "form", "search": "form",
+    "alert": "bad", "alertdialog": "bad", "dialog": "bad", "status": "bad", "toolbar": "bad",
+}
+_MAY_WRAP = frozenset(("bad", "mixed", "form", "aside", "header"))
+_CONTENT = frozenset(("article", "main", "good"))
 FEATURES = (
     "bias", *[f"nearest_{s}" for s in SIGNALS], "in_article", "in_boilerplate", "link_share", "long", "paragraph", "heading", "item", "sentence", "near_links", "near_long",
     "container_links", "container_long",
@@ -85,9 +94,10 @@ class _Open(NamedTuple):
     in_article: bool
     in_boilerplate: bool
     keep: bool
+    may_wrap: int  # the nearest open element that looks like boilerplate and may be a wrapper; 0: none
 
 
-_ROOT = _Open("", 0, "none", False, False, False)
+_ROOT = _Open("", 0, "none", False, False, False, 0)
 
 
 def named(names: str) -> str:
@@ -105,8 +115,10 @@ class _Blocks(HTMLParser):
     """Collects blocks; tolerates what browsers do: implied ends, stray and missing end tags. What is known of
     the elements around is carried from each to the next, so depth costs nothing."""
 
-    def __init__(self) -> None:
+    def __init__(self, wrappers: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.wrappers = wrappers  # numbers of elements that are known to be wrappers
+        self.around: dict[int, int] = {}  # of each element that may be one, the next further out
         self.stack: list[_Open] = []
         self.levels: list[tuple[int, str]] = [(0, "")]  # number and tag of the open block elements
         self.open: Counter[str] = Counter()
@@ -167,21 +179,28 @@ class _Blocks(HTMLParser):
             return
         self.count += 1
         around = self.stack[-1] if self.stack else _ROOT
-        signal = _TAGS.get(tag, "none")
+        roles = [_ROLES[r] for k, v in attrs if k == "role" and v for r in v.lower().split() if r in _ROLES]
+        signal = _TAGS.get(tag) or (roles[0] if roles else "none")
         if signal == "none" and tag not in ("body", "html"):
-            signal = named(" ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label")))
+            signal = named(" ".join(v for k, v in attrs if v and k in ("class", "id", "aria-label")))
         elif signal == "article" and named(" ".join(v for k, v in attrs if v and k in ("class", "id"))) == "bad":
             signal = "bad"  # a comment or teaser marked up as an article
         if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
             signal = "bad"
         if signal == "header" and around.in_article:
             signal = "header_in_article"
+        if self.count in self.wrappers:
+            signal = "none"
+        may_wrap = around.may_wrap
+        if signal in _MAY_WRAP:
+            self.around[self.count] = may_wrap
+            may_wrap = self.count
         boilerplate = signal in ("bad", "nav", "aside", "footer", "form", "header")
         in_article = (around.in_article and not boilerplate) or signal in ("article", "main")
         self.stack.append(
             _Open(
                 tag, self.count, around.signal if signal == "none" else signal, in_article,
-                False if signal in ("article", "main") else around.in_boilerplate or boilerplate, around.keep or ("data-keep", "1") in attrs,
+                False if signal in ("article", "main") else around.in_boilerplate or boilerplate, around.keep or ("data-keep", "1") in attrs, may_wrap,
             )
         )
         self.open[tag] += 1
@@ -210,11 +229,46 @@ class _Blocks(HTMLParser):
                 self.linked += len(data)
 
 
-def blocks(html: str | None) -> list[Block]:
-    parser = _Blocks()
-    parser.feed(html or "")
+def _parsed(html: str, wrappers: frozenset[int]) -> _Blocks:
+    parser = _Blocks(wrappers)
+    parser.feed(html)
     parser.close()
     parser.flush()
+    return parser
+
+
+def _wrapper(parser: _Blocks, share: float = 0.6, most_beside: float = 0.05) -> int:
+    """The outermost element that looks like boilerplate but is a wrapper: it holds `share` of the page's plain text and a heading or something that looks
+    like an article, and next to nothing that looks like one stands beside it. 0 if there is none."""
+    plain: Counter[int] = Counter()
+    content: Counter[int] = Counter()
+    headed: set[int] = set()
+    total = in_content = 0.0
+    for text, _, _, _, _, tag, top, links in parser.found:
+        size = len(text) * (1 - links)
+        total += size
+        plain[top.may_wrap] += size
+        if top.signal in _CONTENT:
+            in_content += size
+            content[top.may_wrap] += size
+        if tag in ("h1", "h2", "h3") or top.signal in _CONTENT:
+            headed.add(top.may_wrap)
+    for number in sorted(parser.around, reverse=True):  # inner elements have larger numbers
+        outer = parser.around[number]
+        if outer:
+            plain[outer] += plain[number]
+            content[outer] += content[number]
+            if number in headed:
+                headed.add(outer)
+    return next((n for n in sorted(parser.around) if total and n in headed and plain[n] >= share * total and in_content - content[n] <= most_beside * total), 0)
+
+
+def blocks(html: str | None, most_wrappers: int = 4) -> list[Block]:
+    wrappers: frozenset[int] = frozenset()
+    parser = _parsed(html or "", wrappers)
+    while len(wrappers) < most_wrappers and (number := _wrapper(parser)):
+        wrappers |= {number}
+        parser = _parsed(html or "", wrappers)
     found = parser.found
     size: Counter[int] = Counter()
     linked: Counter[int] = Counter()
@@ -337,10 +391,22 @@ def _flow_side(near: dict[int, dict[int, float]], z: list[float], least: float =
                     left[path[-1]].pop()
 
 
-def label_blocks(page: list[Block], w: tuple[float, ...] | None = None) -> list[bool]:
+_IN_ARTICLE = tuple(FEATURES.index(f"nearest_{s}") for s in ("article", "main"))
+
+
+def label_blocks(page: list[Block], w: tuple[float, ...] | None = None, least: float = 0.3) -> list[bool]:
+    """Labels of the minimum cut. Where less than `least` of the text that stands directly in article or main elements is kept, its blocks
+    are tied to the content terminal."""
     w = w or weights()
     odds = [sum(a * b for a, b in zip(w, x.features, strict=True)) for x in page]
-    return minimum_cut(odds, smoothness(page))
+    edges = smoothness(page)
+    labels = minimum_cut(odds, edges)
+    own = [i for i, x in enumerate(page) if any(x.features[f] for f in _IN_ARTICLE)]
+    if sum(len(page[i].text) for i in own if labels[i]) < least * sum(len(page[i].text) for i in own):
+        for i in own:
+            odds[i] = 1e6
+        labels = minimum_cut(odds, edges)
+    return labels
 
 
 def main_text(html: str | None, w: tuple[float, ...] | None = None) -> str:

@@ -57,6 +57,37 @@ SHAPES = {
     "article of quotes": f"{MENU}[[<article><h1>Voices</h1><blockquote>{P[2]}</blockquote><p>{P[0]}</p><blockquote>{P[1]}</blockquote></article>]]{FOOT}",
 }
 
+LINKS = "".join(f"<li><a href='/{k}'>{k} of the coast</a></li>" for k in ("Lamps", "Boats", "Bells", "Fog horns", "Piers"))
+THREAD = "".join(f"<li><p>{x}</p></li>" for x in ("Lovely piece, my uncle was a keeper too.", "The museum is closed on Mondays, by the way.", "I went last year and liked it."))
+
+#: Written before the wrappers, roles and short articles were handled.
+SHAPES |= {
+    "page in a form": f"<form action='/' method='post'>{MENU}[[<div class='content'>{A}</div>]]{FOOT}</form>",
+    "page in a form, unknown names": f"<form id='aspnetForm'><div class='w1'>{MENU}</div><div class='w2'>[[{A}]]</div></form>{FOOT}",
+    "page in a form with an article": f"<form>{MENU}[[<article>{A}</article>]]</form>",
+    "search form beside": f"<form role='search'><p>Search the site</p></form>[[<div class='c9'>{A}</div>]]{FOOT}",
+    "one sentence": f"<header><a href='/'>The Bay</a></header>[[<article><p>Closed today.</p></article>]]{FOOT}",
+    "one sentence in main": f"{MENU}[[<main><p>No boats until Monday.</p></main>]]{FOOT}",
+    "list of links": f"{MENU}[[<article><h1>Links</h1><ul>{LINKS}</ul></article>]]{FOOT}",
+    "list of links in main": f"{MENU}[[<main><h1>Index</h1><ol>{LINKS}</ol></main>]]{FOOT}",
+    "section with bad names": f"{MENU}[[<section class='tags related-form'>{A}</section>]]{FOOT}",
+    "div with bad names": f"{MENU}[[<div class='promo-article'>{A}</div>]]{FOOT}",
+    "all in a widget": f"<div class='widget'>{MENU}[[<div class='x1'>{A}</div>]]{FOOT}</div>",
+    "all in a modal": f"<div class='modal'><div class='y'>[[{A}]]</div></div>{FOOT}",
+    "aside around the article": f"<aside>{MENU}[[<div class='story'>{A}</div>]]</aside>",
+    "role main": f"{MENU}[[<div role='main'>{A}</div>]]{FOOT}",
+    "role article": f"{MENU}[[<div role='article'>{A}</div>]]{FOOT}",
+    "role contentinfo": f"[[<article>{A}</article>]]<div role='contentinfo'><p>The Bay, a paper of the coast since 1890.</p></div>",
+    "role navigation": f"<div role='navigation'><p>Start, boats, coast and more</p></div>[[<article>{A}</article>]]",
+    "role complementary": f"[[<main>{A}</main>]]<div role='complementary'><p>Lamps of the world, a series in six parts.</p></div>",
+    "role banner": f"<div role='banner'><p>The Bay, a paper of the coast.</p></div>[[<div class='post'>{A}</div>]]",
+    "role presentation": f"{MENU}[[<div role='presentation' class='k2'>{A}</div>]]{FOOT}",
+    "thread of comments": f"[[<article>{A}</article>]]<ul class='thread'>{THREAD}</ul>{FOOT}",
+    "comments longer than the article": f"{MENU}[[<article><h1>Keepers</h1><p>{P[0]}</p></article>]]<div class='comments'><h3>Comments</h3>{DISCUSS * 6}</div>{FOOT}",
+    "comments longer than a plain article": f"{MENU}[[<div class='post'><h1>Keepers</h1><p>{P[0]}</p><p>{P[1]}</p></div>]]<section id='comments'><h3>Comments</h3>{DISCUSS * 6}</section>",
+    "cookie notice longer than the article": f"<div class='cookie-consent'>{''.join(f'<p>We keep cookies of kind {k} to measure how often the pages of this site are read.</p>' for k in range(6))}</div>[[<article><p>{P[0]}</p></article>]]",
+}
+
 
 def both(shape):
     """The page, and the text between its marks."""
