@@ -73,8 +73,10 @@ def daily_refreshes(pages: DataFrame, day: str) -> DataFrame:
     )
 
 
-def maintenance(spark, day: str) -> DataFrame:
-    return spark.createDataFrame([(t, f"{t}:{day}") for t in ("discover", "cleanup")], "type string, dedupe_key string")
+def maintenance(days: DataFrame) -> DataFrame:
+    """type, dedupe_key of the jobs that each `day` has once: a discovery and a cleanup."""
+    kinds = F.explode(F.array(F.lit("discover"), F.lit("cleanup"))).alias("type")
+    return days.select("day").distinct().select("day", kinds).select("type", F.concat_ws(":", "type", F.col("day").cast("string")).alias("dedupe_key"))
 
 
 def discovery_jobs(discovered: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,17 +103,17 @@ def protect_blocks(blocks: DataFrame, terms: list[str], spans_col: str | None =
     spans = F.col(spans_col) if spans_col else F.array().cast("array<struct<start:int,end:int>>")
     rows = blocks.select("block_id", "block_type", "source_text", spans.alias("spans"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             done = []
-            for kind, text, own in zip(pdf["block_type"], pdf["source_text"], pdf["spans"], strict=True):
+            for kind, text, own in zip(*(batch.column(c).to_pylist() for c in ("block_type", "source_text", "spans")), strict=True):
                 if kind == "code" or text is None:
                     done.append(not_translatable())
                 else:
                     done.append(protect(text, [(s["start"], s["end"]) for s in own], known))
-            yield pd.DataFrame({"block_id": pdf["block_id"], "protected": done})
+            yield pa.RecordBatch.from_arrays([batch.column("block_id"), pa.array(done, PLACEHOLDER_TYPE)], names=["block_id", "protected"])
 
-    return rows.mapInPandas(run, f"block_id long, protected {PROTECTED}")
+    return rows.mapInArrow(run, f"block_id long, protected {PROTECTED}")
 
 
 def restore_error(translated: Column, tokens: Column) -> Column:

@@ -180,7 +180,7 @@ def discovery_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def maintenance_jobs(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.maintenance(spark, "2024-01-15")
+    return jobs.maintenance(_events(spark, d).select(F.to_date("ts").alias("day")))
 
 
 @query

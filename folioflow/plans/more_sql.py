@@ -60,7 +60,7 @@ MORE_SQL: dict[str, str] = {
       SELECT t.block_id, CASE WHEN page_id % 2 = 0 AND page_id % 6 <> 0 AND t.current_revision_id IS NULL THEN CASE WHEN page_id % 4 = 0 THEN 'oversized' ELSE 'failed' END ELSE t.status END AS status,
         t.current_revision_id, CASE WHEN page_id % 2 = 0 AND page_id % 6 <> 0 THEN 'timeout' END AS error FROM block_translations t JOIN content_blocks USING (block_id)"""),
     "discovery_jobs": using("source_pages", f"SELECT {_URL} AS canonical_url, 'fetch:' || {_URL} AS dedupe_key, CASE WHEN page_id % 2 = 0 THEN 20 ELSE 10 END AS priority FROM source_pages"),
-    "maintenance_jobs": "SELECT * FROM (VALUES ('discover', 'discover:2024-01-15'), ('cleanup', 'cleanup:2024-01-15')) t(type, dedupe_key)",
+    "maintenance_jobs": "SELECT DISTINCT k AS type, k || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) AS dedupe_key FROM events, (VALUES ('discover'), ('cleanup')) t(k)",
     "page_requests": using("source_pages", "SELECT page_id, 100 AS priority FROM source_pages WHERE page_id % 3 = 0 OR page_id % 2 <> 0"),
     "retry_plans": f"""
       WITH {_CALLS}, t AS (SELECT *, count(*) FILTER (provider = 'primary') OVER (PARTITION BY job_id ORDER BY call) AS n FROM calls), a AS (
