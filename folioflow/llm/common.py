@@ -7,6 +7,7 @@ import string
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -98,6 +99,19 @@ def stored(df: DataFrame, kind: str = "table") -> DataFrame:
     return write_table(df, kind)[0]
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """For an action that writes a table: Spark deletes the files of its shuffles when it has ended, not when the driver happens to
+    collect its garbage. The session's setting is put back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table of write_table() that nothing reads any more."""
     _WRITTEN.remove(path)

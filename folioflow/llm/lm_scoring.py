@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, small_batches, stored, text_chunks
+from .common import brief_shuffles, lower_words, small_batches, stored, text_chunks
 
 BEGIN, END = b" begin", b" end"  # no word holds a space
 MOST_TASKS = 50_000
@@ -351,7 +351,8 @@ def lm_scores(
     # parts are numbered, so that tasks get equal numbers of them, which a hash wouldn't give
     tasks = min(max(1, n_blocks), MOST_TASKS)
     last = levels[-1].withColumn("task", F.pmod("part", F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("task"))
-    replies = stored(last.groupBy("task", "part").applyInArrow(answer, reply_type), "lm-replies")
+    with brief_shuffles(docs.sparkSession):  # the requests are the largest part of what is exchanged
+        replies = stored(last.groupBy("task", "part").applyInArrow(answer, reply_type), "lm-replies")
     v = replies.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
     for held in reversed(levels[:-1]):
         above = replies.select(F.expr(f"part div {fan}").alias("_part"), F.col("unit").alias("_group"), "part", "reply")
