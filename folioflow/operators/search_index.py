@@ -23,12 +23,14 @@ have no trigrams. Case is folded by lower(), as ILIKE folds it.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from ..functions.text import normalize_query
 from ..storage import bucket, stored
@@ -39,6 +41,9 @@ _ENCODING = {"parquet.writer.version": "v2", "parquet.enable.dictionary#ids.list
 
 
 LISTS = "trigram string, run long, n int, ids array<long>, bucket int"
+PART = StructType().add("trigram", "string").add("run", "long").add("ids", ArrayType(LongType(), containsNull=False))
+#: Characters that a task takes at once, but for a single longer text.
+BATCH_CHARS = 1 << 22
 
 
 def query_trigrams(query: str) -> list[str]:
@@ -46,16 +51,47 @@ def query_trigrams(query: str) -> list[str]:
     return sorted({low[i : i + 3] for i in range(len(low) - 2)})
 
 
-def _trigrams(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: list({t[i : i + 3] for i in range(len(t) - 2)}) if t else [])
+def _lists_of(pages: np.ndarray, texts: list[str], run_pages: int) -> Iterator[pa.RecordBatch]:
+    """trigram, run, ids: the pages of some texts, of three characters or more, that hold each trigram, each once and ascending."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = np.unique(points)
+    ids, page = np.unique(pages, return_inverse=True)
+    n, base = len(ids), len(letters)
+    if len(texts) > 1 and (base**3 * n >= 1 << 63 or len(points) > BATCH_CHARS):
+        half = len(texts) // 2
+        yield from _lists_of(pages[:half], texts[:half], run_pages)
+        yield from _lists_of(pages[half:], texts[half:], run_pages)
+        return
+    place = np.zeros(int(letters[-1]) + 1, np.int64)
+    place[letters] = np.arange(base)
+    p = place[points]
+    sizes = np.array([len(t) for t in texts])
+    whole = np.ones(len(p) - 2, bool)  # places of trigrams that lie in one text
+    ends = np.cumsum(sizes)[:-1]
+    whole[ends - 2] = whole[ends - 1] = False
+    pairs = ((p[:-2] * base + p[1:-1]) * base + p[2:]) * n + np.repeat(page, sizes)[:-2]
+    trigram, at = np.divmod(np.unique(pairs[whole]), n)
+    run = ids[at] // run_pages
+    starts = np.flatnonzero(np.concatenate([[True], (trigram[1:] != trigram[:-1]) | (run[1:] != run[:-1])]))
+    codes = trigram[starts]
+    of = [chr(c) for c in letters.tolist()]
+    names = [of[a] + of[b] + of[c] for a, b, c in zip((codes // base**2).tolist(), (codes // base % base).tolist(), (codes % base).tolist(), strict=True)]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), pa.array(ids[at], pa.int64()))
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(run[starts], pa.int64()), lists], names=PART.names)
 
 
 def _postings(texts: DataFrame, run_pages: int, buckets: int) -> DataFrame:
-    """texts (page_id, text) -> trigram, run, n, ids, bucket."""
-    trigrams = F.pandas_udf(_trigrams, ArrayType(StringType()))
-    pairs = texts.where(F.length("text") >= 3).select("page_id", F.explode(trigrams(F.lower("text"))).alias("trigram"))
-    run = F.floor(F.col("page_id") / run_pages).alias("run")
-    lists = pairs.groupBy("trigram", run).agg(F.array_sort(F.collect_set("page_id")).alias("ids"))  # run_pages ids at most
+    """texts (page_id, text) -> trigram, run, n, ids, bucket. A batch of rows gives each of its trigrams once for a run, with all of its pages;
+    what is shuffled and merged are these lists and not single trigrams."""
+
+    def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _lists_of(batch.column("page_id").to_numpy(zero_copy_only=False), batch.column("text").to_pylist(), run_pages)
+
+    low = texts.select(F.col("page_id").cast("long").alias("page_id"), F.lower("text").alias("text")).where(F.length("text") >= 3)
+    parts = low.mapInArrow(lists_of, PART)
+    lists = parts.groupBy("trigram", "run").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))  # run_pages ids at most
     return lists.select("trigram", "run", F.size("ids").alias("n"), "ids", bucket("trigram", buckets).alias("bucket"))
 
 
@@ -80,7 +116,7 @@ def write_index(rows: DataFrame, path: str, *, buckets: int = 64, run_pages: int
     runs = (most // run_pages - least // run_pages + 1) if most is not None else 1
     part_pages = run_pages * -(-runs // most_parts)
     entries = rows.withColumn("part", F.floor(F.col("page_id") / part_pages))
-    entries.repartition("part", bucket("page_id", 16)).sortWithinPartitions("part", "page_id").write.partitionBy("part").parquet(f"{path}/entries")
+    entries.repartition("part", bucket("page_id", 4)).sortWithinPartitions("part", "page_id").write.partitionBy("part").parquet(f"{path}/entries")
     # the tables of lists are made from what is stored, so both read the same rows
     held = spark.read.schema(entries.schema).parquet(f"{path}/entries")
     by_page = held.select("page_id", "title", "path").distinct()
