@@ -6,6 +6,7 @@ Prose folds spaces, tabs and line ends. Lengths count code points.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,10 +26,20 @@ def normalize_line_endings(text: Column | str) -> Column:
     return F.regexp_replace(_c(text), r"\r\n?", "\n")
 
 
+def bound(value: Column | str, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once for a row however often `use` names it."""
+    return F.get(F.transform(F.array(_c(value)), use), F.lit(0))
+
+
 def normalize_prose(text: Column | str) -> Column:
-    """One space for each run of spaces, tabs and line ends; white space of any kind cut at the ends."""
-    one = F.regexp_replace(F.regexp_replace(normalize_line_endings(text), "[ \\t]+", " "), " *\\n+ *", " ")
-    return F.regexp_replace(one, f"^{ENDS}+|{ENDS}+$", "")
+    """One space for each run of spaces, tabs and line ends; white space of any kind cut at the ends. Patterns run only
+    over texts that hold what they replace."""
+    holds = lambda t, *marks: F.greatest(*[F.contains(t, F.lit(m)) for m in marks]) if len(marks) > 1 else F.contains(t, F.lit(marks[0]))
+    replaced = lambda t, marks, pattern, by: F.when(holds(t, *marks), F.regexp_replace(t, pattern, by)).otherwise(t)
+    cut = lambda t: F.when(F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(2))).rlike(ENDS), F.regexp_replace(t, f"^{ENDS}+|{ENDS}+$", "")).otherwise(t)
+    spaces = lambda t: bound(replaced(t, ("\t", "  "), "[ \\t]+", " "), lines)
+    lines = lambda t: bound(replaced(t, ("\n",), " *\\n+ *", " "), cut)
+    return bound(text, lambda t: bound(replaced(t, ("\r",), r"\r\n?", "\n"), spaces))
 
 
 def normalize_multiline(text: Column | str) -> Column:
@@ -62,8 +73,7 @@ def candidate_limit(limit: float) -> int:
 
 def json_text(value: Column | str) -> Column:
     """A string as JSON."""
-    whole = F.to_json(F.struct(_c(value).alias("v")))
-    return F.substring(whole, 6, F.length(whole) - 6)
+    return bound(F.to_json(F.struct(_c(value).alias("v"))), lambda whole: F.substring(whole, F.lit(6), F.length(whole) - 6))
 
 
 def block_fingerprint(block_type: Column | str, text: Column | str, payload: Column | str) -> Column:

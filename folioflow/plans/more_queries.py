@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions import url as U
 from ..operators import budget, jobs, navigation, ops, parse, parse_markdown, protection, publish, reader, translation
 from ..sources import adapters as A
+from ..storage import stored
 from .queries import BEFORE, NOW, query
 
 _STATUSES = (200, 304, 404, 410, 429, 500, 503, 403, 302)
@@ -89,7 +90,7 @@ def _corrections(spark: SparkSession, d: str, blocks: DataFrame) -> DataFrame:
 
 @query
 def correction_history(spark: SparkSession, d: str) -> DataFrame:
-    blocks = A.content_blocks(spark, d)
+    blocks = stored(A.content_blocks(spark, d).select("block_id", "fingerprint"), "blocks")  # fingerprints once, not in each join and in its filters
     return translation.correction_history(blocks, _corrections(spark, d, blocks)).select("target_id", "id", "scope", "place")
 
 
