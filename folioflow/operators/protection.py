@@ -8,17 +8,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 PLACEHOLDER = "⟦P[0-9]{4,}⟧"
-_WORD = re.compile(r"\w")
 PROTECTED = "struct<text:string,error:string,tokens:array<struct<placeholder:string,value:string,start:int,end:int>>>"
 
 
-PLACEHOLDER_TYPE = pa.struct([("text", pa.string()), ("error", pa.string()), ("tokens", pa.list_(pa.struct([("placeholder", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
+TOKEN_TYPE = pa.struct([("placeholder", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+PLACEHOLDER_TYPE = pa.struct([("text", pa.string()), ("error", pa.string()), ("tokens", pa.list_(TOKEN_TYPE))])
 
 
 def nested_out(spans: list[tuple[int, int]], length: int) -> tuple[list[tuple[int, int]], str | None]:
@@ -42,9 +45,13 @@ def same_length_lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
 
 
+def _in_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
 def inside_word(text: str, start: int, end: int) -> bool:
     """Whether a place's first or last letter goes on in a word outside it."""
-    return bool((_WORD.match(text[start]) and start and _WORD.match(text[start - 1])) or (_WORD.match(text[end - 1]) and end < len(text) and _WORD.match(text[end])))
+    return (start > 0 and _in_word(text[start - 1]) and _in_word(text[start])) or (end < len(text) and _in_word(text[end]) and _in_word(text[end - 1]))
 
 
 def term_list(terms: list[str]) -> list[str]:
@@ -83,12 +90,13 @@ def protect_at(text: str, spans: list[tuple[int, int]], find: Callable[[list[tup
     locked, error = nested_out(spans, len(text))
     if error:
         return {"text": None, "error": error, "tokens": []}
-    held = locked + [m.span() for m in re.finditer(PLACEHOLDER, text) if not any(m.start() < b and a < m.end() for a, b in locked)]
+    marked = "⟦P" in text
+    held = locked + [m.span() for m in re.finditer(PLACEHOLDER, text) if not any(m.start() < b and a < m.end() for a, b in locked)] if marked else locked
     chosen = sorted(locked + find(sorted(held)))
     out, tokens, at, number = [], [], 0, 0
     for start, end in chosen:
         number += 1
-        while f"⟦P{number:04d}⟧" in text:
+        while marked and f"⟦P{number:04d}⟧" in text:
             number += 1
         name = f"⟦P{number:04d}⟧"
         out += [text[at:start], name]
@@ -97,6 +105,27 @@ def protect_at(text: str, spans: list[tuple[int, int]], find: Callable[[list[tup
     return {"text": "".join([*out, text[at:]]), "error": None, "tokens": tokens}
 
 
+def span_lists(column: pa.Array) -> list[list[tuple[int, int]]]:
+    """The pairs of a column of lists of struct(start, end)."""
+    flat, offsets = column.values, column.offsets.to_pylist()
+    pairs = list(zip(flat.field("start").to_pylist(), flat.field("end").to_pylist(), strict=True))
+    return [pairs[a:b] for a, b in pairwise(offsets)]
+
+
+def protected_batch(batch: pa.RecordBatch, find: Callable[[int, str, list[tuple[int, int]]], list[tuple[int, int]]]) -> pa.RecordBatch:
+    """block_id and `protected` of rows (block_id, block_type, source_text, spans); find(row, text, locked spans) gives the terms' places."""
+    done = []
+    for i, (kind, text, own) in enumerate(zip(batch.column("block_type").to_pylist(), batch.column("source_text").to_pylist(), span_lists(batch.column("spans")), strict=True)):
+        bare = kind == "code" or text is None
+        done.append(not_translatable() if bare else protect_at(text, own, lambda held, i=i, text=text: find(i, text, held)))
+    tokens = [t for d in done for t in d["tokens"]]
+    fields = [pa.array([t[f.name] for t in tokens], f.type) for f in TOKEN_TYPE]
+    offsets = pa.array([0, *accumulate(len(d["tokens"]) for d in done)], pa.int32())
+    lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, fields=list(TOKEN_TYPE)))
+    out = pa.StructArray.from_arrays([pa.array([d["text"] for d in done], pa.string()), pa.array([d["error"] for d in done], pa.string()), lists], fields=list(PLACEHOLDER_TYPE))
+    return pa.RecordBatch.from_arrays([batch.column("block_id"), out], names=["block_id", "protected"])
+
+
 def protect_blocks(blocks: DataFrame, terms: list[str], spans_col: str | None = None) -> DataFrame:
     """blocks (block_id, block_type, source_text) with `protected`, a struct PROTECTED; code isn't translated."""
     known = term_list(terms)
@@ -105,13 +134,7 @@ def protect_blocks(blocks: DataFrame, terms: list[str], spans_col: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = []
-            for kind, text, own in zip(*(batch.column(c).to_pylist() for c in ("block_type", "source_text", "spans")), strict=True):
-                if kind == "code" or text is None:
-                    done.append(not_translatable())
-                else:
-                    done.append(protect(text, [(s["start"], s["end"]) for s in own], known))
-            yield pa.RecordBatch.from_arrays([batch.column("block_id"), pa.array(done, PLACEHOLDER_TYPE)], names=["block_id", "protected"])
+            yield protected_batch(batch, lambda _, text, held: term_spans(text, known, held))
 
     return rows.mapInArrow(run, f"block_id long, protected {PROTECTED}")
 
@@ -119,10 +142,17 @@ def protect_blocks(blocks: DataFrame, terms: list[str], spans_col: str | None =
 def restore_error(translated: Column, tokens: Column) -> Column:
     """Null, or the first of: an unknown, duplicate, missing or reordered placeholder."""
     found = F.regexp_extract_all(translated, F.lit(f"({PLACEHOLDER})"), 1)
-    expected = F.transform(tokens, lambda t: t["placeholder"])
+    return bound(found, lambda f: bound(F.transform(tokens, lambda t: t["placeholder"]), lambda e: _order_error(f, e)))
+
+
+def _order_error(found: Column, expected: Column) -> Column:
+    as_expected = (found == expected) & (F.size(F.array_distinct(expected)) == F.size(expected))
     count = lambda p: F.size(F.filter(found, lambda x: x == p))
     wrong = F.filter(F.transform(expected, lambda p: F.when(count(p) > 1, "duplicate_placeholder").when(count(p) == 0, "missing_placeholder")), lambda x: x.isNotNull())
-    return F.when(F.size(F.array_except(found, expected)) > 0, "unknown_placeholder").when(F.size(wrong) > 0, F.get(wrong, F.lit(0))).when(found != expected, "reordered_placeholder")
+    first = F.get(wrong, F.lit(0))
+    return F.when(as_expected, F.lit(None)).when(F.size(F.array_except(found, expected)) > 0, "unknown_placeholder").otherwise(
+        F.coalesce(first, F.when(found != expected, "reordered_placeholder"))
+    )
 
 
 def restore(translated: Column, tokens: Column) -> Column:
@@ -131,14 +161,18 @@ def restore(translated: Column, tokens: Column) -> Column:
 
 def validate_output(body: Column, tokens: Column, most_bytes: int) -> Column:
     """struct(text, error): size, strict JSON with only translatedText, not blank, then the placeholders."""
-    text = F.get_json_object(body, "$.translatedText")
-    keys = F.json_object_keys(body)
-    shape = F.is_variant_null(F.try_parse_json(body)).isNull() | keys.isNull() | (keys != F.array(F.lit("translatedText"))) | (F.schema_of_variant(F.try_parse_json(body)) != "OBJECT<translatedText: STRING>")
-    error = (
-        F.when(F.octet_length(body) > most_bytes, "response_too_large").when(F.coalesce(shape, F.lit(True)), "invalid_json")
-        .when(~F.coalesce(text.rlike(r"\S"), F.lit(False)), "empty_translation").otherwise(restore_error(text, tokens))
-    )
-    return F.struct(F.when(error.isNull(), restore(text, tokens)).alias("text"), error.alias("error"))
+    def error(b: Column, text: Column, parsed: Column) -> Column:
+        keys = F.json_object_keys(b)
+        shape = F.is_variant_null(parsed).isNull() | keys.isNull() | (keys != F.array(F.lit("translatedText"))) | (F.schema_of_variant(parsed) != "OBJECT<translatedText: STRING>")
+        return (
+            F.when(F.octet_length(b) > most_bytes, "response_too_large").when(F.coalesce(shape, F.lit(True)), "invalid_json")
+            .when(~F.coalesce(text.rlike(r"\S"), F.lit(False)), "empty_translation").otherwise(restore_error(text, tokens))
+        )
+
+    def checked(b: Column, text: Column, parsed: Column) -> Column:
+        return bound(error(b, text, parsed), lambda e: F.struct(F.when(e.isNull(), restore(text, tokens)).alias("text"), e.alias("error")))
+
+    return bound(body, lambda b: bound(F.get_json_object(b, "$.translatedText"), lambda text: bound(F.try_parse_json(b), lambda parsed: checked(b, text, parsed))))
 
 
 def render_prompt(template: str, heading: Column, before: Column, text: Column, after: Column) -> Column:
