@@ -20,6 +20,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -64,6 +65,26 @@ def places(text: str, found: ahocorasick.Automaton) -> list[tuple[int, int]]:
     return [(a, b) for a, b in ends if not inside_word(text, a, b)]
 
 
+def _met_places(text: str, terms: list[str]) -> list[tuple[int, int]]:
+    """places() of the terms that a text has met: few are searched for one by one, which takes less than an automaton."""
+    if len(terms) > 32:
+        return places(text, _automaton(terms))
+    low, out = same_length_lower(text), []
+    for term in terms:
+        start = low.find(term)
+        while start >= 0:
+            if not inside_word(text, start, start + len(term)):
+                out.append((start, start + len(term)))
+            start = low.find(term, start + 1)
+    return out
+
+
+def _place_lists(found: list[list[tuple[int, int]]]) -> pa.Array:
+    flat = [place for one in found for place in one]
+    structs = pa.StructArray.from_arrays([pa.array([a for a, _ in flat], pa.int32()), pa.array([b for _, b in flat], pa.int32())], names=["start", "end"])
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, found))], pa.int32()), structs)
+
+
 def chosen(found: list[tuple[int, int]], locked: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Leftmost, then longest places that touch neither each other nor the locked spans (in order, apart)."""
     starts, out, at = [a for a, _ in locked], [], 0
@@ -126,8 +147,8 @@ def _with_places(blocks: DataFrame, known: DataFrame, text_col: str, part_chars:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            now = [_pairs(places(text, _automaton(own))) if text and own else [] for text, own in zip(batch.column(text_col).to_pylist(), batch.column("terms").to_pylist(), strict=True)]
-            arrays = [pa.array(now, PLACES) if name == "places" else batch.column(name) for name in batch.schema.names if name != "terms"]
+            now = [_met_places(text, own) if text and own else [] for text, own in zip(batch.column(text_col).to_pylist(), batch.column("terms").to_pylist(), strict=True)]
+            arrays = [_place_lists(now) if name == "places" else batch.column(name) for name in batch.schema.names if name != "terms"]
             yield pa.RecordBatch.from_arrays(arrays, names=[n for n in batch.schema.names if n != "terms"])
 
     out = joined.mapInArrow(search, joined.drop("terms").schema)
