@@ -30,20 +30,20 @@ def search_rows(pages: DataFrame, blocks: DataFrame, translations: DataFrame, re
     )
 
 
-def ranked(rows: DataFrame, query: str, limit: int) -> DataFrame:
-    """The best `limit` pages of search_rows() for a normal query; see search()."""
+def ranked(rows: DataFrame, query: str, limit: int, *, whole: bool = False) -> DataFrame:
+    """The best `limit` pages of search_rows() for a normal query; see search(). With `whole` each matching row is a candidate, however many there are."""
     most = candidate_limit(limit) if query else 0
     pattern = like_pattern(query)
     by = [F.col(c).ilike(pattern) for c in ("title", "path", "translated_text")]
     kind = F.when(by[0], 0).when(by[1], 1).when(by[2], 2).otherwise(3)
     found = rows.where(by[0] | by[1] | by[2] | F.col("source_text").ilike(pattern)).withColumn("_kind", kind)
     keys = ["_kind", "path", "ordinal", "block_id"]
-    candidates = found.orderBy(*keys).limit(most)  # a thousand rows at most from here on
-    scored = candidates.withColumn("_place", F.row_number().over(Window.orderBy(*keys))).withColumn("_best", best_match(query))
-    first = Window.partitionBy("page_id").orderBy(F.col("_best.score").desc(), "_place")
+    candidates = found if whole and most else found.orderBy(*keys).limit(most)
+    scored = candidates.withColumn("_best", best_match(query))
+    first = Window.partitionBy("page_id").orderBy(F.col("_best.score").desc(), *keys)
     best = scored.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     order = [F.col("_best.score").desc(), F.coalesce("title", "path"), F.col("page_id")]
-    top = best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") <= max(limit, 0))
+    top = best.orderBy(*order).limit(max(limit, 0)).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     return top.select("rank", "page_id", "path", "title", "_best.kind", "_best.score", "_best.snippet")
 
 

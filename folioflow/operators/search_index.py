@@ -177,6 +177,6 @@ def candidate_entries(index: SearchIndex, query: str, **options) -> DataFrame:
     return entries.where(F.col("part").isin(parts)).join(pages, ["part", "page_id"], "left_semi").drop("part")
 
 
-def search_index(index: SearchIndex, query: str, limit: int = 20, **options) -> DataFrame:
-    """The rows of search(), from the index."""
-    return ranked(candidate_entries(index, query, **options), normalize_query(query), limit)
+def search_index(index: SearchIndex, query: str, limit: int = 20, *, whole: bool = False, **options) -> DataFrame:
+    """The rows of search(), from the index; with `whole` the best of all matching rows, without search()'s limit on candidates."""
+    return ranked(candidate_entries(index, query, **options), normalize_query(query), limit, whole=whole)

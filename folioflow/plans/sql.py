@@ -8,7 +8,7 @@ _PENDING = "coalesce(t.status, 'pending')"
 _NOW, _BEFORE = "TIMESTAMP '2024-01-15 12:00:00'", "TIMESTAMP '2024-01-10 00:00:00'"
 
 
-def _search(word: str, identifier: bool) -> str:
+def _search(word: str, identifier: bool, whole: bool = False) -> str:
     fold = lambda c: f"coalesce(contains(lower({c}), '{word.lower()}'), false)"
     like = lambda c: f"coalesce({c} ILIKE '%{word}%', false)"
     return using("source_pages block_translations", f"""
@@ -18,7 +18,7 @@ def _search(word: str, identifier: bool) -> str:
       FROM source_pages p JOIN content_blocks b USING (page_id) LEFT JOIN block_translations t ON t.block_id = b.block_id
       LEFT JOIN translation_revisions r ON r.revision_id = t.current_revision_id
       WHERE p.status = 'active' AND ({like('p.title')} OR {like('p.path')} OR {like('r.translated_text')} OR {like('b.source_text')})
-    ), cand AS (SELECT *, row_number() OVER (ORDER BY k, path, ordinal, block_id) AS place FROM found QUALIFY place <= 500),
+    ), cand AS (SELECT *, row_number() OVER (ORDER BY k, path, ordinal, block_id) AS place FROM found{"" if whole else " QUALIFY place <= 500"}),
     scored AS (
       SELECT *, CASE WHEN {f"contains(source_text, '{word}')" if identifier else 'false'} THEN {{'s': 120, 'k': 'identifier', 't': source_text}}
         WHEN {fold('title')} THEN {{'s': 100, 'k': 'title', 't': title}} WHEN {fold('path')} THEN {{'s': 90, 'k': 'path', 't': path}}

@@ -27,7 +27,7 @@ def _index(spark: SparkSession, d: str) -> search_index.SearchIndex:
 
 @query
 def search_indexed(spark: SparkSession, d: str) -> DataFrame:
-    return search_index.search_index(_index(spark, d), SEARCH_WORD, SEARCH_LIMIT)
+    return search_index.search_index(_index(spark, d), SEARCH_WORD, SEARCH_LIMIT, whole=True)
 
 
 @query

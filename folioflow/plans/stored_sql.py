@@ -16,7 +16,7 @@ _DISCOVERED = using("source_pages", f"""
       WHERE page_id % 11 <> 5 AND NOT (starts_with(path, '/docs/de') AND NOT starts_with(path, '/docs/de/web')) AND NOT regexp_matches(path, '^/docs/.*/.*/1')""")
 
 STORED_SQL: dict[str, str] = {
-    "search_indexed": _search("the", False),
+    "search_indexed": _search("the", False, whole=True),
     "search_indexed_rare": _search("mit license", False),
     "page_store_upserts": using("source_pages", f"""
       WITH {_KNOWN}, f AS (SELECT {_URL} || o AS canonical_url, path || o AS path FROM (SELECT *, CASE WHEN page_id % 4 = 0 THEN '/new' ELSE '' END AS o FROM source_pages WHERE page_id % 2 = 0)),
