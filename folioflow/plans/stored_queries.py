@@ -32,7 +32,7 @@ def search_indexed(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def search_indexed_rare(spark: SparkSession, d: str) -> DataFrame:
-    return search_index.search_index(_index(spark, d), RARE_WORDS, SEARCH_LIMIT)
+    return search_index.search_index(_index(spark, d), RARE_WORDS, SEARCH_LIMIT, whole=True)
 
 
 @query

@@ -17,7 +17,7 @@ _DISCOVERED = using("source_pages", f"""
 
 STORED_SQL: dict[str, str] = {
     "search_indexed": _search("the", False, whole=True),
-    "search_indexed_rare": _search("mit license", False),
+    "search_indexed_rare": _search("mit license", False, whole=True),
     "page_store_upserts": using("source_pages", f"""
       WITH {_KNOWN}, f AS (SELECT {_URL} || o AS canonical_url, path || o AS path FROM (SELECT *, CASE WHEN page_id % 4 = 0 THEN '/new' ELSE '' END AS o FROM source_pages WHERE page_id % 2 = 0)),
       a AS (SELECT {_URL} || CASE WHEN page_id % 10 = 0 THEN '/asked' ELSE '' END AS canonical_url, path || '/asked' AS path FROM source_pages WHERE page_id % 5 = 0),
